@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from txnspark.functions.scoring import sortable_score
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+# The default CSV time format stops at milliseconds.
+CSV_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _writer(
+    df: DataFrame, fmt: str, mode: str = "overwrite", encoding: str = "UTF-8"
+) -> DataFrameWriter:
+    writer = df.write.mode(mode).format(fmt)
+    if fmt != "csv":
+        return writer
+    return writer.options(
+        header=True, encoding=encoding, timestampFormat=CSV_TIME, timestampNTZFormat=CSV_TIME
+    )
+
+
+def write_table(
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    mode: str = "overwrite",
+    encoding: str = "UTF-8",
+) -> None:
+    _writer(df, fmt, mode, encoding).save(path)
 
 
 def write_predictions(
@@ -37,10 +55,7 @@ def write_queues(df: DataFrame, path: str, id_column: str = "trans_num", fmt: st
         sortable_score(F.col("fraud_probability")).desc_nulls_last(),
         id_column,
     )
-    writer = queues.write.mode("overwrite").partitionBy("decision")
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    _writer(queues, fmt).partitionBy("decision").save(path)
 
 
 def write_analyst_pack(tables: Mapping[str, DataFrame], root: str, fmt: str = "csv") -> None:
