@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from txnspark.catalog.registry import B, R, put, query, tidy
 from txnspark.catalog.scalars import CYCLIC_SQL, DISTANCE_SQL
-from txnspark.catalog.summaries import KEY_SQL, _key
-from txnspark.catalog.windows import pairs_sql, rolling_sql, total_sql
+from txnspark.catalog.summaries import KEY_SQL, sample_key
+from txnspark.catalog.windows import STAT_DIGITS, pairs_sql, rolling_sql, total_sql
 from txnspark.operators import encode, sampling
 from txnspark.plans import features
 from txnspark.plans.features import velocity_features
@@ -59,7 +59,7 @@ def enc_one_hot(spark, sf):
     FROM s CROSS JOIN p LEFT JOIN m USING (merchant) LEFT JOIN c USING (category)""",
 )
 def enc_target_smooth(spark, sf):
-    rows = sampling.stratified_split(txn(spark, sf), key=_key)
+    rows = sampling.stratified_split(txn(spark, sf), key=sample_key())
     train = rows.where(~F.col("is_test"))
     merchant = encode.fit_target_encoding(train, "merchant", m=200)
     # One category has no name in training, so it is unseen and gets the prior.
@@ -158,7 +158,8 @@ _KM = {"dist_home_merch": 5, "mean_distance": 5}
 
 
 def _tidy(df):
-    return tidy(df, **_MONEY, **_KM)
+    stats = {f"{s}_amt": STAT_DIGITS for s in ("mean", "std", "median", "max")}
+    return tidy(df, **_MONEY, **_KM, **stats)
 
 
 @query(
@@ -186,7 +187,7 @@ def _stats_sql(zero):
     std = "coalesce(stddev_samp(amt), 0)" if zero else "stddev_samp(amt)"
     count = "CAST(count(amt) AS DOUBLE)" if zero else B("count(amt)")
     return f"""SELECT trans_num, s.* EXCLUDE (cc_num) FROM txn JOIN (SELECT cc_num,
-      {total_sql('mean')} AS mean_amt, {R(std)} AS std_amt, {total_sql('median')} AS median_amt,
+      {total_sql('mean')} AS mean_amt, {R(std, STAT_DIGITS)} AS std_amt, {total_sql('median')} AS median_amt,
       {total_sql('max')} AS max_amt, {R(f'avg({DISTANCE_SQL})', 5)} AS mean_distance,
       {count} AS transaction_count FROM txn GROUP BY cc_num) s USING (cc_num)"""
 

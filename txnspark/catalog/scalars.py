@@ -19,11 +19,15 @@ def _stamp(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def _columns(exprs, source=txn):
-    """Query that computes the expressions per transaction."""
+def _columns(exprs, source=txn, digits=6):
+    """Query that computes the expressions per transaction.
+
+    ``exprs`` is a function: columns need a session, which import time has not.
+    """
 
     def run(spark, sf):
-        return tidy(source(spark, sf).select("trans_num", *[c.alias(n) for n, c in exprs.items()]))
+        rows = source(spark, sf).select("trans_num", *[c.alias(n) for n, c in exprs().items()])
+        return tidy(rows, digits)
 
     return run
 
@@ -74,12 +78,21 @@ def _flag(condition):
     return B(f"CASE WHEN {condition} THEN 1 ELSE 0 END")
 
 
-ts = F.col(T)
-_parts = time.time_features(ts)
-put("fn_time_parts", _columns({n: _parts[n] for n in _PARTS_SQL}), _select(_PARTS_SQL))
+def ts():
+    return F.col(T)
+
+
+def _parts(names):
+    every = time.time_features(ts())
+    return {n: every[n] for n in names}
+
+
+put("fn_time_parts", _columns(lambda: _parts(_PARTS_SQL)), _select(_PARTS_SQL))
 put(
     "fn_unix_time",
-    _columns({"unix_time": time.epoch_seconds(ts), "unix_micros": time.epoch_micros(ts)}),
+    _columns(
+        lambda: {"unix_time": time.epoch_seconds(ts()), "unix_micros": time.epoch_micros(ts())}
+    ),
     _select({"unix_time": B(f"epoch_us({T}) // 1000000"), "unix_micros": B(f"epoch_us({T})")}),
 )
 
@@ -103,20 +116,20 @@ def fn_time_defaults(spark, sf):
       (SELECT strftime(max({T}), '%Y-%m') FROM ties) AS month_ties""",
 )
 def fn_month_tag(spark, sf):
-    other = txn_ties(spark, sf).agg(time.month_tag(ts).alias("m"))
-    return txn(spark, sf).agg(time.month_tag(ts).alias("month")).select(
+    other = txn_ties(spark, sf).agg(time.month_tag(ts()).alias("m"))
+    return txn(spark, sf).agg(time.month_tag(ts()).alias("month")).select(
         "month", other.scalar().alias("month_ties")
     )
 
 
 put(
     "fn_is_weekend",
-    _columns({"is_weekend": time.is_weekend(ts)}),
+    _columns(lambda: {"is_weekend": time.is_weekend(ts())}),
     _select({"is_weekend": _flag(f"dayofweek({T}) IN (0, 6)")}),
 )
 put(
     "fn_is_night",
-    _columns({"is_night": time.is_night(ts), "is_night_late": time.is_night(ts, 22)}),
+    _columns(lambda: {"is_night": time.is_night(ts()), "is_night_late": time.is_night(ts(), 22)}),
     _select(
         {
             "is_night": _flag(f"{_HOUR} <= 5"),
@@ -127,9 +140,9 @@ put(
 put(
     "fn_is_business_hours",
     _columns(
-        {
-            "is_business_hours": time.is_business_hours(ts),
-            "is_business_hours_open": time.is_business_hours(ts, end_inclusive=False),
+        lambda: {
+            "is_business_hours": time.is_business_hours(ts()),
+            "is_business_hours_open": time.is_business_hours(ts(), end_inclusive=False),
         }
     ),
     _select(
@@ -145,7 +158,7 @@ CYCLIC_SQL = {
     "dow_sin": R(f"sin(2 * pi() * {_DOW} / 7)"),
     "dow_cos": R(f"cos(2 * pi() * {_DOW} / 7)"),
 }
-put("fn_cyclic", _columns({n: _parts[n] for n in CYCLIC_SQL}), _select(CYCLIC_SQL))
+put("fn_cyclic", _columns(lambda: _parts(CYCLIC_SQL)), _select(CYCLIC_SQL))
 
 # Chord form of the great-circle distance, unlike the expression under test.
 DISTANCE_SQL = """(2 * 6371e0 * asin(least(1e0, 0.5e0 * sqrt(
@@ -154,24 +167,36 @@ DISTANCE_SQL = """(2 * 6371e0 * asin(least(1e0, 0.5e0 * sqrt(
   + pow(sin(radians(lat)) - sin(radians(merch_lat)), 2)))))"""
 _SHIFTED = DISTANCE_SQL.replace("radians(lat)", "radians(0e0)").replace("radians(long)", "radians(0e0)")
 
-km = geo.home_merchant_distance()
 put(
     "fn_haversine",
     _columns(
-        {"km_from_origin": geo.haversine(F.lit(0.0), F.lit(0.0), F.col("merch_lat"), F.col("merch_long"))}
+        lambda: {
+            "km_from_origin": geo.haversine(
+                F.lit(0.0), F.lit(0.0), F.col("merch_lat"), F.col("merch_long")
+            )
+        },
+        digits=5,
     ),
-    _select({"km_from_origin": R(_SHIFTED, 5)}).replace("txn_num", "trans_num"),
+    _select({"km_from_origin": R(_SHIFTED, 5)}),
 )
 put(
     "fn_home_merch_distance",
-    _columns({"dist_home_merch": km}),
+    _columns(lambda: {"dist_home_merch": geo.home_merchant_distance()}, digits=5),
     _select({"dist_home_merch": R(DISTANCE_SQL, 5)}),
 )
 
 # Distances over the whole range of the bins: a stretched amount, with gaps.
 _KM = "(CASE WHEN trans_num % 17 = 0 THEN NULL ELSE amt * amt / 40 END)"
-_km = F.when(F.col("trans_num") % 17 != 0, F.col("amt") * F.col("amt") / 40)
-_label = geo.category7(_km)
+
+
+def _km():
+    return F.when(F.col("trans_num") % 17 != 0, F.col("amt") * F.col("amt") / 40)
+
+
+def _label():
+    return geo.category7(_km())
+
+
 _LABEL_SQL = f"""CASE WHEN {_KM} <= 1 THEN '<1km' WHEN {_KM} <= 10 THEN '1-10km'
   WHEN {_KM} <= 50 THEN '10-50km' WHEN {_KM} <= 100 THEN '50-100km'
   WHEN {_KM} <= 500 THEN '100-500km' WHEN {_KM} <= 1000 THEN '500-1000km'
@@ -189,7 +214,7 @@ def _far_sql(literal, corrected, missing):
 
 put(
     "fn_dist_bucket5",
-    _columns({"bucket": geo.bucket5(_km)}),
+    _columns(lambda: {"bucket": geo.bucket5(_km())}),
     _select(
         {
             "bucket": B(
@@ -199,15 +224,19 @@ put(
         }
     ),
 )
-put("fn_dist_category7", _columns({"label": _label}), _select({"label": _LABEL_SQL}))
+put("fn_dist_category7", _columns(lambda: {"label": _label()}), _select({"label": _LABEL_SQL}))
 put(
     "fn_dist_category_num",
-    _columns({"num": geo.category_num(_label), "num_full": geo.category_num(_label, True)}),
+    _columns(
+        lambda: {"num": geo.category_num(_label()), "num_full": geo.category_num(_label(), True)}
+    ),
     _select(_far_sql("num", "num_full", 3)),
 )
 put(
     "fn_dist_category_idx",
-    _columns({"idx": geo.category_idx(_label), "idx_full": geo.category_idx(_label, True)}),
+    _columns(
+        lambda: {"idx": geo.category_idx(_label()), "idx_full": geo.category_idx(_label(), True)}
+    ),
     _select(_far_sql("idx", "idx_full", -1)),
 )
 
@@ -231,35 +260,46 @@ def fn_qcut_decile(spark, sf):
 
 put(
     "fn_strip_fraud_prefix",
-    _columns({"merchant": scoring.strip_fraud_prefix(F.col("merchant"))}),
+    _columns(lambda: {"merchant": scoring.strip_fraud_prefix(F.col("merchant"))}),
     _select({"merchant": "substr(merchant, 7)"}),
 )
 put(
     "fn_gender_bin",
-    _columns({"gender_bin": scoring.gender_bin(F.col("gender"))}),
+    _columns(lambda: {"gender_bin": scoring.gender_bin(F.col("gender"))}),
     _select({"gender_bin": _flag("gender = 'M'")}),
 )
-_pred = scoring.threshold_pred(F.col("fraud_probability"), 0.5)
 put(
     "fn_pred_label",
-    _columns({"pred_label": scoring.pred_label(_pred)}),
+    _columns(
+        lambda: {
+            "pred_label": scoring.pred_label(
+                scoring.threshold_pred(F.col("fraud_probability"), 0.5)
+            )
+        }
+    ),
     _select({"pred_label": "CASE WHEN fraud_probability >= 0.5e0 THEN 'Fraud' ELSE 'Legit' END"}),
 )
-# A score that is NaN or missing on some rows.
-_odd = (
-    F.when(F.col("trans_num") % 19 == 0, float("nan"))
-    .when(F.col("trans_num") % 19 == 1, F.lit(None).cast("double"))
-    .otherwise(F.col("fraud_probability"))
-)
+
+
+def _odd():
+    """A score that is NaN or missing on some rows."""
+    kind = F.col("trans_num") % 19
+    return (
+        F.when(kind == 0, float("nan"))
+        .when(kind == 1, F.lit(None).cast("double"))
+        .otherwise(F.col("fraud_probability"))
+    )
+
+
 _odd_known = "trans_num % 19 > 1 AND fraud_probability"
 put(
     "fn_threshold_pred",
-    _columns({"pred": scoring.threshold_pred(_odd, 0.20803789577882506)}),
+    _columns(lambda: {"pred": scoring.threshold_pred(_odd(), 0.20803789577882506)}),
     _select({"pred": _flag(f"{_odd_known} >= 0.20803789577882506e0")}),
 )
 put(
     "fn_risk_tier",
-    _columns({"decision": scoring.risk_tier(_odd)}),
+    _columns(lambda: {"decision": scoring.risk_tier(_odd())}),
     _select(
         {
             "decision": f"CASE WHEN {_odd_known} >= 0.9e0 THEN 'block' "
@@ -269,6 +309,6 @@ put(
 )
 put(
     "fn_flag_positive",
-    _columns({"flagged": scoring.flag_positive(F.col("decision"))}, predictions),
+    _columns(lambda: {"flagged": scoring.flag_positive(F.col("decision"))}, predictions),
     _select({"flagged": _flag("decision IS DISTINCT FROM 'allow'")}, "pred"),
 )

@@ -8,6 +8,7 @@ from txnspark.catalog.registry import B, R, predictions, query, tidy
 from txnspark.catalog.scalars import DECILE_SQL, DISTANCE_SQL, EDGES_SQL
 from txnspark.functions.geo import home_merchant_distance
 from txnspark.operators import cards, encode, joins, reports, sampling
+from txnspark.operators.history import TxnIndex, add_history
 from txnspark.sources.testdata import txn, txn_ties
 
 T = "trans_date_trans_time"
@@ -325,8 +326,6 @@ def sort_card_time(spark, sf):
       AS transaction_count FROM ties ORDER BY trans_num""",
 )
 def sort_restore_order(spark, sf):
-    from txnspark.operators.history import TxnIndex, add_history
-
     out = add_history(txn_ties(spark, sf), {"transaction_count": TxnIndex()})
     return tidy(out.select("trans_num", "transaction_count").orderBy("trans_num"))
 
@@ -343,7 +342,11 @@ def topk_suspicious(spark, sf):
 
 # A key both engines can compute, in place of the default hash of the id.
 KEY_SQL = "(trans_num * 7919 + 42) % 1000003"
-_key = (F.col("trans_num") * 7919 + 42) % 1000003
+
+
+def sample_key():
+    return (F.col("trans_num") * 7919 + 42) % 1000003
+
 
 
 @query(
@@ -351,7 +354,7 @@ _key = (F.col("trans_num") * 7919 + 42) % 1000003
     f"SELECT trans_num, {R('amt')} AS amt FROM txn ORDER BY {KEY_SQL}, trans_num LIMIT 5000",
 )
 def sample_n(spark, sf):
-    return tidy(sampling.sample_n(txn(spark, sf).select("trans_num", "amt"), key=_key))
+    return tidy(sampling.sample_n(txn(spark, sf).select("trans_num", "amt"), key=sample_key()))
 
 
 @query(
@@ -361,5 +364,5 @@ def sample_n(spark, sf):
         <= ceil(0.2e0 * count(*) OVER (PARTITION BY is_fraud)) AS is_test FROM txn""",
 )
 def split_stratified(spark, sf):
-    out = sampling.stratified_split(txn(spark, sf), key=_key)
+    out = sampling.stratified_split(txn(spark, sf), key=sample_key())
     return tidy(out.select("trans_num", "is_fraud", "is_test"))

@@ -42,7 +42,7 @@ def pairs_sql(measures, mode, by_category=False, source="txn"):
     )
     inside = {
         "closed": lambda w: f"{earlier} AND {gap} <= {w}",
-        "half_open": lambda w: f"{earlier} AND epoch_us(a.{T}) - epoch_us(b.{T}) < {w} * 1000000",
+        "half_open": lambda w: f"{earlier} AND epoch_us(a.{T}) - epoch_us(b.{T}) < {w * 1_000_000}",
         "app": lambda w: f"{gap} <= {w}",
     }[mode]
     same = "a.cc_num = b.cc_num" + (" AND a.category = b.category" if by_category else "")
@@ -192,28 +192,34 @@ def _over(expr, frame):
     return f"{expr} {window}"
 
 
+# A mean of cents over 32 rows ends in a 5 at the seventh digit, where engines
+# round either way; two more digits avoid that.
+STAT_DIGITS = 9
+
+
 def rolling_sql(stat):
-    return R(_over(_STAT_SQL[stat], "49 PRECEDING AND CURRENT ROW"))
+    return R(_over(_STAT_SQL[stat], "49 PRECEDING AND CURRENT ROW"), STAT_DIGITS)
 
 
 def prior_sql(stat):
-    return R(f"coalesce({_over(_STAT_SQL[stat], 'UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0)")
+    frame = "UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return R(f"coalesce({_over(_STAT_SQL[stat], frame)}, 0)", STAT_DIGITS)
 
 
 def total_sql(stat):
-    return R(_STAT_SQL[stat])
+    return R(_STAT_SQL[stat], STAT_DIGITS)
 
 
 for _stat in _STAT_SQL:
     _n = f"{_stat}_amt"
     put(
         f"win_rolling50_{_stat}",
-        _history({_n: Rolling(_stat)}),
+        _history({_n: Rolling(_stat)}, digits=STAT_DIGITS),
         f"SELECT trans_num, {rolling_sql(_stat)} AS {_n} FROM txn",
     )
     put(
         f"win_expanding_prior_{_stat}",
-        _history({_n: Prior(_stat)}),
+        _history({_n: Prior(_stat)}, digits=STAT_DIGITS),
         f"SELECT trans_num, {prior_sql(_stat)} AS {_n} FROM txn",
     )
 
@@ -238,7 +244,7 @@ def _total(stat):
         # Cards divisible by 50 are unknown and form one card together.
         card = F.when(F.col("cc_num") % 50 != 0, F.col("cc_num"))
         out = cards.add_card_totals(rows.withColumn("cc_num", card), [stat])
-        return tidy(out.select("trans_num", stat), 5 if stat == "mean_distance" else 6)
+        return tidy(out.select("trans_num", stat), 5 if stat == "mean_distance" else STAT_DIGITS)
 
     return run
 

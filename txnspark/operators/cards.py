@@ -55,7 +55,7 @@ def card_stats(
     out = usual.groupBy(k.card).agg(*[c.alias(n) for n, c in _stat_columns(k, stats).items()])
     if hot is None:
         return out
-    return out.unionByName(_hot_stats(hot, stats, k).select(out.columns))
+    return out.unionByName(_hot_stats(hot, stats, k, hot_rows).select(out.columns))
 
 
 def _inputs(k: Columns, stats: Sequence[str]) -> list[str]:
@@ -63,14 +63,14 @@ def _inputs(k: Columns, stats: Sequence[str]) -> list[str]:
     return sorted(used)
 
 
-def _hot_stats(hot: DataFrame, stats: Sequence[str], k: Columns) -> DataFrame:
+def _hot_stats(hot: DataFrame, stats: Sequence[str], k: Columns, limit: int) -> DataFrame:
     simple = [s for s in stats if s != "median_amt"]
     out = hot.groupBy(k.card).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[c.alias(n) for n, c in _stat_columns(k, simple).items()],
     )
     if "median_amt" in stats:
-        medians = ordered.exact_median(hot, k.amount, [k.card], "median_amt")
+        medians = ordered.exact_median(hot, k.amount, [k.card], "median_amt", limit)
         medians = medians.withColumnRenamed(k.card, "_card")
         out = out.join(
             F.broadcast(medians), F.col(k.card).eqNullSafe(F.col("_card")), "left"
@@ -120,7 +120,7 @@ def _attach(
         )
     if hot is None:
         return out
-    table = _hot_stats(hot.select(k.card, *_inputs(k, stats)), stats, k)
+    table = _hot_stats(hot.select(k.card, *_inputs(k, stats)), stats, k, hot_rows)
     table = F.broadcast(table.withColumnRenamed(k.card, "_card"))
     spread = hot.join(table, F.col(k.card).eqNullSafe(F.col("_card")), "left").drop("_card")
     return out.unionByName(spread.select(out.columns))

@@ -14,7 +14,10 @@ from txnspark.sources.scratch import written
 
 
 def curve_points(
-    df: DataFrame, label: str = "is_fraud", score: str = "fraud_probability"
+    df: DataFrame,
+    label: str = "is_fraud",
+    score: str = "fraud_probability",
+    limit: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """One row per distinct score, with counts at and above it.
 
@@ -28,16 +31,18 @@ def curve_points(
     rows = df.select(p.alias("threshold"), y.alias("_y")).where(
         F.col("threshold").isNotNull() & ~F.isnan("threshold") & F.col("_y").isNotNull()
     )
-    cut = ordered.value_blocks(rows, "threshold", descending=True)
-    counts = cut.groupBy(ordered.BLOCK, "threshold").agg(
+    counts = rows.groupBy("threshold").agg(
         F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg")
     )
-    out = ordered.running_in_blocks(
+    out = ordered.running(
         counts,
         [],
         [F.col("threshold").desc()],
         {"tp": (F.col("pos"), "sum", True), "fp": (F.col("neg"), "sum", True)},
         totals=True,
+        limit=limit,
+        by_value="threshold",
+        descending=True,
     )
     return out.withColumnsRenamed({"total_tp": "positives", "total_fp": "negatives"})
 

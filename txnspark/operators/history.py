@@ -269,23 +269,27 @@ def _spread(
     rolling = {n: f for n, f in want.items() if isinstance(f, Rolling)}
     median = {n for n, f in prior.items() if f.stat == "median"}
     if sequence or prior or rolling:
-        out = _spread_sequence(out, sequence, prior, k)
+        out = _spread_sequence(out, sequence, prior, k, hot_rows)
     if rolling:
         out = _spread_rolling(out, rolling, k, max(hot_rows, 2 * ROLLING_ROWS))
     for name in median:
-        out = _spread_prior_median(out, name, k)
+        out = _spread_prior_median(out, name, k, hot_rows)
     out = out.drop(_ROW)
     velocity = {n: f for n, f in want.items() if isinstance(f, Velocity)}
     for mode, by_category in sorted({(f.mode, f.by_category) for f in velocity.values()}):
         same = {
             n: f for n, f in velocity.items() if (f.mode, f.by_category) == (mode, by_category)
         }
-        out = _spread_velocity(out, same, mode, by_category, k)
+        out = _spread_velocity(out, same, mode, by_category, k, hot_rows)
     return out
 
 
 def _spread_sequence(
-    df: DataFrame, sequence: Mapping[str, Feature], prior: Mapping[str, Prior], k: Columns
+    df: DataFrame,
+    sequence: Mapping[str, Feature],
+    prior: Mapping[str, Prior],
+    k: Columns,
+    limit: int,
 ) -> DataFrame:
     """Position, previous time and prior statistics from running totals."""
     one = F.lit(1).cast("long")
@@ -307,7 +311,7 @@ def _spread_sequence(
             "_s2": (F.coalesce(off * off, F.lit(0.0)), "sum", False),
             "_top": (F.col(k.amount), "max", False),
         }
-    out = ordered.running(df, [k.card], _row_order(k), measures)
+    out = ordered.running(df, [k.card], _row_order(k), measures, limit=limit)
     add = {}
     for name, f in sequence.items():
         match f:
@@ -352,7 +356,12 @@ def _spread_rolling(
 
 
 def _spread_velocity(
-    df: DataFrame, want: Mapping[str, Velocity], mode: str, by_category: bool, k: Columns
+    df: DataFrame,
+    want: Mapping[str, Velocity],
+    mode: str,
+    by_category: bool,
+    k: Columns,
+    limit: int,
 ) -> DataFrame:
     """Sweep over time: each row enters at its time and leaves one window later.
 
@@ -403,9 +412,8 @@ def _spread_velocity(
     wide = "decimal(38,10)"
     measures = {f"_run_n{w}": (F.col(f"_n{w}"), "sum", True) for w in windows}
     measures |= {f"_run_s{w}": (F.col(f"_s{w}").cast(wide), "sum", True) for w in windows}
-    swept = ordered.running(
-        events, by, [F.col("_at"), F.col("_rank"), F.col("_tie"), F.col("_id")], measures
-    ).where(F.col("_payload").isNotNull())
+    order = [F.col("_at"), F.col("_rank"), F.col("_tie"), F.col("_id")]
+    swept = ordered.running(events, by, order, measures, limit=limit).where(F.col("_payload").isNotNull())
     if mode == "app":
         whole = rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_all_n"), F.sum(_A).alias("_all_s")
@@ -426,7 +434,7 @@ def _spread_velocity(
     return done.unionByName(rest)
 
 
-def _spread_prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
+def _spread_prior_median(df: DataFrame, name: str, k: Columns, limit: int) -> DataFrame:
     """Median of all earlier amounts, by narrowing the value range digit by digit.
 
     Amounts become positions 0..n-1 in value order. Each row asks for the
@@ -442,6 +450,7 @@ def _spread_prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
         [F.col("_v"), F.col(_ROW)],
         "_place",
         by=card,
+        limit=limit,
     ).withColumn("_place", F.col("_place") - 1)
     place = ordered.written(place, "places")
     largest = place.agg(F.max("_place")).first()[0] or 0
@@ -453,6 +462,7 @@ def _spread_prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
         card,
         [F.col(_ROW)],
         {"_before": (F.col("_one"), "sum", False)},
+        limit=limit,
     )
     # Two questions per row: the lower and the upper middle of its predecessors.
     asks = seen.where(F.col("_before") > 0).select(
@@ -488,6 +498,7 @@ def _spread_prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
                 f"_d{d}": ((F.col("_digit") <= d).cast("long"), "sum", True)
                 for d in range(base)
             },
+            limit=limit,
         ).where(F.col("_side") >= 0)
         digit = reduce(
             lambda a, b: a + b, [(F.col(f"_d{d}") < F.col("_k")).cast("long") for d in range(base)]

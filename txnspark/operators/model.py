@@ -75,14 +75,13 @@ def train_gbt(
         labelCol="_label",
         weightCol="_weight",
         predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
         maxIter=settings.trees,
         maxDepth=settings.depth,
         stepSize=settings.learning_rate,
         subsamplingRate=settings.subsample,
         seed=settings.seed,
     )
+    trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     return Pipeline(stages=[assembler, trees]).fit(rows)
 

@@ -8,6 +8,7 @@ the group carry over. Results are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,14 +19,19 @@ from pyspark.sql.types import StructField, StructType
 
 from txnspark.sources.scratch import written
 
-# A key with more rows than this is cut into blocks instead of filling one task.
+# Rows one task may hold. A larger key, or a larger ordered table, is cut into blocks.
 HOT_ROWS = 1_000_000
 
+# Sampled rows per block when looking for block bounds.
+SAMPLE_PER_BLOCK = 500
+
 BLOCK = "_block"
 
 
-def block_count(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def block_count(df: DataFrame, rows: int, limit: int) -> int:
+    """Blocks of about ``limit`` rows, as far as the shuffle setting allows."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(math.ceil(rows / limit), most))
 
 
 def split_hot(
@@ -55,24 +61,42 @@ def split_hot(
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
-def range_blocks(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def range_blocks(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], blocks: int
+) -> DataFrame:
     """Cut rows into even blocks of the (by, order) sequence, hot keys included.
 
     Range bounds come from a sample, so the numbered rows are written once and
     every later step reads the same numbering.
     """
-    cut = df.repartitionByRange(block_count(df), *[F.col(c) for c in by], *order)
+    cut = df.repartitionByRange(blocks, *[F.col(c) for c in by], *order)
     return written(cut.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
-def value_blocks(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
-    """Cut rows into blocks of one numeric column without moving or writing them."""
-    n = block_count(df)
-    # Probabilities fall strictly inside (0, 1); the sketch error is below half a block.
-    cuts = df.stat.approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+def value_blocks(
+    df: DataFrame,
+    value: str,
+    descending: bool = False,
+    limit: int = HOT_ROWS,
+    rows: int | None = None,
+) -> DataFrame:
+    """Number the blocks of one double column without moving or writing rows.
+
+    Block bounds are quantiles of a sample. They are constants of the plan, so a
+    recomputed task finds the same blocks; how even they are does not matter for
+    the result. A table of up to ``limit`` rows is one block.
+    """
+    rows = df.count() if rows is None else rows
+    if rows <= limit:
+        return df.withColumn(BLOCK, F.lit(0))
+    n = block_count(df, rows, limit)
+    sample = df.select(value)
+    if rows > SAMPLE_PER_BLOCK * n:
+        sample = sample.sample(SAMPLE_PER_BLOCK * n / rows, seed=42)
+    bounds = sample.stat.approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n))
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     if len(splits) < 3:
-        splits.insert(1, 0.0)
+        return df.withColumn(BLOCK, F.lit(0))
     cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
     number = F.col("_bucket").cast("int")
     return cut.withColumn(BLOCK, -number if descending else number).drop("_bucket")
@@ -82,18 +106,15 @@ def _same(by: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
 
 
-def running_in_blocks(
+def _in_blocks(
     blocks: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     measures: dict[str, tuple[Column, str, bool]],
-    totals: bool = False,
+    totals: bool,
 ) -> DataFrame:
     """Running measures over rows that already carry a block number.
 
-    ``measures`` maps an output name to (expression, "sum" or "max", inclusive).
-    With ``totals`` the whole-group value comes along as ``total_<name>``.
-
     Blocks are consecutive in (by, order), so a block continues at most one group
     from the block before. Only groups seen in several blocks need a carry: at
     most two rows per block, which bounds what is broadcast.
@@ -144,25 +165,73 @@ def running_in_blocks(
     )
 
 
+def _in_one_task(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    measures: dict[str, tuple[Column, str, bool]],
+    totals: bool,
+) -> DataFrame:
+    """The same for a table known to be small: plain windows."""
+    fold = {"sum": F.sum, "max": F.max}
+    group = Window.partitionBy(*[F.col(c) for c in by])
+    result = {}
+    for n, (expr, how, inclusive) in measures.items():
+        upto = group.orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, 0 if inclusive else -1
+        )
+        value = fold[how](expr).over(upto)
+        if how == "sum":
+            # Typed as the measure: a decimal or a long stays one.
+            value = F.coalesce(value, F.lit(0).cast(df.select(expr).schema[0].dataType))
+        result[n] = value
+        if totals:
+            result[f"total_{n}"] = fold[how](expr).over(group)
+    return df.withColumns(result)
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     measures: dict[str, tuple[Column, str, bool]],
     totals: bool = False,
+    limit: int = HOT_ROWS,
+    by_value: str | None = None,
+    descending: bool = False,
 ) -> DataFrame:
-    """Running measures per group over any order, however large the group."""
-    return running_in_blocks(range_blocks(df, by, order), by, order, measures, totals)
+    """Running measures per group over any order, however large the group.
+
+    ``measures`` maps an output name to (expression, "sum" or "max", inclusive).
+    With ``totals`` the whole-group value comes along as ``total_<name>``.
+    ``by_value`` names the double column that alone makes the order of a table
+    without groups; its blocks need no written copy.
+    """
+    rows = df.count()
+    if rows <= limit:
+        return _in_one_task(df, by, order, measures, totals)
+    if by_value:
+        blocks = value_blocks(df, by_value, descending, limit, rows)
+    else:
+        blocks = range_blocks(df, by, order, block_count(df, rows, limit))
+    return _in_blocks(blocks, by, order, measures, totals)
 
 
 def numbered(
-    df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()
+    df: DataFrame,
+    order: Sequence[Column],
+    name: str,
+    by: Sequence[str] = (),
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """1, 2, 3, ... along ``order`` (per group when ``by`` is given)."""
-    return running(df, list(by), order, {name: (F.lit(1).cast("long"), "sum", True)})
+    one = F.lit(1).cast("long")
+    return running(df, list(by), order, {name: (one, "sum", True)}, limit=limit)
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_positions(
+    df: DataFrame, value: str, by: Sequence[str] = (), limit: int = HOT_ROWS
+) -> DataFrame:
     """Distinct values with the positions they cover in sorted order.
 
     One row per (group, value): it holds positions ``first`` .. ``last`` of
@@ -174,12 +243,15 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
         .agg(F.count(F.lit(1)).alias("n"))
     )
     measures = {"last": (F.col("n"), "sum", True)}
-    if by:
-        out = running(counts, list(by), [F.col(value)], measures, totals=True)
-    else:
-        out = running_in_blocks(
-            value_blocks(counts, value), [], [F.col(value)], measures, totals=True
-        )
+    out = running(
+        counts,
+        list(by),
+        [F.col(value)],
+        measures,
+        totals=True,
+        limit=limit,
+        by_value=None if by else value,
+    )
     return out.select(
         *by,
         value,
@@ -189,9 +261,11 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+def exact_median(
+    df: DataFrame, value: str, by: Sequence[str], name: str, limit: int = HOT_ROWS
+) -> DataFrame:
     """Median per group, for groups too large for ``percentile`` in one task."""
-    at = value_positions(df, value, by)
+    at = value_positions(df, value, by, limit)
     low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
     middle = at.where(
         low.between(F.col("first"), F.col("last")) | high.between(F.col("first"), F.col("last"))
@@ -200,9 +274,11 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str], name: str) -> Dat
     return middle.groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias(name))
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float]:
+def exact_quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], limit: int = HOT_ROWS
+) -> list[float]:
     """Quantiles with linear interpolation between neighbours, over a whole table."""
-    at = value_positions(df, value)
+    at = value_positions(df, value, limit=limit)
     wanted = [F.floor(F.lit(float(p)) * (F.col("total") - 1)).cast("long") + 1 for p in probabilities]
     neighbours = reduce(
         lambda a, b: a | b,

@@ -25,6 +25,7 @@ def stratified_split(
     id_column: str = "trans_num",
     fraction: float = 0.2,
     key: Column | None = None,
+    limit: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """Adds ``is_test``: the first ceil(fraction * n) rows of each class by key.
 
@@ -35,7 +36,7 @@ def stratified_split(
     key = id_hash(id_column) if key is None else key
     rows = df.select(F.col(label).alias("_class"), F.col(id_column).alias("_id"), key.alias("_key"))
     rows = rows.where(F.col("_class").isNotNull()).withColumn("_value", F.col("_key").cast("double"))
-    blocks = ordered.value_blocks(rows, "_value")
+    blocks = ordered.value_blocks(rows, "_value", limit=limit)
     # Classes times blocks: a small table.
     sizes = blocks.groupBy("_class", BLOCK).count().orderBy("_class", BLOCK).collect()
     cuts = {}

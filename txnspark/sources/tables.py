@@ -3,29 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-TRANSACTIONS = StructType.fromDDL(
-    """
-    trans_num string, trans_date_trans_time timestamp_ntz, cc_num bigint,
-    merchant string, category string, amt double, first string, last string,
-    gender string, street string, city string, state string, zip int,
-    lat double, long double, city_pop bigint, job string, dob date,
-    unix_time bigint, merch_lat double, merch_long double, merch_zipcode double,
-    is_fraud int
-    """
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
 )
 
-PREDICTIONS = StructType.fromDDL(
-    "trans_num string, fraud_probability double, decision string"
+_text, _number, _whole = StringType(), DoubleType(), LongType()
+
+
+def _schema(**columns: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in columns.items()])
+
+
+TRANSACTIONS = _schema(
+    trans_num=_text,
+    trans_date_trans_time=TimestampNTZType(),
+    cc_num=_whole,
+    merchant=_text,
+    category=_text,
+    amt=_number,
+    first=_text,
+    last=_text,
+    gender=_text,
+    street=_text,
+    city=_text,
+    state=_text,
+    zip=IntegerType(),
+    lat=_number,
+    long=_number,
+    city_pop=_whole,
+    job=_text,
+    dob=DateType(),
+    unix_time=_whole,
+    merch_lat=_number,
+    merch_long=_number,
+    merch_zipcode=_number,
+    is_fraud=IntegerType(),
 )
 
+PREDICTIONS = _schema(trans_num=_text, fraud_probability=_number, decision=_text)
+
 # Columns an empty upload template offers.
-TEMPLATE = StructType.fromDDL(
-    """
-    transaction_id string, trans_date_trans_time timestamp_ntz, cc_num bigint,
-    amount double, lat double, long double, merch_lat double, merch_long double
-    """
+TEMPLATE = _schema(
+    transaction_id=_text,
+    trans_date_trans_time=TimestampNTZType(),
+    cc_num=_whole,
+    amount=_number,
+    lat=_number,
+    long=_number,
+    merch_lat=_number,
+    merch_long=_number,
 )
 
 INDEX_COLUMN = "Unnamed: 0"
@@ -60,7 +94,7 @@ def _read_csv(
     names = reader.csv(path).columns
     wanted = {f.name: f.dataType for f in schema.fields}
     # Text first, so that one unreadable value costs a NULL and not the row.
-    text = reader.schema(StructType.fromDDL(", ".join(f"`{n}` string" for n in names))).csv(path)
+    text = reader.schema(StructType([StructField(n, _text) for n in names])).csv(path)
     return text.select(
         *[text[f"`{n}`"].try_cast(wanted[n]).alias(n) for n in names if n in wanted]
     )
