@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -199,41 +200,50 @@ def _is_prior_median(f: Feature) -> bool:
 
 
 def _prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
-    """Median of all earlier amounts, one card (at most ``HOT_ROWS`` rows) per call.
+    """Median of all earlier amounts, card after card along sorted partitions.
 
     A growing window frame would sort its whole content again for every row; two
-    heaps need a logarithmic step instead, which no built-in offers.
+    heaps need a logarithmic step instead, which no built-in offers. Sorting is
+    Spark's; Python sees Arrow batches and keeps one card's amounts.
     """
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
     known = F.col(k.card).isNotNull()
-    per_card = running_median_of([_U, _M, k.id], k.amount, name)
-    done = df.where(known).groupBy(k.card).applyInPandas(per_card, schema)
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    rows = df.where(known).repartition(k.card).sortWithinPartitions(k.card, *_row_order(k))
+    done = rows.mapInArrow(running_median_of(k.card, k.amount, name), schema)
     return done.unionByName(df.where(~known).withColumn(name, F.lit(None).cast("double")))
 
 
-def running_median_of(order: list[str], amount: str, name: str):
-    """Function from one card's rows to the rows with the median of those before.
+def running_median_of(card: str, amount: str, name: str):
+    """Adds to sorted batches the median of the card's amounts before each row.
 
     Built as a closure, so that executors need no copy of this package.
     """
 
-    def per_card(rows):
-        rows = rows.sort_values(order, na_position="last", kind="stable")
-        values = rows[amount].to_numpy(dtype=float)
-        medians = [0.0] * len(values)
+    def batches(stream):
+        current = None
         low: list[float] = []  # lower half, negated
         high: list[float] = []
-        for i, x in enumerate(values):
-            if low:
-                medians[i] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
-            if x != x:
-                continue
-            heapq.heappush(high, -heapq.heappushpop(low, -x))
-            if len(high) > len(low):
-                heapq.heappush(low, -heapq.heappop(high))
-        return rows.assign(**{name: medians})
-
-    return per_card
+        for batch in stream:
+            medians = []
+            pairs = zip(batch.column(card).to_pylist(), batch.column(amount).to_pylist())
+            for owner, x in pairs:
+                if owner != current:
+                    current, low, high = owner, [], []
+                if not low:
+                    medians.append(0.0)
+                elif len(low) > len(high):
+                    medians.append(-low[0])
+                else:
+                    medians.append((high[0] - low[0]) / 2)
+                if x is None or x != x:
+                    continue
+                heapq.heappush(high, -heapq.heappushpop(low, -float(x)))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+            columns = [*batch.columns, pa.array(medians, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name])
+
+    return batches
 
 
 def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
@@ -243,14 +253,17 @@ def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
     """
     unit = F.lit(1) if f.what == "count" else F.col(_A)
     if f.mode == "half_open":
-        left = group.orderBy(F.col(_M)).rangeBetween(
+        left = group.orderBy(F.col(_M).asc_nulls_last()).rangeBetween(
             Window.unboundedPreceding, -f.seconds * 1_000_000
         )
     else:
-        left = group.orderBy(F.col(_U)).rangeBetween(Window.unboundedPreceding, -f.seconds - 1)
+        # The leading key of the row order, so that one sort serves both frames.
+        left = group.orderBy(F.col(_U).asc_nulls_last()).rangeBetween(
+            Window.unboundedPreceding, -f.seconds - 1
+        )
     known = F.col(_U).isNotNull()
     entered = group if f.mode == "app" else ordered_rows.rowsBetween(Window.unboundedPreceding, 0)
-    # A NULL time sorts first in a range frame; the condition keeps it out.
+    # The condition keeps rows without a time out of both totals.
     value = F.sum(F.when(known, unit)).over(entered) - F.coalesce(
         F.sum(F.when(known, unit)).over(left), F.lit(0)
     )
