@@ -124,7 +124,18 @@ def test_formats_round_trip(spark, tmp_path, fmt):
 def test_trained_model_separates_and_is_calibrated(spark):
     got = queries()["ml_train_gbt"](spark, SF).first()
     assert got["roc_auc"] > 0.8
-    rows = queries()["ml_calibrate_isotonic"](spark, SF)
+
+
+def test_calibrated_scores_are_probabilities_and_survive_saving(spark, tmp_path):
+    table = txn(spark, SF).withColumnRenamed("fraud_probability", "hint")
+    small = model.TreeSettings(trees=2, depth=2)
+    fitted = model.calibrate_isotonic(table, ["hint", "amt"], settings=small)
+    rows = fitted.transform(table)
+    assert rows.columns == [*table.columns, "fraud_probability"]
+    path = str(tmp_path / "calibrated")
+    fitted.save(path)
+    again = model.CalibratedModel.load(path).transform(table)
+    assert sorted(rows.collect()) == sorted(again.collect())
     low, high = rows.agg(F.min("fraud_probability"), F.max("fraud_probability")).first()
     assert 0.0 <= low <= high <= 1.0
 

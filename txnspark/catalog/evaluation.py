@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnspark.catalog.registry import B, R, predictions, put, query, tidy
+from txnspark.catalog.scalars import DECILE_SQL, EDGES_SQL
 from txnspark.catalog.summaries import HEADER_SQL, RUN_SQL
 from txnspark.operators import curves, metrics, model, reports, sampling, thresholds
 from txnspark.plans import features, jobs
@@ -421,6 +422,8 @@ _APP_LAST_DAY = f"epoch_us(a.{T}) // 1000000 - epoch_us(b.{T}) // 1000000 <= 864
     SELECT 'kpis' AS panel, CAST(count(*) AS VARCHAR) AS item,
       {R('avg(fraud_probability)')} AS value FROM z
     UNION ALL SELECT 'top', CAST(trans_num AS VARCHAR), {R('fraud_probability')} FROM top
+    UNION ALL SELECT 'decile', CAST(decile AS VARCHAR), {R('avg(fraud_probability)')}
+      FROM (SELECT z.*, {DECILE_SQL} AS decile FROM z, (SELECT {EDGES_SQL}) e) GROUP BY 2
     UNION ALL SELECT 'histogram', CAST(CAST(least(floor(fraud_probability * 40), 39) AS BIGINT)
       AS VARCHAR), CAST(count(*) AS DOUBLE) FROM z GROUP BY 2""".replace(
         "count(*) FILTER (b.trans_date_trans_time < a.trans_date_trans_time OR "
@@ -446,4 +449,9 @@ def pipe_app_score(spark, sf):
         F.col("bin").cast("string").alias("item"),
         F.col("count").cast("double").alias("value"),
     )
-    return tidy(kpis.unionByName(top).unionByName(bars))
+    deciles = panels["deciles"].select(
+        F.lit("decile").alias("panel"),
+        F.col("decile").cast("string").alias("item"),
+        F.col("avg_prob").alias("value"),
+    )
+    return tidy(kpis.unionByName(top).unionByName(bars).unionByName(deciles))

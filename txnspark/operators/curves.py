@@ -34,15 +34,13 @@ def curve_points(
     counts = rows.groupBy("threshold").agg(
         F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg")
     )
-    out = ordered.running(
+    out = ordered.running_by_value(
         counts,
-        [],
-        [F.col("threshold").desc()],
+        "threshold",
+        ordered.value_bounds(rows, "threshold", limit),
         {"tp": (F.col("pos"), "sum", True), "fp": (F.col("neg"), "sum", True)},
-        totals=True,
-        limit=limit,
-        by_value="threshold",
         descending=True,
+        totals=True,
     )
     return out.withColumnsRenamed({"total_tp": "positives", "total_fp": "negatives"})
 

@@ -25,13 +25,15 @@ MISSING_TEXT = "nan"
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text to 0..n-1 in sorted order; a missing value is the text ``nan``."""
-    out = df
-    for name in columns:
-        text = F.coalesce(F.col(name).cast("string"), F.lit(MISSING_TEXT))
-        out = out.withColumn(name, text)
-        levels = ordered.numbered(out.select(name).distinct(), [F.col(name)], "_code")
-        levels = written(levels.withColumn("_code", F.col("_code") - 1), "levels")
-        coded = lookup(out, levels, name, "_code", F.lit(None).cast("long"))
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT)) for c in columns}
+    # All dictionaries come from the input, not from partly encoded rows.
+    levels = {}
+    for name, text in texts.items():
+        found = ordered.numbered(df.select(text.alias(name)).distinct(), [F.col(name)], "_code")
+        levels[name] = written(found.withColumn("_code", F.col("_code") - 1), "levels")
+    out = df.withColumns(texts)
+    for name, table in levels.items():
+        coded = lookup(out, table, name, "_code", F.lit(None).cast("long"))
         out = coded.withColumn(name, F.col("_code")).drop("_code")
     return out
 

@@ -133,6 +133,23 @@ class CalibratedModel:
         helpers = [f"_{kind}_{i}" for kind in ("raw", "p") for i in range(len(parts))]
         return out.withColumn(name, mean).drop(*helpers)
 
+    def save(self, path: str) -> None:
+        for i, (trees, isotonic) in enumerate(self.pairs):
+            trees.write().overwrite().save(f"{path}/fold_{i}/trees")
+            isotonic.write().overwrite().save(f"{path}/fold_{i}/isotonic")
+
+    @staticmethod
+    def load(path: str, folds: int = 3) -> CalibratedModel:
+        return CalibratedModel(
+            [
+                (
+                    PipelineModel.load(f"{path}/fold_{i}/trees"),
+                    IsotonicRegressionModel.load(f"{path}/fold_{i}/isotonic"),
+                )
+                for i in range(folds)
+            ]
+        )
+
 
 def calibrate_isotonic(
     train: DataFrame,

@@ -73,30 +73,31 @@ def range_blocks(
     return written(cut.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
-def value_blocks(
-    df: DataFrame,
-    value: str,
-    descending: bool = False,
-    limit: int = HOT_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
-    """Number the blocks of one double column without moving or writing rows.
+def value_bounds(df: DataFrame, value: str, limit: int = HOT_ROWS) -> list[float]:
+    """Bounds that cut the values of a double column into blocks; none if one is enough.
 
-    Block bounds are quantiles of a sample. They are constants of the plan, so a
-    recomputed task finds the same blocks; how even they are does not matter for
-    the result. A table of up to ``limit`` rows is one block.
+    One scan counts rows and (approximately) distinct values, a second one reads
+    a sample. Bounds become constants of the plan, so a recomputed task finds the
+    same blocks; how even they are does not matter for the result.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= limit:
-        return df.withColumn(BLOCK, F.lit(0))
+    rows, distinct = df.agg(F.count(value), F.approx_count_distinct(value)).first()
+    if distinct <= limit:
+        return []
     n = block_count(df, rows, limit)
     sample = df.select(value)
     if rows > SAMPLE_PER_BLOCK * n:
         sample = sample.sample(SAMPLE_PER_BLOCK * n / rows, seed=42)
-    bounds = sample.stat.approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n))
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    if len(splits) < 3:
+    cuts = sample.stat.approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n))
+    return sorted(set(cuts))
+
+
+def value_blocks(
+    df: DataFrame, value: str, bounds: Sequence[float], descending: bool = False
+) -> DataFrame:
+    """Number the blocks between the bounds without moving or writing rows."""
+    if not bounds:
         return df.withColumn(BLOCK, F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
     number = F.col("_bucket").cast("int")
     return cut.withColumn(BLOCK, -number if descending else number).drop("_bucket")
@@ -197,26 +198,38 @@ def running(
     measures: dict[str, tuple[Column, str, bool]],
     totals: bool = False,
     limit: int = HOT_ROWS,
-    by_value: str | None = None,
-    descending: bool = False,
 ) -> DataFrame:
     """Running measures per group over any order, however large the group.
 
     ``measures`` maps an output name to (expression, "sum" or "max", inclusive).
     With ``totals`` the whole-group value comes along as ``total_<name>``.
-    ``by_value`` names the double column that alone makes the order of a table
-    without groups; its blocks need no written copy.
     """
     rows = df.count()
     if rows <= limit:
         return _in_one_task(df, by, order, measures, totals)
-    if by_value:
-        blocks = value_blocks(df, by_value, descending, limit, rows)
-    else:
-        blocks = range_blocks(df, by, order, block_count(df, rows, limit))
+    blocks = range_blocks(df, by, order, block_count(df, rows, limit))
     return _in_blocks(blocks, by, order, measures, totals)
 
 
+def running_by_value(
+    df: DataFrame,
+    value: str,
+    bounds: Sequence[float],
+    measures: dict[str, tuple[Column, str, bool]],
+    descending: bool = False,
+    totals: bool = False,
+) -> DataFrame:
+    """Running measures over a whole table in the order of one double column.
+
+    ``bounds`` come from ``value_bounds``. Nothing is written.
+    """
+    order = [F.col(value).desc() if descending else F.col(value)]
+    if not bounds:
+        return _in_one_task(df, [], order, measures, totals)
+    blocks = value_blocks(df, value, bounds, descending)
+    return _in_blocks(blocks, [], order, measures, totals)
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[Column],
@@ -243,15 +256,11 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     measures = {"last": (F.col("n"), "sum", True)}
-    out = running(
-        counts,
-        list(by),
-        [F.col(value)],
-        measures,
-        totals=True,
-        limit=limit,
-        by_value=None if by else value,
-    )
+    if by:
+        out = running(counts, list(by), [F.col(value)], measures, totals=True, limit=limit)
+    else:
+        bounds = value_bounds(df, value, limit)
+        out = running_by_value(counts, value, bounds, measures, totals=True)
     return out.select(
         *by,
         value,

@@ -36,7 +36,8 @@ def stratified_split(
     key = id_hash(id_column) if key is None else key
     rows = df.select(F.col(label).alias("_class"), F.col(id_column).alias("_id"), key.alias("_key"))
     rows = rows.where(F.col("_class").isNotNull()).withColumn("_value", F.col("_key").cast("double"))
-    blocks = ordered.value_blocks(rows, "_value", limit=limit)
+    bounds = ordered.value_bounds(rows, "_value", limit)
+    blocks = ordered.value_blocks(rows, "_value", bounds)
     # Classes times blocks: a small table.
     sizes = blocks.groupBy("_class", BLOCK).count().orderBy("_class", BLOCK).collect()
     cuts = {}
