@@ -28,9 +28,11 @@ HOUR = 3600
 DAY = 86400
 ROLLING_ROWS = 50
 
-# Amounts are summed as exact decimals: a window sum is the difference of two
-# running sums, which would lose digits in floating point.
+# A window sum is the difference of two running sums, which would lose digits in
+# floating point. Amounts are therefore summed exactly, to ten digits after the
+# point: as decimals, or where at most HOT_ROWS rows add up, as two integers.
 MONEY = "decimal(28,10)"
+FRACTION = 10_000_000_000
 
 
 @dataclass(frozen=True)
@@ -93,25 +95,29 @@ class Prior:
 
 Feature = Velocity | SinceLast | PrevTime | TxnIndex | Rolling | Prior
 
-# Seconds, microseconds and amount in the form the windows need.
-_U, _M, _A, _ROW = "_u", "_m", "_a", "_row"
+# Seconds, microseconds and row number in the form the windows need.
+_U, _M, _ROW = "_u", "_m", "_row"
 
 
-def _stat(stat: str, column: Column) -> Column:
-    return {
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "median": lambda c: F.percentile(c, F.lit(0.5)),
-        "max": F.max,
-    }[stat](column)
+def _over(stat: str, column: Column, frame) -> Column:
+    """Statistic of the frame, NULL where it holds no value."""
+    if stat == "median":
+        # A frame is short; sorting its values beats a percentile's hash table.
+        held = F.collect_list(column).over(frame)
+        values, size = F.sort_array(held), F.size(held)
+        low = F.get(values, F.floor((size - 1) / 2).cast("int"))
+        return (low + F.get(values, F.floor(size / 2).cast("int"))) / 2
+    return {"mean": F.avg, "std": F.stddev_samp, "max": F.max}[stat](column).over(frame)
 
 
 def _prepared(df: DataFrame, k: Columns) -> DataFrame:
-    add = {_U: epoch_seconds(F.col(k.time)), _M: epoch_micros(F.col(k.time))}
-    if k.amount in df.columns:
-        amount = F.col(k.amount).cast("double")
-        add[_A] = F.coalesce(F.when(~F.isnan(amount), amount).cast(MONEY), F.lit(0).cast(MONEY))
-    return df.withColumns(add)
+    return df.withColumns({_U: epoch_seconds(F.col(k.time)), _M: epoch_micros(F.col(k.time))})
+
+
+def _amount(k: Columns) -> Column:
+    """The amount, 0 where it is missing."""
+    amount = F.col(k.amount).cast("double")
+    return F.coalesce(F.nanvl(amount, F.lit(0.0)), F.lit(0.0))
 
 
 def _row_order(k: Columns) -> list[Column]:
@@ -185,11 +191,11 @@ def _plain_expr(f: Feature, group, k: Columns) -> Column:
             return F.lag(k.time).over(ordered_rows)
         case Rolling():
             frame = ordered_rows.rowsBetween(1 - f.rows, 0)
-            value = _stat(f.stat, F.col(k.distance if f.distance else k.amount)).over(frame)
+            value = _over(f.stat, F.col(k.distance if f.distance else k.amount), frame)
             return F.coalesce(value, F.lit(0.0)) if f.stat == "std" else value
         case Prior():
             frame = ordered_rows.rowsBetween(Window.unboundedPreceding, -1)
-            return F.coalesce(_stat(f.stat, F.col(k.amount)).over(frame), F.lit(0.0))
+            return F.coalesce(_over(f.stat, F.col(k.amount), frame), F.lit(0.0))
         case Velocity():
             return _plain_velocity(f, group, ordered_rows, k)
     raise TypeError(f"unknown feature {f!r}")
@@ -251,7 +257,6 @@ def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
 
     Cost per row does not grow with the number of rows in the window.
     """
-    unit = F.lit(1) if f.what == "count" else F.col(_A)
     if f.mode == "half_open":
         left = group.orderBy(F.col(_M).asc_nulls_last()).rangeBetween(
             Window.unboundedPreceding, -f.seconds * 1_000_000
@@ -263,11 +268,18 @@ def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
         )
     known = F.col(_U).isNotNull()
     entered = group if f.mode == "app" else ordered_rows.rowsBetween(Window.unboundedPreceding, 0)
-    # The condition keeps rows without a time out of both totals.
-    value = F.sum(F.when(known, unit)).over(entered) - F.coalesce(
-        F.sum(F.when(known, unit)).over(left), F.lit(0)
-    )
-    return F.when(known, value.cast("long" if f.what == "count" else "double"))
+
+    def inside(unit: Column) -> Column:
+        # The condition keeps rows without a time out of both totals.
+        counted = F.when(known, unit)
+        return F.sum(counted).over(entered) - F.coalesce(F.sum(counted).over(left), F.lit(0))
+
+    if f.what == "count":
+        return F.when(known, inside(F.lit(1)))
+    amount = _amount(k)
+    whole = F.floor(amount).cast("long")
+    part = F.rint((amount - whole) * FRACTION).cast("long")
+    return F.when(known, inside(whole) + inside(part) / FRACTION)
 
 
 # ------------------------------------------------------------------ hot cards
@@ -363,7 +375,7 @@ def _spread_rolling(
     add = {}
     for name, f in rolling.items():
         column = F.col(k.distance if f.distance else k.amount)
-        value = _stat(f.stat, column).over(group.rowsBetween(1 - f.rows, 0))
+        value = _over(f.stat, column, group.rowsBetween(1 - f.rows, 0))
         add[name] = F.coalesce(value, F.lit(0.0)) if f.stat == "std" else value
     return copies.withColumns(add).where(F.col("_chunk") == own).drop("_chunk")
 
@@ -387,6 +399,7 @@ def _spread_velocity(
     windows = sorted({f.seconds for f in want.values()})
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     none = F.lit(0).cast(MONEY)
+    money = _amount(k).cast(MONEY) if k.amount in df.columns else none
     enters = 0.0 if mode == "app" else 1.0
     # At equal times: half_open lets rows leave before others enter, the others after.
     entry_rank, exit_rank = (1, 0) if mode == "half_open" else (0, 1)
@@ -410,7 +423,7 @@ def _spread_velocity(
         entry_rank,
         payload,
         [one if enters else zero for _ in windows],
-        [F.col(_A) if enters else none for _ in windows],
+        [money if enters else none for _ in windows],
     )
     for width in windows:
         events = events.unionByName(
@@ -419,7 +432,7 @@ def _spread_velocity(
                 exit_rank,
                 F.when(F.lit(False), payload),
                 [-one if w == width else zero for w in windows],
-                [-F.col(_A) if w == width else none for w in windows],
+                [-money if w == width else none for w in windows],
             )
         )
     wide = "decimal(38,10)"
@@ -429,7 +442,7 @@ def _spread_velocity(
     swept = ordered.running(events, by, order, measures, limit=limit).where(F.col("_payload").isNotNull())
     if mode == "app":
         whole = rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_all_n"), F.sum(_A).alias("_all_s")
+            F.count(F.lit(1)).alias("_all_n"), F.sum(money).alias("_all_s")
         )
         swept = swept.join(F.broadcast(whole), by)
     else:
