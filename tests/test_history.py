@@ -169,9 +169,13 @@ def test_against_brute_force(spark, hot_rows):
 
 
 def test_previous_time_of_hot_card(spark):
-    df = table(spark, random_rows(3))
+    rows = [*random_rows(3), (1, None, 1.0, "a"), (1, None, 2.0, "a"), (None, 5, 1.0, "a")]
+    df = table(spark, rows)
     want = {"t": PrevTime(), "g": SinceLast("minutes"), "w": SinceLast(whole_seconds=True)}
-    assert by_id(add_history(df, want), *want) == by_id(add_history(df, want, hot_rows=20), *want)
+    plain, spread = by_id(add_history(df, want), *want), by_id(add_history(df, want, hot_rows=20), *want)
+    assert plain == spread
+    assert plain[160][0] is not None and plain[161][0] is None
+    assert plain[161][1] == 0.0 and plain[162] == (None, 0.0, 0.0)
 
 
 def test_card_statistics_of_hot_card(spark):

@@ -3,8 +3,10 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -95,6 +97,19 @@ def test_lookup_by_any_route(spark, limits):
     assert rows == {**{i: 1.0 if i % 3 else 2.0 for i in range(9)}, 9: -1.0, 10: -1.0}
 
 
+def test_rows_without_an_id_stay_unscored(spark):
+    raw = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b"), (3, "c")], "trans_num long, k string")
+    pred = spark.createDataFrame(
+        [(1, 0.5, "allow"), (None, 0.9, "block")],
+        "trans_num long, fraud_probability double, decision string",
+    )
+    out = joins.join_predictions(raw, pred)
+    assert out.columns == ["trans_num", "k", "fraud_probability", "decision"]
+    assert sorted((r["k"], r["decision"]) for r in out.collect()) == [
+        ("a", "allow"), ("b", None), ("b", None), ("c", None)
+    ]
+
+
 def test_positional_join_checks_lengths(spark):
     raw = spark.range(3).withColumnRenamed("id", "trans_num")
     pred = spark.createDataFrame([(0.1, "allow")], "fraud_probability double, decision string")
@@ -140,6 +155,23 @@ def test_calibrated_scores_are_probabilities_and_survive_saving(spark, tmp_path)
     assert 0.0 <= low <= high <= 1.0
 
 
+def test_isotonic_points_keep_the_fit(spark):
+    rng = random.Random(11)
+    data = [(round(p, 2), int(rng.random() < p)) for p in (rng.random() for _ in range(400))]
+    data += [(2.0 + i / 100, 1) for i in range(30)]
+    df = spark.createDataFrame(data, "p double, y int")
+    few = model.isotonic_points(df, "p", "y")
+    assert few.count() < df.select("p").distinct().count()
+    all_points = df.groupBy(F.col("p").alias("_p")).agg(
+        F.avg("y").alias("_y"), F.count("y").cast("double").alias("_w")
+    )
+    fits = []
+    for points in (all_points, few):
+        fit = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w").fit(points)
+        fits.append({r["_p"]: r["prediction"] for r in fit.transform(all_points).collect()})
+    assert all(close(fits[0][p], fits[1][p]) for p in fits[0])
+
+
 def test_scoring_keeps_rows_and_keys(spark, tmp_path):
     rows = txn(spark, SF).select("trans_num", "cc_num", "amt", "is_fraud")
     trained = model.train_gbt(rows, ["amt"], settings=model.TreeSettings(trees=2, depth=2))

@@ -4,8 +4,9 @@ Cards up to ``HOT_ROWS`` rows share one exchange on the card and one sort. The
 few larger cards go through ``operators.ordered``, which spreads one card over
 many tasks; both ways give the same numbers.
 
-Row order inside a card is (time, id). Rows without a card get NULL. Rows
-without a time sort last, count as transactions, and have no velocity.
+Row order inside a card is (time, id). Rows without a card get NULL, and 0 as time
+since the last transaction. Rows without a time sort last, count as transactions,
+and have no velocity.
 """
 
 from __future__ import annotations
@@ -167,8 +168,9 @@ def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns) -> DataFrame:
     # Card windows come first: their exchange on the card also serves the
     # narrower (card, category) groups.
     card = Window.partitionBy(k.card, "_alone")
+    missing = {n: F.lit(0.0) if isinstance(f, SinceLast) else F.lit(None) for n, f in by_card}
     out = out.withColumns(
-        {name: F.when(has_card, _plain_expr(f, card, k)) for name, f in by_card}
+        {n: F.when(has_card, _plain_expr(f, card, k)).otherwise(missing[n]) for n, f in by_card}
     )
     if by_category:
         narrow = Window.partitionBy(k.card, "_alone", k.category)
@@ -324,6 +326,7 @@ def _spread_sequence(
         "_prev_u": (F.col(_U), "max", False),
         "_prev_m": (F.col(_M), "max", False),
         "_prev_t": (F.col(k.time), "max", False),
+        "_timeless": (F.col(k.time).isNull().cast("long"), "sum", False),
     }
     if prior:
         # Sums around the card's mean keep the digits of the variance.
@@ -343,7 +346,8 @@ def _spread_sequence(
             case TxnIndex():
                 add[name] = F.col(_ROW).cast("int")
             case PrevTime():
-                add[name] = F.col("_prev_t")
+                # Rows without a time come last; after one, the previous time is unknown.
+                add[name] = F.when(F.col("_timeless") == 0, F.col("_prev_t"))
             case SinceLast():
                 add[name] = _since(F.col("_prev_u" if f.whole_seconds else "_prev_m"), f)
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
@@ -357,7 +361,7 @@ def _spread_sequence(
         if f.stat != "median":
             add[name] = F.coalesce(values[f.stat], F.lit(0.0))
     return out.withColumns(add).drop(
-        "_prev_u", "_prev_m", "_prev_t", "_mid", "_n", "_s1", "_s2", "_top"
+        "_prev_u", "_prev_m", "_prev_t", "_timeless", "_mid", "_n", "_s1", "_s2", "_top"
     )
 
 

@@ -17,9 +17,22 @@ BROADCAST_ROWS = 200_000
 def join_predictions(
     raw: DataFrame, predictions: DataFrame, id_column: str = "trans_num", how: str = "left"
 ) -> DataFrame:
-    """Transactions with score and decision, by id."""
+    """Transactions with score and decision, by id.
+
+    Rows without an id match nothing. They are spread by their content, since a
+    left join would send all of them to one task.
+    """
     scores = predictions.select(id_column, "fraud_probability", "decision")
-    return raw.join(scores, id_column, how)
+    if how != "left":
+        return raw.join(scores, id_column, how)
+    # A second key that follows the id where there is one. It must not be a
+    # constant on either side, or the optimizer takes it out of the keys again.
+    follows = F.xxhash64(F.col(id_column))
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    spread = F.when(F.col(id_column).isNull(), content).otherwise(follows)
+    left = raw.withColumn("_spread", spread)
+    right = scores.withColumn("_spread", follows)
+    return left.join(right, [id_column, "_spread"], "left").drop("_spread")
 
 
 def join_for_evaluation(

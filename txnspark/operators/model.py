@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnspark.operators import ordered
 from txnspark.operators.columns import numeric_or_zero
 from txnspark.operators.sampling import SEED, id_hash
 
@@ -151,6 +152,42 @@ class CalibratedModel:
         )
 
 
+def isotonic_points(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Few weighted points (_p, _y, _w) with the same isotonic fit as the rows.
+
+    Rows with one score act as one point. Neighbouring points with the same label
+    share their fitted value, so a run of them is replaced by its two ends. The fit
+    ends on the driver; what reaches it then follows the rarer class.
+    """
+    rows = df.select(F.col(score).alias("_p"), F.col(label).cast("double").alias("_y"))
+    points = rows.groupBy("_p").agg(
+        F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
+    )
+    y = F.col("_y")
+    counted = ordered.running_by_value(
+        points,
+        "_p",
+        ordered.value_bounds(rows, "_p"),
+        {
+            "_not_0": ((y != 0).cast("long"), "sum", True),
+            "_not_1": ((y != 1).cast("long"), "sum", True),
+        },
+    )
+    # Inside a run of one label the count of other points stands still.
+    run = F.when(y == 0, F.col("_not_0")).when(y == 1, F.col("_not_1"))
+    mixed = F.when((y > 0) & (y < 1), F.col("_p"))
+    runs = counted.groupBy("_y", run.alias("_run"), mixed.alias("_mixed")).agg(
+        F.min("_p").alias("_low"), F.max("_p").alias("_high"), F.sum("_w").alias("_w")
+    )
+    whole = F.array(F.struct(F.col("_low").alias("_p"), F.col("_w")))
+    ends = F.array(
+        F.struct(F.col("_low").alias("_p"), (F.col("_w") / 2).alias("_w")),
+        F.struct(F.col("_high").alias("_p"), (F.col("_w") / 2).alias("_w")),
+    )
+    places = F.when(F.col("_low") == F.col("_high"), whole).otherwise(ends)
+    return runs.select("_y", F.inline(places))
+
+
 def calibrate_isotonic(
     train: DataFrame,
     features: Sequence[str],
@@ -167,13 +204,8 @@ def calibrate_isotonic(
     for i in range(folds):
         trees = train_gbt(rows.where(F.col("_fold") != i), features, label, weight, settings)
         held = _with_probability(rows.where(F.col("_fold") == i), trees, "_p")
-        # Rows with one score act as one weighted point, so count them first.
-        points = held.groupBy("_p").agg(
-            F.avg(F.col(label).cast("double")).alias("_y"),
-            F.count(F.lit(1)).cast("double").alias("_w"),
-        )
         isotonic = IsotonicRegression(
             featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_fit"
-        ).fit(points)
+        ).fit(isotonic_points(held, "_p", label))
         pairs.append((trees, isotonic))
     return CalibratedModel(pairs)
