@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,12 +160,12 @@ def test_summaries(spark):
 
 
 def test_deciles_with_repeated_edges(spark):
-    df = spark.createDataFrame([(1.0, 0.5)] * 8 + [(2.0, 0.25), (3.0, 0.75)], "amt double, fraud_probability double")
+    data = [(1.0, 0.5)] * 8 + [(2.0, 0.25), (3.0, 0.75)]
+    df = spark.createDataFrame(data, "amt double, fraud_probability double")
     rows = reports.decile_mean(df).collect()
     frame = df.toPandas()
-    import pandas as pd
-
-    expect = frame.groupby(pd.qcut(frame.amt, 10, duplicates="drop"), observed=False).fraud_probability.mean()
+    bins = pd.qcut(frame.amt, 10, duplicates="drop")
+    expect = frame.groupby(bins, observed=False).fraud_probability.mean()
     assert [r["avg_prob"] for r in rows] == [None if math.isnan(x) else x for x in expect.tolist()]
 
 

@@ -46,7 +46,8 @@ def test_unreadable_values(spark):
 
 
 def test_clock_does_not_depend_on_the_session_zone(spark):
-    df = spark.createDataFrame([(datetime.datetime(2024, 3, 10, 2, 30, 0, 250000),)], "t timestamp_ntz")
+    moment = datetime.datetime(2024, 3, 10, 2, 30, 0, 250000)
+    df = spark.createDataFrame([(moment,)], "t timestamp_ntz")
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
@@ -90,7 +91,8 @@ def test_label_encoding_and_one_hot(spark):
 @pytest.mark.parametrize("limits", [(1000, 1000), (1000, 1), (2, 1)])
 def test_lookup_by_any_route(spark, limits):
     hot_rows, broadcast_rows = limits
-    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(9)] + [(9, None), (10, "q")], "i long, k string")
+    data = [*[(i, "a" if i % 3 else "b") for i in range(9)], (9, None), (10, "q")]
+    df = spark.createDataFrame(data, "i long, k string")
     table = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "k string, v double")
     out = joins.lookup(df, table, "k", "v", F.lit(-1.0), hot_rows, broadcast_rows)
     rows = {r["i"]: r["v"] for r in out.collect()}
@@ -120,7 +122,8 @@ def test_positional_join_checks_lengths(spark):
 def test_csv_keeps_bad_cells_apart(spark, tmp_path):
     path = str(tmp_path / "in.csv")
     with open(path, "w") as f:
-        f.write("Unnamed: 0,amt,trans_num,trans_date_trans_time\n0,1.5,t1,2020-01-01 00:00:01\n1,x,t2,never\n")
+        f.write("Unnamed: 0,amt,trans_num,trans_date_trans_time\n")
+        f.write("0,1.5,t1,2020-01-01 00:00:01\n1,x,t2,never\n")
     out = tables.read_transactions(spark, path)
     assert out.columns == ["amt", "trans_num", "trans_date_trans_time"]
     rows = {r["trans_num"]: r for r in out.collect()}
@@ -155,6 +158,17 @@ def test_calibrated_scores_are_probabilities_and_survive_saving(spark, tmp_path)
     assert 0.0 <= low <= high <= 1.0
 
 
+def test_one_month_reads_one_folder(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, "2024-01-31 23:59:59"), (2, "2024-02-01 00:00:00")], "trans_num long, t string"
+    ).select("trans_num", time.parse_ts(F.col("t")).alias("trans_date_trans_time"))
+    path = str(tmp_path / "months")
+    sinks.write_by_month(df, path)
+    assert {"month=2024-01", "month=2024-02"} <= set(os.listdir(path))
+    one = spark.read.parquet(path).where(F.col("month") == "2024-02")
+    assert [r["trans_num"] for r in one.collect()] == [2]
+
+
 def test_isotonic_points_keep_the_fit(spark):
     rng = random.Random(11)
     data = [(round(p, 2), int(rng.random() < p)) for p in (rng.random() for _ in range(400))]

@@ -318,10 +318,14 @@ def stand_in(df):
     return df.withColumn("fraud_probability", (raw % 1009) / F.lit(1008.0))
 
 
-def _stand_in_sql(seconds_test):
-    return f"""h AS (SELECT a.trans_num, count(*) FILTER (b.{T} < a.{T} OR (b.{T} = a.{T}
-        AND b.trans_num <= a.trans_num)) AS i,
-      count(*) FILTER ({seconds_test}) AS d FROM txn a JOIN txn b USING (cc_num) GROUP BY 1),
+_EARLIER = f"(b.{T} < a.{T} OR (b.{T} = a.{T} AND b.trans_num <= a.trans_num))"
+_RECENT = f"epoch_us(a.{T}) // 1000000 - epoch_us(b.{T}) // 1000000 <= 86400"
+
+
+def _stand_in_sql(numbered, recent):
+    """Views z (scored) and y (with decisions); the tests pick the rows of a card to count."""
+    return f"""h AS (SELECT a.trans_num, count(*) FILTER ({numbered}) AS i,
+      count(*) FILTER ({recent}) AS d FROM txn a JOIN txn b USING (cc_num) GROUP BY 1),
     z AS (SELECT trans_num, {T}, amt, is_fraud,
       ((i * 37 + hour({T}) * 11 + d * 101) % 1009) / 1008e0 AS fraud_probability
       FROM txn JOIN h USING (trans_num)),
@@ -329,9 +333,7 @@ def _stand_in_sql(seconds_test):
       WHEN fraud_probability >= 0.6e0 THEN 'review' ELSE 'allow' END AS decision FROM z)"""
 
 
-_LAST_DAY = f"""(b.{T} < a.{T} OR (b.{T} = a.{T} AND b.trans_num <= a.trans_num))
-  AND epoch_us(a.{T}) // 1000000 - epoch_us(b.{T}) // 1000000 <= 86400"""
-_Y = _stand_in_sql(_LAST_DAY)
+_Y = _stand_in_sql(_EARLIER, f"{_EARLIER} AND {_RECENT}")
 
 
 @query(
@@ -411,12 +413,9 @@ def pipe_run_report(spark, sf):
     return tidy(jobs.run_report(predictions(spark, sf)))
 
 
-_APP_LAST_DAY = f"epoch_us(a.{T}) // 1000000 - epoch_us(b.{T}) // 1000000 <= 86400"
-
-
 @query(
     "pipe_app_score",
-    f"""WITH {_stand_in_sql(_APP_LAST_DAY).replace('i * 37', 'm * 37')},
+    f"""WITH {_stand_in_sql('true', _RECENT)},
     top AS (SELECT trans_num, amt, fraud_probability FROM z
       ORDER BY fraud_probability DESC, trans_num LIMIT 200)
     SELECT 'kpis' AS panel, CAST(count(*) AS VARCHAR) AS item,
@@ -425,11 +424,7 @@ _APP_LAST_DAY = f"epoch_us(a.{T}) // 1000000 - epoch_us(b.{T}) // 1000000 <= 864
     UNION ALL SELECT 'decile', CAST(decile AS VARCHAR), {R('avg(fraud_probability)')}
       FROM (SELECT z.*, {DECILE_SQL} AS decile FROM z, (SELECT {EDGES_SQL}) e) GROUP BY 2
     UNION ALL SELECT 'histogram', CAST(CAST(least(floor(fraud_probability * 40), 39) AS BIGINT)
-      AS VARCHAR), CAST(count(*) AS DOUBLE) FROM z GROUP BY 2""".replace(
-        "count(*) FILTER (b.trans_date_trans_time < a.trans_date_trans_time OR "
-        "(b.trans_date_trans_time = a.trans_date_trans_time\n        AND b.trans_num <= a.trans_num)) AS i",
-        "count(*) AS m",
-    ),
+      AS VARCHAR), CAST(count(*) AS DOUBLE) FROM z GROUP BY 2""",
 )
 def pipe_app_score(spark, sf):
     raw = txn(spark, sf).drop("fraud_probability", "is_fraud")

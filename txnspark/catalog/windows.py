@@ -10,7 +10,6 @@ from txnspark.functions.geo import home_merchant_distance
 from txnspark.operators import cards
 from txnspark.operators.history import (
     DAY,
-    HOUR,
     PrevTime,
     Prior,
     Rolling,
@@ -59,7 +58,7 @@ def pairs_sql(measures, mode, by_category=False, source="txn"):
 
 for _name, _f in velocity_features("closed").items():
     put(
-        "win_" + _name.replace("_last", "").replace("txn_count", "txn_count"),
+        "win_" + _name.replace("_last", ""),
         _history({_name: _f}, digits=4),
         pairs_sql({_name: _f}, "closed"),
     )
@@ -100,19 +99,18 @@ _shipped = """SELECT l_orderkey * 10 + l_linenumber AS trans_num, l_suppkey AS c
 FROM lineitem"""
 
 
+
+def _frame(expr, days):
+    return f"""{expr} OVER (PARTITION BY cc_num ORDER BY {T}
+      RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND CURRENT ROW)"""
+
+
 @query(
     "win_velocity_shipments",
-    f"""SELECT cc_num, {T}, {B('max(c)')} AS most, {B('max(c0)')} AS in_month,
-      {R('max(s)', 2)} AS amount FROM (
-        SELECT *, count(*) OVER (PARTITION BY cc_num ORDER BY {T}
-            RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS c,
-          count(*) OVER (PARTITION BY cc_num ORDER BY {T}
-            RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS c0,
-          sum(amt) OVER (PARTITION BY cc_num ORDER BY {T}
-            RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS s
-        FROM ({_shipped})) GROUP BY cc_num, {T}""".replace(
-        f"SELECT cc_num, {T}", f"SELECT cc_num, strftime({T}, '%Y-%m-%d') AS day", 1
-    ),
+    f"""SELECT cc_num, strftime({T}, '%Y-%m-%d') AS day, {B('max(c)')} AS most,
+      {B('max(c0)')} AS in_month, {R('max(s)', 2)} AS amount
+    FROM (SELECT *, {_frame('count(*)', 1)} AS c, {_frame('count(*)', 30)} AS c0,
+      {_frame('sum(amt)', 1)} AS s FROM ({_shipped})) GROUP BY cc_num, {T}""",
 )
 def win_velocity_shipments(spark, sf):
     """Busiest state per supplier and day; whole groups share card and time."""

@@ -35,6 +35,17 @@ def write_table(
     _writer(df, fmt, mode, encoding).save(path)
 
 
+def write_by_month(
+    df: DataFrame, path: str, time: str = "trans_date_trans_time", fmt: str = "parquet"
+) -> None:
+    """One folder per month, so that an evaluation of one month reads only that.
+
+    Build history features first: a card's window may start in an earlier month.
+    """
+    month = F.date_format(F.col(time), "yyyy-MM")
+    _writer(df.withColumn("month", month), fmt).partitionBy("month").save(path)
+
+
 def write_predictions(
     scored: DataFrame, path: str, id_column: str | None = "trans_num", fmt: str = "csv"
 ) -> None:
