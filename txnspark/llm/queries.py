@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnspark.llm import binary_records, packing
+from txnspark.llm import binary_records, language_id, packing, quality_classifier
+from txnspark.llm.common import doc_crc
 from txnspark.sources.scratch import scratch_path
 from txnspark.sources.testdata import table
 
@@ -23,6 +24,26 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = doc_crc() % 5 == 0
+    model = language_id.train(docs.select("doc_id", "text", "lang").where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from two thirds of the labels."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = doc_crc() % 3 == 1
+    scored = quality_classifier.classify(docs, labels.where(~held_out))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the records read back from the written files."""
