@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnspark.llm import binary_records, language_id, packing, quality_classifier
+from txnspark.llm import (
+    binary_records,
+    chat_repair,
+    decontamination,
+    hilbert_shards,
+    language_id,
+    packing,
+    quality_classifier,
+)
 from txnspark.llm.common import doc_crc
 from txnspark.sources.scratch import scratch_path
 from txnspark.sources.testdata import table
@@ -24,6 +32,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation with its repair and its rendered fragment."""
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 runs of the curve through language, source and length."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.coalesce("n_chars", F.length(text)).alias("n_chars"),
+        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    out = hilbert_shards.shards(docs, ["lang", "source", "n_chars"], ["text_crc32", "size", "doc_id"])
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "hilbert")
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from four fifths of the labelled ones."""
@@ -44,6 +71,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with its place in the folded text."""
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontamination.contaminated(docs, benchmark)
+
+
 @query
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the records read back from the written files."""
