@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from txnspark.llm.common import Batches, column, filled, map_batches, record
 from txnspark.llm.tokens import encoder
 
+#: Files whose starts are broadcast; with more, records are joined by a shuffle.
+BROADCAST_FILES = 100_000
 MASK_DELTA = 0xA282EAD8
 END = b"\n"
 _HEAD = struct.Struct("<QI")
@@ -150,6 +152,8 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
 def read_in_order(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): records joined to the global start of their file."""
     base = file_starts(spark.read.parquet(index_path))
+    if base.count() <= BROADCAST_FILES:
+        base = F.broadcast(base)
     records = read_records(spark, path)
     return records.join(base, "file").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids"
