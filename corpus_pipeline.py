@@ -4,23 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnspark.llm import packing
+from txnspark.llm import decontamination, language_id, ngram_join, packing, quality_rules
 from txnspark.sources.scratch import scratch_path
 from txnspark.sources.testdata import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of a known language, with the language they are written in."""
+    return language_id.keep(docs)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that pass the base rules and are no outliers of their language and source."""
+    return quality_rules.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, Jaccard 0.8 or more."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, each with its place in a training sequence."""
-    import public_tokenizers
-
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language id", identify_language),
+    ("quality rules", apply_quality_rules),
+    ("n-gram join", drop_near_duplicates),
+    ("decontamination", decontaminate),
     ("packing", pack_sequences),
 ]
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Bytes and rows of one Arrow batch. A single longer row still makes a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
 Batches = Iterator[pa.RecordBatch]
@@ -85,3 +85,21 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def doc_crc(doc_id: str = "doc_id") -> F.Column:
     """crc32 of the document's number written as text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+#: Keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_key() -> F.Column:
+    """A hash of a row's number and text: equal rows share a verdict."""
+    return F.xxhash64(F.lit("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, rejected: DataFrame, key: F.Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``rejected`` (one column), filtered in place if few."""
+    keys = rejected.select(F.col(rejected.columns[0]).alias("__rejected")).distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    kept = docs.withColumn("__key", key)
+    same = kept["__key"] == keys["__rejected"]
+    return kept.join(F.broadcast(keys) if few else keys, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnspark.llm.common import Batches, column, map_batches, record
+from txnspark.llm.common import Batches, column, map_batches, record, row_key, without
+from txnspark.sources.scratch import written
 
 BROADCAST_BYTES = 8 << 20
 Q = 8
@@ -238,5 +239,6 @@ def contaminated(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a hit, all columns kept."""
-    hits = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    hits = written(contaminated(keyed, benchmark).select("doc_id"), "hits")
+    return without(docs, hits, row_key())

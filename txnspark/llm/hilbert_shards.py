@@ -13,7 +13,7 @@ together and the order is fixed. Only keys are exchanged, never texts.
 
 Defined results: a null value is the lowest bin of its dimension; rows equal in every
 ordering column are interchangeable; an empty table has no shards; more shards than
-rows leave some shards empty.
+rows leave some shards empty; input columns named hilbert, shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -112,6 +112,7 @@ def shards(
     df: DataFrame, dims: Sequence[str], ties: Sequence[str], count: int = 16, bits: int = 6
 ) -> DataFrame:
     """``df`` with hilbert, shard (0 to count - 1) and slot (gapless from 0 in its shard)."""
+    df = df.drop("hilbert", "shard", "slot")
     rows = written(curve_index(df, dims, bits), "curve")
     total = rows.count()
     numbered = ordered.numbered(rows, [F.col(c) for c in ("hilbert", *ties)], "_place", limit=BLOCK_ROWS)

@@ -14,8 +14,8 @@ length, the most frequent ones; that bounds what is sent to the executors.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; rows
 are scored one by one, so repeated rows get equal results; no training rows at all
-make every text ``und``; other columns pass through and may have any name that the
-result columns don't use.
+make every text ``und``; other columns pass through, and those with the names of the
+result columns are replaced.
 """
 
 from __future__ import annotations
@@ -188,6 +188,7 @@ def identify(docs: DataFrame, model: Model, sharpness: float = 16.0) -> DataFram
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most order * max_contexts keys
+    docs = docs.drop("lang_pred", "score", "bits_per_byte")
     names = [f.name for f in docs.schema]
     added = {"lang_pred": pa.string(), "score": pa.float64(), "bits_per_byte": pa.float64()}
     own = "lang_pred string, score double, bits_per_byte double"
@@ -227,3 +228,19 @@ def identify(docs: DataFrame, model: Model, sharpness: float = 16.0) -> DataFram
 def reject(identified: DataFrame, max_bits: float = 6.0) -> F.Column:
     """Texts without a letter, or that no learnt language codes better than noise."""
     return (F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") > max_bits)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` that are not rejected, with the predicted language in ``lang``.
+
+    Learns from the languages that the rows state. If none does, there is nothing to
+    tell languages apart by and every row stays as it is.
+    """
+    model = train(docs.select("doc_id", "text", "lang"))
+    if not model.langs:
+        return docs
+    rows = docs.withColumnsRenamed({c: f"__in_{c}" for c in docs.columns if c != "text"})
+    found = identify(rows, model)
+    found = found.where(~reject(found))
+    own = [F.col("lang_pred" if c == "lang" else "text" if c == "text" else f"`__in_{c}`").alias(c) for c in docs.columns]
+    return found.select(*own)

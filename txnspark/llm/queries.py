@@ -14,8 +14,11 @@ from txnspark.llm import (
     decontamination,
     hilbert_shards,
     language_id,
+    license_scan,
+    ngram_join,
     packing,
     quality_classifier,
+    quality_rules,
 )
 from txnspark.llm.common import doc_crc
 from txnspark.sources.scratch import scratch_path
@@ -61,6 +64,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity component of every document: three-word shingles, Jaccard 0.9 or more."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from two thirds of the labels."""
@@ -95,3 +104,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1, length=2048)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").drop("n_chars"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "distance2")
