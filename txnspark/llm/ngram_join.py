@@ -70,7 +70,7 @@ def shingles(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     out = mixed(np.minimum(size, k).astype(np.uint64))
     for j in range(k):
         moved = np.zeros_like(word)
-        moved[: len(word) - j] = word[j:] if j else word
+        moved[: max(0, len(word) - j)] = word[j:]
         out = np.where(j < size, mixed(out * _ODD[0] + moved), out)
     return out[take], np.bincount(doc[take], minlength=len(sizes))
 
