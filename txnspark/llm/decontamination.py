@@ -68,7 +68,7 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Folded items with the sorted gram table and its filter."""
+    """Folded items with the sorted gram table, its filter, and what each item allows."""
 
     ids: np.ndarray
     texts: list[bytes]
@@ -77,21 +77,30 @@ class Items:
     place: np.ndarray
     filter: np.ndarray
     short: list[int]
+    q: int
+    size: np.ndarray
+    budget: np.ndarray  # edits
+    need: np.ndarray  # shared q-grams that a passage within the budget has at least
+    longest: int
 
 
-def index_items(rows: list[tuple[int, str]], q: int = Q) -> Items:
+def index_items(rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> Items:
     folded = [(i, t) for i, t in ((i, fold(t)) for i, t in rows if t) if t]
     found = [qgrams(t, q) if len(t) >= 2 * q else np.zeros(0, np.uint64) for _, t in folded]
-    size = np.array([len(g) for g in found], np.int64)
+    number = np.array([len(g) for g in found], np.int64)
     grams = np.concatenate([*found, np.zeros(0, np.uint64)])
-    item = np.repeat(np.arange(len(folded)), size)
-    place = np.concatenate([*(np.arange(n) for n in size), np.zeros(0, np.int64)]).astype(np.int64)
+    item = np.repeat(np.arange(len(folded)), number)
+    place = np.concatenate([*(np.arange(n) for n in number), np.zeros(0, np.int64)]).astype(np.int64)
     order = np.argsort(grams, kind="stable")
     sieve = np.zeros(1 << FILTER_BITS, bool)
     sieve[_slot(grams)] = True
-    short = [i for i, n in enumerate(size) if n == 0]
-    ids = np.array([i for i, _ in folded], np.int64)
-    return Items(ids, [t for _, t in folded], grams[order], item[order], place[order], sieve, short)
+    size = np.array([len(t) for _, t in folded], np.int64)
+    budget = (size * edit_rate).astype(np.int64)
+    need = np.maximum(size + 1 - q * (budget + 1), 1)
+    return Items(
+        np.array([i for i, _ in folded], np.int64), [t for _, t in folded], grams[order], item[order], place[order],
+        sieve, np.flatnonzero(number == 0).tolist(), q, size, budget, need, int((size + 2 * budget).max(initial=0)) + q,
+    )
 
 
 def edits_in(item: bytes, region: bytes, most: int) -> tuple[int, int, int]:
@@ -125,70 +134,53 @@ def edits_in(item: bytes, region: bytes, most: int) -> tuple[int, int, int]:
     return best if best[0] <= most else (most + 1, 0, 0)
 
 
-def regions(data: bytes, items: Items, q: int, edit_rate: float) -> list[tuple[int, int, int]]:
+def regions(data: bytes, items: Items) -> list[tuple[int, int, int]]:
     """(item, first byte, last byte + 1) of bands with enough shared q-grams."""
-    grams = qgrams(data, q)
+    grams = qgrams(data, items.q)
     at = np.flatnonzero(items.filter[_slot(grams)])
-    if not len(at):
-        return []
     low = np.searchsorted(items.grams, grams[at], "left")
     many = np.searchsorted(items.grams, grams[at], "right") - low
-    at, low, many = at[many > 0], low[many > 0], many[many > 0]
-    if not len(at):
+    if not many.any():
         return []
     position = np.repeat(at, many)
-    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    entry = np.arange(len(position)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
     item, place = items.item[entry], items.place[entry]
-    size = np.array([len(t) for t in items.texts], np.int64)[item]
-    budget = (size * edit_rate).astype(np.int64)
-    need = np.maximum(size + 1 - q * (budget + 1), 1)
-    diagonal = position - place + size
-    half = budget + 1
-    band = diagonal // half
-    # Each diagonal lies in the band that begins here and in the one that began a half before.
-    keys = np.concatenate([np.stack([item, band], 1), np.stack([item, band - 1], 1)])
-    pairs, where = np.unique(keys, axis=0, return_inverse=True)
-    where = where.ravel()
-    # Distinct places of the item: a gram that a text repeats counts once in a band.
-    each = np.unique(np.stack([where, np.tile(place, 2)], 1), axis=0)[:, 0]
-    shared = np.bincount(each, minlength=len(pairs))
-    bound = np.zeros(len(pairs), np.int64)
-    bound[where] = np.tile(need, 2)
-    first = np.full(len(pairs), len(data))
-    last = np.zeros(len(pairs), np.int64)
-    np.minimum.at(first, where, np.tile(position - place, 2))
-    np.maximum.at(last, where, np.tile(position - place + size, 2))
-    slack = np.zeros(len(pairs), np.int64)
-    slack[where] = np.tile(budget, 2)
-    kept = np.flatnonzero(shared >= bound)
+    # One number per (item, band). A diagonal lies in the band that begins in its half
+    # and in the one that began a half before.
+    width = (len(data) + items.longest) * 2
+    band = (position - place + items.size[item]) // (items.budget[item] + 1) + 1
+    own = item * width + band
+    keys, counts = np.unique(np.concatenate([own, own - 1]), return_counts=True)
+    keys = keys[counts >= items.need[keys // width]]
     out = []
-    for k in kept:
-        out.append((int(pairs[k, 0]), max(0, int(first[k] - slack[k])), min(len(data), int(last[k] + slack[k]))))
+    for key in keys.tolist():
+        i = key // width
+        inside = (own == key) | (own == key + 1)
+        # Places of the item count once: a text may repeat a gram.
+        if len(np.unique(place[inside])) < items.need[i]:
+            continue
+        start = position[inside] - place[inside]
+        first, last = int(start.min() - items.budget[i]), int(start.max() + items.size[i] + items.budget[i])
+        out.append((i, max(0, first), min(len(data), last)))
     return out
 
 
-def search(text: str, items: Items, q: int = Q, edit_rate: float = EDIT_RATE) -> list[tuple[int, int, int, int]]:
+def search(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     """(item, start, length, edits) in the folded text, the best place of each item found."""
     data = fold(text)
     best: dict[int, tuple[int, int, int]] = {}
-    overlap = int(max(map(len, items.texts), default=0) * (1 + 2 * edit_rate)) + 2 * q
-    found = [
-        (item, low + at, high + at)
-        for at in range(0, len(data), CHUNK)
-        for item, low, high in regions(data[at : at + CHUNK + overlap], items, q, edit_rate)
-    ]
-    for item, low, high in found:
-        pattern = items.texts[item]
-        exact = data.find(pattern, low, high)
-        if exact >= 0:
-            edits, start, end = 0, exact, exact + len(pattern)
-        else:
-            most = int(len(pattern) * edit_rate)
-            edits, start, end = edits_in(pattern, data[low:high], most)
-            if edits > most:
-                continue
-            start, end = start + low, end + low
-        best[item] = min(best.get(item, (edits, start, end)), (edits, start, end))
+    for at in range(0, len(data), CHUNK):
+        for item, low, high in regions(data[at : at + CHUNK + items.longest], items):
+            low, high, pattern = low + at, high + at, items.texts[item]
+            exact = data.find(pattern, low, high)
+            if exact >= 0:
+                place = (0, exact, exact + len(pattern))
+            else:
+                edits, start, end = edits_in(pattern, data[low:high], int(items.budget[item]))
+                if edits > items.budget[item]:
+                    continue
+                place = (edits, start + low, end + low)
+            best[item] = min(best.get(item, place), place)
     for item in items.short:
         whole = re.search(rb"(?:^| )(" + re.escape(items.texts[item]) + rb")(?: |$)", data)
         if whole:
@@ -196,7 +188,7 @@ def search(text: str, items: Items, q: int = Q, edit_rate: float = EDIT_RATE) ->
     return [(i, start, end - start, edits) for i, (edits, start, end) in sorted(best.items())]
 
 
-def _search_part(docs: DataFrame, items: Items, q: int, edit_rate: float) -> DataFrame:
+def _search_part(docs: DataFrame, items: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BROADCAST_BYTES of item text
     names = [n for n in _SPAN.replace(",", "").split()[::2]]
     schema = pa.schema([(n, pa.int64()) for n in names])
@@ -207,7 +199,7 @@ def _search_part(docs: DataFrame, items: Items, q: int, edit_rate: float) -> Dat
             out = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
                 if text.is_valid:
-                    for i, start, length, edits in search(text.as_py(), known, q, edit_rate):
+                    for i, start, length, edits in search(text.as_py(), known):
                         out.append((doc_id, int(known.ids[i]), start, length, edits, len(known.texts[i])))
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
@@ -232,7 +224,7 @@ def contaminated(
     out = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text")
-        found = _search_part(rows, index_items([(r["item_id"], r["text"]) for r in own.collect()], q), q, edit_rate)
+        found = _search_part(rows, index_items([(r["item_id"], r["text"]) for r in own.collect()], q, edit_rate))
         out = found if out is None else out.unionByName(found)
     return out
 
