@@ -98,7 +98,9 @@ def fit(counts: list[tuple[int, str, int, int]]) -> Model:
     for k in range(order + 1):
         own = [c for c in counts if c[0] == k]
         gram = np.array([c[2] for c in own], np.uint64)
-        key, where = np.unique(gram, return_inverse=True)
+        # Zero is the context before a text's first byte, which no count names.
+        key = np.unique(np.append(gram, np.uint64(0)))
+        where = np.searchsorted(key, gram)
         n = np.zeros((len(key), len(langs)))
         np.add.at(n, (where, [at[c[1]] for c in own]), [c[3] for c in own])
         parents = keys[k - 1] if k else np.zeros(1, np.uint64)
@@ -175,7 +177,7 @@ def closed(counts: list[tuple[int, str, int, int]]) -> list[tuple[int, str, int,
             c for c in counts
             if c[0] == k and (not k or (c[2] & ((1 << 8 * k) - 1) in shorter and c[2] >> 8 in shorter))
         ]
-        shorter = {c[2] for c in level}
+        shorter = {0, *(c[2] for c in level)}
         kept += level
     return kept
 
