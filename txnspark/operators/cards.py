@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnspark.operators import ordered
-from txnspark.operators.history import Columns
+from txnspark.operators.history import ALONE, Columns, alone
 from txnspark.operators.ordered import HOT_ROWS
 
 STATS = (
@@ -110,14 +110,12 @@ def _attach(
         out = usual.withColumns({n: c.over(group) for n, c in columns.items()})
     else:
         # Without a card each row stands alone, so NULL cards never pile up.
-        alone = F.when(F.col(k.card).isNull(), F.col(k.id))
-        group = Window.partitionBy(k.card, "_alone")
+        group = Window.partitionBy(k.card, ALONE)
         known = F.col(k.card).isNotNull()
-        out = (
-            usual.withColumn("_alone", alone)
-            .withColumns({n: F.when(known, c.over(group)) for n, c in columns.items()})
-            .drop("_alone")
-        )
+        shared = ALONE in usual.columns
+        out = usual if shared else usual.withColumn(ALONE, alone(k))
+        out = out.withColumns({n: F.when(known, c.over(group)) for n, c in columns.items()})
+        out = out if shared else out.drop(ALONE)
     if hot is None:
         return out
     table = _hot_stats(hot.select(k.card, *_inputs(k, stats)), stats, k, hot_rows)

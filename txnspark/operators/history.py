@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -32,6 +32,9 @@ ROLLING_ROWS = 50
 # A window sum is the difference of two running sums, which would lose digits in
 # floating point. Amounts are therefore summed exactly, to ten digits after the
 # point: as decimals, or where at most HOT_ROWS rows add up, as two integers.
+# An amount that is NaN, infinite or beyond AMOUNT_LIMIT counts as missing, whatever
+# the size of the card: it adds nothing to a sum and enters no statistic.
+AMOUNT_LIMIT = 1e12
 MONEY = "decimal(28,10)"
 FRACTION = 10_000_000_000
 
@@ -98,6 +101,13 @@ Feature = Velocity | SinceLast | PrevTime | TxnIndex | Rolling | Prior
 
 # Seconds, microseconds and row number in the form the windows need.
 _U, _M, _ROW = "_u", "_m", "_row"
+_AMOUNT, ALONE = "_amount", "_alone"
+
+
+def alone(k: Columns = Columns()) -> Column:
+    """A group of its own for every row without a card; NULL for the others."""
+    own = F.coalesce(F.col(k.id).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    return F.when(F.col(k.card).isNull(), own)
 
 
 def _over(stat: str, column: Column, frame) -> Column:
@@ -112,13 +122,17 @@ def _over(stat: str, column: Column, frame) -> Column:
 
 
 def _prepared(df: DataFrame, k: Columns) -> DataFrame:
-    return df.withColumns({_U: epoch_seconds(F.col(k.time)), _M: epoch_micros(F.col(k.time))})
+    out = df.withColumns({_U: epoch_seconds(F.col(k.time)), _M: epoch_micros(F.col(k.time))})
+    if k.amount not in df.columns:
+        return out
+    amount = F.col(k.amount).cast("double")
+    usable = ~F.isnan(amount) & (F.abs(amount) <= AMOUNT_LIMIT)
+    return out.withColumn(_AMOUNT, F.when(usable, amount))
 
 
 def _amount(k: Columns) -> Column:
     """The amount, 0 where it is missing."""
-    amount = F.col(k.amount).cast("double")
-    return F.coalesce(F.nanvl(amount, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.col(k.amount), F.lit(0.0))
 
 
 def _row_order(k: Columns) -> list[Column]:
@@ -143,10 +157,12 @@ def add_history(
 ) -> DataFrame:
     """``df`` with one column per wanted feature; rows and keys are untouched."""
     ready = _prepared(df, k)
+    if _AMOUNT in ready.columns:
+        k = replace(k, amount=_AMOUNT)
     usual, hot = ordered.split_hot(ready, [k.card], hot_rows)
     out = _plain(usual, want, k)
     if hot is not None:
-        out = out.unionByName(_spread(hot, want, k, hot_rows))
+        out = out.unionByName(_spread(hot, want, k, hot_rows), allowMissingColumns=True)
     return out.select(*df.columns, *want)
 
 
@@ -155,30 +171,31 @@ def add_history(
 
 def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns) -> DataFrame:
     """Windows partitioned by card. Rows without a card are groups of their own."""
-    alone = F.when(F.col(k.card).isNull(), F.col(k.id))
     out = df
     for name, f in want.items():
         if _is_prior_median(f):
             out = _prior_median(out, name, k)
-    out = out.withColumn("_alone", alone)
+    # A caller that has grouped by card before hands its column through: one exchange.
+    if ALONE not in out.columns:
+        out = out.withColumn(ALONE, alone(k))
     rest = {n: f for n, f in want.items() if not _is_prior_median(f)}
     by_card = [f for f in rest.items() if not getattr(f[1], "by_category", False)]
     by_category = [f for f in rest.items() if getattr(f[1], "by_category", False)]
     has_card = F.col(k.card).isNotNull()
     # Card windows come first: their exchange on the card also serves the
     # narrower (card, category) groups.
-    card = Window.partitionBy(k.card, "_alone")
+    card = Window.partitionBy(k.card, ALONE)
     missing = {n: F.lit(0.0) if isinstance(f, SinceLast) else F.lit(None) for n, f in by_card}
     out = out.withColumns(
         {n: F.when(has_card, _plain_expr(f, card, k)).otherwise(missing[n]) for n, f in by_card}
     )
     if by_category:
-        narrow = Window.partitionBy(k.card, "_alone", k.category)
+        narrow = Window.partitionBy(k.card, ALONE, k.category)
         known = has_card & F.col(k.category).isNotNull()
         out = out.withColumns(
             {name: F.when(known, _plain_expr(f, narrow, k)) for name, f in by_category}
         )
-    return out.drop("_alone")
+    return out
 
 
 def _plain_expr(f: Feature, group, k: Columns) -> Column:

@@ -28,10 +28,9 @@ SAMPLE_PER_BLOCK = 500
 BLOCK = "_block"
 
 
-def block_count(df: DataFrame, rows: int, limit: int) -> int:
-    """Blocks of about ``limit`` rows, as far as the shuffle setting allows."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(math.ceil(rows / limit), most))
+def block_count(rows: int, limit: int) -> int:
+    """Blocks of about ``limit`` rows."""
+    return max(2, math.ceil(rows / limit))
 
 
 def split_hot(
@@ -73,6 +72,11 @@ def range_blocks(
     return written(cut.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
+def is_number(value: Column) -> Column:
+    """Neither NULL nor NaN; infinities are numbers and have a place in the order."""
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def value_bounds(df: DataFrame, value: str, limit: int = HOT_ROWS) -> list[float]:
     """Bounds that cut the values of a double column into blocks; none if one is enough.
 
@@ -80,15 +84,17 @@ def value_bounds(df: DataFrame, value: str, limit: int = HOT_ROWS) -> list[float
     a sample. Bounds become constants of the plan, so a recomputed task finds the
     same blocks; how even they are does not matter for the result.
     """
+    df = df.where(is_number(F.col(value)))
     rows, distinct = df.agg(F.count(value), F.approx_count_distinct(value)).first()
     if distinct <= limit:
         return []
-    n = block_count(df, rows, limit)
+    n = block_count(rows, limit)
     sample = df.select(value)
     if rows > SAMPLE_PER_BLOCK * n:
         sample = sample.sample(SAMPLE_PER_BLOCK * n / rows, seed=42)
     cuts = sample.stat.approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n))
-    return sorted(set(cuts))
+    # Infinite values are in order but make no bound: the outer blocks hold them.
+    return sorted({c for c in cuts if math.isfinite(c)})
 
 
 def value_blocks(
@@ -98,7 +104,8 @@ def value_blocks(
     if not bounds:
         return df.withColumn(BLOCK, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
+    # A value that is no number goes to a block past the last one, as it sorts.
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(df)
     number = F.col("_bucket").cast("int")
     return cut.withColumn(BLOCK, -number if descending else number).drop("_bucket")
 
@@ -207,7 +214,7 @@ def running(
     rows = df.count()
     if rows <= limit:
         return _in_one_task(df, by, order, measures, totals)
-    blocks = range_blocks(df, by, order, block_count(df, rows, limit))
+    blocks = range_blocks(df, by, order, block_count(rows, limit))
     return _in_blocks(blocks, by, order, measures, totals)
 
 
@@ -245,13 +252,13 @@ def numbered(
 def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), limit: int = HOT_ROWS
 ) -> DataFrame:
-    """Distinct values with the positions they cover in sorted order.
+    """Distinct values with the positions they cover in sorted order; NULL and NaN are left out.
 
     One row per (group, value): it holds positions ``first`` .. ``last`` of
     ``total`` (1-based). Equal values are counted before they are moved.
     """
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(is_number(F.col(value)))
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )

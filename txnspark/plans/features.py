@@ -11,6 +11,7 @@ from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from txnspark.functions import geo
 from txnspark.functions.scoring import gender_bin
@@ -24,16 +25,19 @@ from txnspark.functions.time import (
 from txnspark.operators import columns, ordered
 from txnspark.operators.cards import add_card_totals, join_card_stats
 from txnspark.operators.history import (
+    ALONE,
     DAY,
     HOUR,
     Columns,
     Feature,
     PrevTime,
+    Prior,
     Rolling,
     SinceLast,
     TxnIndex,
     Velocity,
     add_history,
+    alone,
 )
 
 KEYS = Columns()
@@ -83,6 +87,8 @@ def build(
         return build_app(df, hot_rows=hot_rows)
     if profile == "notebook":
         return build_notebook(df, hot_rows)
+    if profile == "transformer":
+        return build_transformer(df, hot_rows)
     raise ValueError(f"unknown profile {profile}")
 
 
@@ -126,6 +132,17 @@ def _scorer_history(df: DataFrame, profile: str) -> dict[str, Feature]:
     return out
 
 
+def upload_time(raw: DataFrame, time: str) -> Column:
+    """Time of an uploaded row. A text column without any time holds epoch seconds."""
+    dtype = raw.schema[time].dataType
+    if isinstance(dtype, StringType):
+        number = F.col(time).try_cast("double")
+        times, numbers = raw.agg(F.count(parse_ts(F.col(time))), F.count(number)).first()
+        if not times and numbers:
+            return parse_ts_or_epoch(number, DoubleType())
+    return parse_ts_or_epoch(F.col(time), dtype)
+
+
 def build_app(
     raw: DataFrame,
     velocity: str = "app",
@@ -140,8 +157,7 @@ def build_app(
     out = columns.resolve_aliases(raw, id_order)
     time = columns.first_present(raw, columns.TIME_NAMES)
     if time:
-        ts = parse_ts_or_epoch(F.col(time), raw.schema[time].dataType)
-        out = out.withColumn("_ts", ts)
+        out = out.withColumn("_ts", upload_time(raw, time))
         ts = F.col("_ts")
         parts = time_features(ts, night_from=22, end_inclusive=False)
         parts["unix_time"] = epoch_seconds(ts)
@@ -152,7 +168,8 @@ def build_app(
     out = add_card_totals(out, hot_rows=hot_rows)
     names = ["time_since_last_txn", *velocity_features(velocity)]
     if not time:
-        return out.withColumns({n: F.lit(0.0) for n in names})
+        out = out.withColumns({n: F.lit(0.0) for n in names})
+        return columns.object_to_numeric(out, skip=("trans_num",))
     history = {"time_since_last_txn": SinceLast(whole_seconds=True), **velocity_features(velocity)}
     out = add_history(out, history, Columns(time="_ts"), hot_rows)
     counts = {n: F.col(n).cast("double") for n in names}
@@ -167,7 +184,8 @@ def build_notebook(df: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame
     out = out.withColumns(time_features(F.col(k.time), night_from=22))
     out = out.withColumn("dist_home_merch", distance)
     out = out.withColumn("dist_category", geo.category7(F.col("dist_home_merch")))
-    out = join_card_stats(out, hot_rows=hot_rows)
+    # Statistics and history group by the same two columns: one exchange serves both.
+    out = join_card_stats(out.withColumn(ALONE, alone(k)), hot_rows=hot_rows)
     history = {
         "prev_trans_time": PrevTime(),
         "time_since_last_trans": SinceLast(),
@@ -176,4 +194,17 @@ def build_notebook(df: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame
     }
     if k.category in df.columns:
         history |= velocity_features("half_open", by_category=True)
+    return add_history(out, history, k, hot_rows).drop(ALONE)
+
+
+def build_transformer(df: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """The fitted pipeline's own rules: history only, statistics of earlier rows."""
+    k = KEYS
+    out = df.withColumn(k.time, parse_ts(F.col(k.time)))
+    history = {
+        "time_since_last_txn": SinceLast("minutes"),
+        **velocity_features("half_open"),
+        "transaction_count": TxnIndex(),
+        **{f"{s}_amt": Prior(s) for s in ("mean", "std", "median", "max")},
+    }
     return add_history(out, history, k, hot_rows)

@@ -7,6 +7,7 @@ lost executor re-reads files and never recomputes the split.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="txnspark-")
     spark.sparkContext.setCheckpointDir(root)
