@@ -38,23 +38,36 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One 0/1 column per value but the first; missing values are all 0.
 
-    The levels become columns, so more than ``max_levels`` is an error.
+    Every level becomes a column of the result, however many there are. For columns
+    whose levels grow with the data use ``one_hot_places``.
     """
     add: dict[str, Column] = {}
     for name in columns:
-        found = (
-            df.select(name).dropna().distinct().orderBy(name).limit(max_levels + 1).collect()
-        )
-        if len(found) > max_levels:
-            raise ValueError(f"{name} has more than {max_levels} values")
+        found = df.select(name).dropna().distinct().orderBy(name).collect()
         for (level,) in found[1:]:
             add[f"{name}_{level}"] = F.coalesce(F.col(name) == level, F.lit(False)).cast("int")
     return df.withColumns(add).drop(*columns)
 
 
+def one_hot_places(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sparse form of ``one_hot``: per column the place of its 1, NULL if there is none.
+
+    Places count the sorted levels from the second one on, as 0, 1, ...; no level
+    reaches the driver or becomes a column.
+    """
+    out = df
+    for name in columns:
+        levels = df.select(name).dropna().distinct()
+        numbers = ordered.numbered(levels, [F.col(name)], "_place").withColumn("_place", F.col("_place") - 2)
+        table = written(numbers, "levels")
+        coded = lookup(out, table, name, "_place", F.lit(None).cast("long"))
+        out = coded.withColumn(name, F.when(F.col("_place") >= 0, F.col("_place"))).drop("_place")
+    return out
+
+
 def encode_categoricals(df: DataFrame) -> DataFrame:
     """Merchant prefix removed, long text label-encoded, short text one-hot."""
     out = df.withColumn("merchant", strip_fraud_prefix(F.col("merchant")))

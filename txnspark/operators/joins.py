@@ -19,20 +19,31 @@ def join_predictions(
 ) -> DataFrame:
     """Transactions with score and decision, by id.
 
-    Rows without an id match nothing. They are spread by their content, since a
-    left join would send all of them to one task.
+    Rows without an id match nothing. They stay out of the join, which would send all
+    of them to one task, and come back without a score.
     """
     scores = predictions.select(id_column, "fraud_probability", "decision")
     if how != "left":
         return raw.join(scores, id_column, how)
-    # A second key that follows the id where there is one. It must not be a
-    # constant on either side, or the optimizer takes it out of the keys again.
-    follows = F.xxhash64(F.col(id_column))
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
-    spread = F.when(F.col(id_column).isNull(), content).otherwise(follows)
-    left = raw.withColumn("_spread", spread)
-    right = scores.withColumn("_spread", follows)
-    return left.join(right, [id_column, "_spread"], "left").drop("_spread")
+    known = F.col(id_column).isNotNull()
+    joined = raw.where(known).join(scores.where(known), id_column, "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in scores.schema if f.name != id_column}
+    return joined.unionByName(raw.where(~known).withColumns(none))
+
+
+def scored_rows(
+    raw: DataFrame,
+    predictions: DataFrame,
+    id_column: str = "trans_num",
+    raw_order: Sequence[str] = (),
+    prediction_order: Sequence[str] = (),
+) -> DataFrame:
+    """By id where the predictions carry one, else by position along declared orders."""
+    if id_column in predictions.columns:
+        return join_predictions(raw, predictions, id_column)
+    if not (raw_order and prediction_order):
+        raise ValueError(f"predictions without {id_column} need raw_order and prediction_order")
+    return attach_by_position(raw, predictions, raw_order, prediction_order)
 
 
 def join_for_evaluation(
@@ -53,6 +64,7 @@ def attach_by_position(
     raw_order: Sequence[str],
     prediction_order: Sequence[str],
     strict: bool = True,
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Pair the n-th transaction with the n-th prediction along declared orders.
 
@@ -68,8 +80,8 @@ def attach_by_position(
         "decision",
     )
     order = [F.col(f"_o{i}") for i in range(len(prediction_order))]
-    a = ordered.numbered(raw, [F.col(c) for c in raw_order], "_position")
-    b = ordered.numbered(scores, order, "_position").select(
+    a = ordered.numbered(raw, [F.col(c) for c in raw_order], "_position", limit=limit)
+    b = ordered.numbered(scores, order, "_position", limit=limit).select(
         "_position", "fraud_probability", "decision"
     )
     return a.join(b, "_position").drop("_position")

@@ -24,6 +24,8 @@ class TreeSettings:
     depth: int = 6
     learning_rate: float = 0.05
     subsample: float = 0.8
+    rows_per_leaf: int = 1
+    columns_per_tree: str = "all"  # or "sqrt", "0.8", ...
     seed: int = SEED
 
 
@@ -80,6 +82,8 @@ def train_gbt(
         maxDepth=settings.depth,
         stepSize=settings.learning_rate,
         subsamplingRate=settings.subsample,
+        minInstancesPerNode=settings.rows_per_leaf,
+        featureSubsetStrategy=settings.columns_per_tree,
         seed=settings.seed,
     )
     trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
@@ -188,6 +192,12 @@ def isotonic_points(df: DataFrame, score: str, label: str) -> DataFrame:
     return runs.select("_y", F.inline(places))
 
 
+def fit_isotonic(df: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
+    """Isotonic map from ``score`` (as column ``_p``) to the label's mean."""
+    fit = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_fit")
+    return fit.fit(isotonic_points(df, score, label))
+
+
 def calibrate_isotonic(
     train: DataFrame,
     features: Sequence[str],
@@ -204,8 +214,6 @@ def calibrate_isotonic(
     for i in range(folds):
         trees = train_gbt(rows.where(F.col("_fold") != i), features, label, weight, settings)
         held = _with_probability(rows.where(F.col("_fold") == i), trees, "_p")
-        isotonic = IsotonicRegression(
-            featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_fit"
-        ).fit(isotonic_points(held, "_p", label))
+        isotonic = fit_isotonic(held, "_p", label)
         pairs.append((trees, isotonic))
     return CalibratedModel(pairs)

@@ -35,6 +35,13 @@ def flagged(df: DataFrame) -> DataFrame:
     return df.where(is_flagged(F.col("decision")))
 
 
+def latest_month(df: DataFrame, time: str = "trans_date_trans_time") -> Column:
+    """Month of the latest row of a table, as a value."""
+    if time not in df.columns:
+        return F.lit("unknown-month")
+    return df.agg(month_tag(parse_ts(F.col(time))).alias("month")).scalar()
+
+
 def queue(df: DataFrame, tier: str, id_column: str = "trans_num") -> DataFrame:
     return sort_queue(of_tier(df, tier), id_column)
 
@@ -228,9 +235,11 @@ def score_histogram(
     )
 
 
-def decile_edges(df: DataFrame, amount: str = "amt", q: int = 10) -> list[float]:
+def decile_edges(
+    df: DataFrame, amount: str = "amt", q: int = 10, limit: int = ordered.HOT_ROWS
+) -> list[float]:
     """Quantile edges of the amounts, repeated edges once."""
-    edges = ordered.exact_quantiles(df, amount, [i / q for i in range(q + 1)])
+    edges = ordered.exact_quantiles(df, amount, [i / q for i in range(q + 1)], limit)
     return sorted(set(edges))
 
 
@@ -245,10 +254,14 @@ def decile_of(amount: Column, edges: Sequence[float]) -> Column:
 
 
 def decile_mean(
-    df: DataFrame, amount: str = "amt", score: str = "fraud_probability", q: int = 10
+    df: DataFrame,
+    amount: str = "amt",
+    score: str = "fraud_probability",
+    q: int = 10,
+    limit: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """Mean score per amount decile, with the edges of the bin."""
-    edges = decile_edges(df, amount, q)
+    edges = decile_edges(df, amount, q, limit)
     bins = df.sparkSession.createDataFrame(
         [(i, low, high) for i, (low, high) in enumerate(zip(edges, edges[1:]))],
         "decile int, low double, high double",

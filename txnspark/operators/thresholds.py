@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from txnspark.operators.curves import f1, precision, recall
 
 
+# Fixed value: the block threshold suggested where no score is left to choose from.
+NO_CURVE_BLOCK = 0.90
+
+
 def _described(points: DataFrame, eps: float = 1e-12) -> DataFrame:
     return points.select(
         "threshold",
@@ -52,7 +56,8 @@ def suggest_policy(
     points: DataFrame, block_precision: float = 0.98, review_precision: float = 0.75
 ) -> DataFrame:
     """Highest threshold of at least the block precision, else the highest score;
-    for review the highest one below it, else ``min(block, 0.5)``."""
+    for review the highest one below it, else ``min(block, 0.5)``. Without any score
+    the block threshold is NO_CURVE_BLOCK."""
     return _suggest(points, block_precision, review_precision, F.max)
 
 
@@ -69,6 +74,7 @@ def _suggest(points: DataFrame, block_precision: float, review_precision: float,
         F.coalesce(
             pick(F.when(F.col("precision") >= block_precision, F.col("threshold"))),
             F.max("threshold"),
+            F.lit(NO_CURVE_BLOCK),
         ).alias("block")
     )
     found = block.scalar()

@@ -95,17 +95,44 @@ def app_panels(
 # -------------------------------------------------------------------- queues
 
 
+def flagged_rows(
+    raw: DataFrame,
+    predictions: DataFrame,
+    id_column: str = "trans_num",
+    raw_order: Sequence[str] = (),
+    prediction_order: Sequence[str] = (),
+) -> DataFrame:
+    """Flagged rows with all their columns, written once: a small part of the table."""
+    joined = joins.scored_rows(raw, predictions, id_column, raw_order, prediction_order)
+    return written(reports.flagged(joined), "flagged")
+
+
 def review_queues(
-    raw: DataFrame, predictions: DataFrame, id_column: str = "trans_num"
+    raw: DataFrame,
+    predictions: DataFrame,
+    id_column: str = "trans_num",
+    raw_order: Sequence[str] = (),
+    prediction_order: Sequence[str] = (),
+    time: str = "trans_date_trans_time",
+    held: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Block and review queue and the three summaries, off one written join."""
-    joined = written(joins.join_predictions(raw, predictions, id_column), "joined")
+    """Block and review queue and the three summaries.
+
+    Only flagged rows are written; the summary by hour, which counts all scored rows,
+    reads id (or order), time and score. Predictions without an id are paired by
+    position along the declared orders.
+    """
+    orders = (raw_order, prediction_order)
+    if held is None:
+        held = flagged_rows(raw, predictions, id_column, *orders)
+    narrow = [c for c in dict.fromkeys([id_column, time, *raw_order]) if c in raw.columns]
+    by_time = joins.scored_rows(raw.select(*narrow), predictions, id_column, *orders)
     return {
-        "block": reports.queue(joined, "block", id_column),
-        "review": reports.queue(joined, "review", id_column),
-        "summary_by_category": reports.by_category(joined),
-        "top_merchants": reports.top_merchants(joined),
-        "summary_by_hour": reports.by_hour(joined),
+        "block": reports.queue(held, "block", id_column),
+        "review": reports.queue(held, "review", id_column),
+        "summary_by_category": reports.by_category(held),
+        "top_merchants": reports.top_merchants(held),
+        "summary_by_hour": reports.by_hour(by_time),
     }
 
 
@@ -176,11 +203,21 @@ def monthly_eval(
     label: str = "is_fraud",
     time: str = "trans_date_trans_time",
     targets: Targets = Targets(),
+    raw_order: Sequence[str] = (),
+    prediction_order: Sequence[str] = (),
 ) -> DataFrame:
-    """Flag counts of all joined rows and, with labels, quality and a suggestion."""
-    joined = joins.join_for_evaluation(df, predictions, id_column, label, time)
+    """Flag counts of all joined rows and, with labels, quality and a suggestion.
+
+    The month is that of the latest transaction, scored or not.
+    """
+    if id_column in predictions.columns:
+        joined = joins.join_for_evaluation(df, predictions, id_column, label, time)
+    else:
+        names = [c for c in dict.fromkeys([id_column, label, time, *raw_order]) if c in df.columns]
+        joined = joins.scored_rows(df.select(*names), predictions, id_column, raw_order, prediction_order)
     table = written(joined, "evaluation")
     header = reports.monthly_header(table, policy, time)
+    header = header.withColumn("month", reports.latest_month(df, time))
     if label not in table.columns:
         return header
     measured = quality(table, label, targets).drop("flag_rate")
@@ -204,11 +241,13 @@ def monthly_run(
     scored = batch_score(df, scorer, features, policy, id_column)
     sinks.write_predictions(scored, paths["predictions"], id_column, fmt)
     predictions = spark.read.schema(scored.schema).load(paths["predictions"], format=fmt)
-    tables = review_queues(df, predictions, id_column)
-    queues = tables["block"].unionByName(tables["review"])
-    sinks.write_queues(queues, paths["queues"], id_column, fmt)
+    held = flagged_rows(df, predictions, id_column)
+    tables = review_queues(df, predictions, id_column, held=held)
+    sinks.write_queues(held, paths["queues"], id_column, fmt)
     sinks.write_analyst_pack(tables, paths["analyst_pack"], fmt)
     record = written(monthly_eval(df, predictions, policy, id_column), "metrics")
     month = record.first()["month"]
     paths["metrics"] = sinks.write_metrics(record, f"{out}/monthly", month)
+    if "threshold_suggestion" in record.columns:
+        paths["threshold_suggestion"] = sinks.write_threshold_suggestion(record, f"{out}/monthly", month)
     return paths

@@ -60,7 +60,10 @@ def write_scored(scored: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_queues(df: DataFrame, path: str, id_column: str = "trans_num", fmt: str = "csv") -> None:
-    """Block and review queues in one pass, highest scores in the first files."""
+    """Block and review queues in one pass, highest scores in the first files.
+
+    The rows are sorted here; hand them in unsorted.
+    """
     queues = df.where(F.col("decision").isin("block", "review")).orderBy(
         "decision",
         sortable_score(F.col("fraud_probability")).desc_nulls_last(),
@@ -75,6 +78,15 @@ def write_analyst_pack(tables: Mapping[str, DataFrame], root: str, fmt: str = "c
         write_table(df, f"{root}/{name}", fmt)
 
 
+def write_threshold_suggestion(record: DataFrame, root: str, month: str | None = None) -> str:
+    """The suggested policy of a record (or a suggestion itself) as a JSON file of its own."""
+    path = f"{root}/{month}/threshold_suggestion" if month else f"{root}/threshold_suggestion"
+    nested = "threshold_suggestion" in record.columns
+    suggestion = record.select("threshold_suggestion.*") if nested else record
+    suggestion.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
 def write_metrics(record: DataFrame, root: str, month: str | None = None) -> str:
     """One-row record as JSON, under the month when one is given."""
     path = f"{root}/{month}/metrics" if month else f"{root}/metrics"
