@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from txnspark.catalog.registry import B, R, predictions, put, query, tidy
 from txnspark.catalog.scalars import DECILE_SQL, EDGES_SQL
-from txnspark.catalog.summaries import HEADER_SQL, RUN_SQL
+from txnspark.catalog.summaries import BLOCK_LIMIT, HEADER_SQL, KEY_SQL, RUN_SQL, sample_key
 from txnspark.operators import curves, metrics, model, reports, sampling, thresholds
 from txnspark.plans import features, jobs
-from txnspark.sources.scratch import written
+from txnspark.sources import sinks
+from txnspark.sources.scratch import scratch_path, written
 from txnspark.sources.testdata import txn
 
 T = "trans_date_trans_time"
@@ -51,6 +53,13 @@ def ev_roc_auc(spark, sf):
     return tidy(_points(spark, sf).agg(curves.roc_auc().alias("roc_auc")))
 
 
+@query("ev_roc_auc_blocks", f"SELECT {R(AUC_SQL.format('txn'))} AS roc_auc")
+def ev_roc_auc_blocks(spark, sf):
+    """The curve in blocks of the score range, as for more scores than one task holds."""
+    points = curves.curve_points(txn(spark, sf), limit=BLOCK_LIMIT)
+    return tidy(points.agg(curves.roc_auc().alias("roc_auc")))
+
+
 @query("ev_avg_precision", f"SELECT {R(AP_SQL.format('txn'))} AS pr_auc")
 def ev_avg_precision(spark, sf):
     return tidy(_points(spark, sf).agg(curves.average_precision().alias("pr_auc")))
@@ -159,8 +168,10 @@ def _recall_sql(fraction):
 @query("ev_recall_at_k", f"{_recall_sql(0.005)} UNION ALL {_recall_sql(0.01)}")
 def ev_recall_at_k(spark, sf):
     rows = txn(spark, sf)
+    points = curves.frozen_points(curves.curve_points(rows))
     parts = [
-        curves.recall_at_k(rows, f).withColumn("fraction", F.lit(f)) for f in (0.005, 0.01)
+        curves.recall_at_k(rows, f, points=points).withColumn("fraction", F.lit(f))
+        for f in (0.005, 0.01)
     ]
     return tidy(parts[0].unionByName(parts[1]))
 
@@ -259,41 +270,99 @@ _SMALL = model.TreeSettings(trees=8, depth=4, learning_rate=0.2)
 def _training_table(spark, sf):
     """Features written once, with a score as one more input so labels can be learned."""
     built = features.build(txn(spark, sf), FEATURES, "eval")
-    split = sampling.stratified_split(built)
+    split = sampling.stratified_split(built, key=sample_key())
     names = [*FEATURES, "fraud_probability", "is_fraud", "is_test"]
     table = split.select("trans_num", *names).withColumnRenamed("fraud_probability", "hint")
     return written(table, "training"), [*FEATURES, "hint"]
 
 
-@query("ml_train_gbt")
+_SPLIT_SQL = f"""split AS (SELECT trans_num, is_fraud, row_number() OVER (PARTITION BY is_fraud
+  ORDER BY {KEY_SQL}, trans_num) <= ceil(0.2e0 * count(*) OVER (PARTITION BY is_fraud)) AS is_test FROM txn)"""
+
+
+@query(
+    "ml_train_gbt",
+    f"""WITH {_SPLIT_SQL} SELECT {B('count(*)')} AS test_rows, {B('sum(is_fraud)')} AS test_frauds,
+      true AS better_than_chance, true AS in_range FROM split WHERE is_test""",
+)
 def ml_train_gbt(spark, sf):
+    """Facts about a model on the held-out part; the floor is far below what it reaches."""
     rows, names = _training_table(spark, sf)
     trained = model.train_gbt(rows.where(~F.col("is_test")), names, settings=_SMALL)
-    scored = model.score(rows.where("is_test"), trained)
-    return curves.curve_points(scored).agg(
-        curves.roc_auc().alias("roc_auc"), curves.average_precision().alias("pr_auc")
+    scored = written(model.score(rows.where("is_test"), trained), "scored")
+    areas = curves.curve_points(scored).agg(curves.roc_auc().alias("auc"))
+    p = F.col("fraud_probability")
+    return scored.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.sum("is_fraud").cast("long").alias("test_frauds"),
+        (areas.scalar() > 0.6).alias("better_than_chance"),
+        F.every((p >= 0) & (p <= 1)).alias("in_range"),
     )
 
 
-@query("ml_score")
+@query("ml_score", f"SELECT trans_num, {B('is_fraud')} AS is_fraud, true AS in_range FROM txn")
 def ml_score(spark, sf):
+    """Every row keeps its key and label and gets a probability."""
     rows, names = _training_table(spark, sf)
     trained = model.train_gbt(rows.where(~F.col("is_test")), names, settings=_SMALL)
-    return model.score(rows, trained).select("trans_num", "is_fraud", "fraud_probability")
+    in_range = F.col("fraud_probability").between(0, 1).alias("in_range")
+    return tidy(model.score(rows, trained).select("trans_num", "is_fraud", in_range))
 
 
-@query("ml_calibrate_isotonic")
+@query(
+    "ml_calibrate_isotonic",
+    f"""WITH g AS (SELECT fraud_probability AS s, avg(is_fraud) AS y, count(*) AS w FROM txn GROUP BY 1),
+    i AS (SELECT s, row_number() OVER (ORDER BY s) AS i, sum(y * w) OVER (ORDER BY s) AS cy,
+      sum(w) OVER (ORDER BY s) AS cw, y * w AS yw, w FROM g),
+    pairs AS (SELECT a.i AS j, b.i AS k, (b.cy - a.cy + a.yw) / (b.cw - a.cw + a.w) AS m
+      FROM i a JOIN i b ON a.i <= b.i),
+    low AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM pairs),
+    fit AS (SELECT k, max(m) AS fitted FROM low GROUP BY k)
+    SELECT {R('s', 9)} AS score, {R('fitted')} AS fitted FROM fit JOIN i ON i.i = fit.k""",
+)
 def ml_calibrate_isotonic(spark, sf):
+    """The isotonic map of the given score, at every score that occurs."""
+    rows = txn(spark, sf)
+    fitted = model.fit_isotonic(rows, "fraud_probability", "is_fraud")
+    scores = rows.select(F.col("fraud_probability").alias("_p")).distinct()
+    out = fitted.setPredictionCol("fitted").transform(scores)
+    return tidy(out.select(F.col("_p").alias("score"), "fitted"), score=9)
+
+
+@query(
+    "ml_calibrated_folds",
+    f"""WITH {_SPLIT_SQL} SELECT {B('count(*)')} AS rows, true AS in_range, true AS better_than_chance
+    FROM split WHERE is_test""",
+)
+def ml_calibrated_folds(spark, sf):
+    """Facts about the fold-wise calibrated model on the held-out part."""
     rows, names = _training_table(spark, sf)
     fitted = model.calibrate_isotonic(rows.where(~F.col("is_test")), names, settings=_SMALL)
-    scored = fitted.transform(rows.where("is_test"))
-    return scored.select("trans_num", "is_fraud", "fraud_probability")
+    scored = written(fitted.transform(rows.where("is_test")), "calibrated")
+    areas = curves.curve_points(scored).agg(curves.roc_auc().alias("auc"))
+    p = F.col("fraud_probability")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.every((p >= 0) & (p <= 1)).alias("in_range"),
+        (areas.scalar() > 0.6).alias("better_than_chance"),
+    )
 
 
-@query("ml_importance")
+@query(
+    "ml_importance",
+    "SELECT n AS feature, true AS valid, true AS sums_to_one FROM (VALUES "
+    + ", ".join(f"('{n}')" for n in [*FEATURES, "hint"])
+    + ") v(n)",
+)
 def ml_importance(spark, sf):
     rows, names = _training_table(spark, sf)
-    return model.importance(model.train_gbt(rows, names, settings=_SMALL))
+    table = model.importance(model.train_gbt(rows, names, settings=_SMALL))
+    total = F.sum("importance").over(Window.partitionBy())
+    return table.select(
+        "feature",
+        F.col("importance").between(0, 1).alias("valid"),
+        (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+    )
 
 
 @query(
@@ -450,3 +519,50 @@ def pipe_app_score(spark, sf):
         F.col("avg_prob").alias("value"),
     )
     return tidy(kpis.unionByName(top).unionByName(bars).unionByName(deciles))
+
+
+@query(
+    "pipe_monthly_eval_partial",
+    f"""WITH j AS (SELECT t.*, p.decision FROM txn t JOIN pred p USING (trans_num)
+      WHERE {T} < TIMESTAMP '2024-01-15')
+    SELECT {B('count(*)')} AS rows, {B("count(*) FILTER (decision IS DISTINCT FROM 'allow')")} AS flags_total,
+      (SELECT strftime(max({T}), '%Y-%m') FROM txn) AS month FROM j""",
+)
+def pipe_monthly_eval_partial(spark, sf):
+    """Scores for the first part only: the month is that of the whole input."""
+    raw = txn(spark, sf).drop("fraud_probability")
+    early = raw.where(F.col(T) < F.lit("2024-01-15").cast("timestamp_ntz")).select("trans_num")
+    out = jobs.monthly_eval(raw, predictions(spark, sf).join(early, "trans_num"))
+    return tidy(out.select("rows", "flags_total", "month"))
+
+
+@query(
+    "pipe_review_queues_positional",
+    f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY trans_num) AS i FROM txn),
+    b AS (SELECT fraud_probability AS p, decision, row_number() OVER (ORDER BY fraud_probability, decision NULLS FIRST) AS i
+      FROM pred)
+    SELECT decision AS sheet, category, {B('count(*)')} AS n, {R('avg(p)')} AS avg_prob
+    FROM a JOIN b USING (i) WHERE decision IN ('block', 'review') GROUP BY 1, 2""",
+)
+def pipe_review_queues_positional(spark, sf):
+    """Predictions without an id, paired along declared orders."""
+    raw = txn(spark, sf).drop("fraud_probability")
+    scores = predictions(spark, sf).drop("trans_num")
+    tables = jobs.review_queues(
+        raw, scores, raw_order=["trans_num"], prediction_order=["fraud_probability", "decision"]
+    )
+    queues = tables["block"].unionByName(tables["review"])
+    return tidy(queues.groupBy(F.col("decision").alias("sheet"), "category").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("fraud_probability").alias("avg_prob")
+    ))
+
+
+@query(
+    "snk_threshold_suggestion",
+    f"""WITH {_CURVE}, {_suggest_sql('max')}
+    SELECT {R('block', 9)} AS block, {R('review', 9)} AS review, 0e0 AS allow FROM s""",
+)
+def snk_threshold_suggestion(spark, sf):
+    suggestion = thresholds.suggest_policy(_points(spark, sf))
+    path = sinks.write_threshold_suggestion(suggestion, scratch_path(spark, "suggestion"), "2024-01")
+    return tidy(spark.read.schema(suggestion.schema).json(path), 9)

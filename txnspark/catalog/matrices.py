@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from txnspark.catalog.registry import B, R, put, query, tidy
 from txnspark.catalog.scalars import CYCLIC_SQL, DISTANCE_SQL
 from txnspark.catalog.summaries import KEY_SQL, sample_key
-from txnspark.catalog.windows import STAT_DIGITS, pairs_sql, rolling_sql, total_sql
+from txnspark.catalog.windows import STAT_DIGITS, pairs_sql, prior_sql, rolling_sql, total_sql
+from txnspark.functions.time import epoch_seconds
 from txnspark.operators import encode, sampling
 from txnspark.plans import features
 from txnspark.plans.features import velocity_features
@@ -45,6 +46,18 @@ def enc_one_hot(spark, sf):
     return tidy(encode.one_hot(rows, ["gender", "category"]))
 
 
+@query(
+    "enc_one_hot_places",
+    f"""SELECT trans_num, {B('m - 2')} AS merchant FROM
+      (SELECT trans_num, dense_rank() OVER (ORDER BY merchant) AS m FROM txn)""",
+)
+def enc_one_hot_places(spark, sf):
+    rows = txn(spark, sf).select("trans_num", "merchant")
+    # The first level has no place; -1 stands for it here.
+    place = F.coalesce("merchant", F.lit(-1)).alias("merchant")
+    return tidy(encode.one_hot_places(rows, ["merchant"]).select("trans_num", place))
+
+
 @query(
     "enc_target_smooth",
     f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {KEY_SQL}, trans_num)
@@ -253,3 +266,41 @@ def feat_build_notebook(spark, sf):
     names = [*_NOTEBOOK_SQL, *_half, *_half_category]
     stats = ["mean_amt", "std_amt", "median_amt", "max_amt", "mean_distance", "transaction_count"]
     return _tidy(out.select("trans_num", *names, *stats))
+
+
+_PRIOR_SQL = {
+    "time_since_last_txn": R(f"{_SINCE} / 60"),
+    "transaction_count": B(_NUMBER),
+    **{f"{s}_amt": prior_sql(s) for s in ("mean", "std", "median", "max")},
+}
+
+
+@query("feat_build_transformer", _table_sql(_PRIOR_SQL, pairs_sql(_half, "half_open")))
+def feat_build_transformer(spark, sf):
+    out = features.build(txn(spark, sf), profile="transformer")
+    return _tidy(out.select("trans_num", *_PRIOR_SQL, *_half))
+
+
+@query(
+    "feat_build_app_no_time",
+    f"""SELECT trans_num, {R('amt')} AS amt, 0e0 AS hour, 1e0 AS is_business_hours,
+      0e0 AS txn_count_last_24h, {R('km', 5)} AS dist_home_merch
+    FROM (SELECT *, {DISTANCE_SQL} AS km FROM txn)""",
+)
+def feat_build_app_no_time(spark, sf):
+    """An upload without a time, its amounts as text."""
+    rows = txn(spark, sf).drop(T).withColumn("amt", F.col("amt").cast("string"))
+    out = features.build_app(rows)
+    names = ["amt", "hour", "is_business_hours", "txn_count_last_24h", "dist_home_merch"]
+    return tidy(out.select("trans_num", *names), dist_home_merch=5)
+
+
+@query(
+    "fn_parse_ts_epoch_text",
+    f"SELECT trans_num, {B(_HOUR)} AS hour, CAST(epoch_us({T}) // 1000000 AS DOUBLE) AS unix_time FROM txn",
+)
+def fn_parse_ts_epoch_text(spark, sf):
+    """An upload whose times are epoch seconds as text."""
+    rows = txn(spark, sf).withColumn(T, epoch_seconds(F.col(T)).cast("string"))
+    out = features.build_app(rows).select("trans_num", F.col("hour").cast("long").alias("hour"), "unix_time")
+    return tidy(out)

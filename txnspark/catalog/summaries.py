@@ -366,3 +366,48 @@ def sample_n(spark, sf):
 def split_stratified(spark, sf):
     out = sampling.stratified_split(txn(spark, sf), key=sample_key())
     return tidy(out.select("trans_num", "is_fraud", "is_test"))
+
+
+# ------------------------------------- the same in blocks of a few hundred rows
+
+BLOCK_LIMIT = 300
+
+
+@query(
+    "join_positional_blocks",
+    f"""WITH a AS (SELECT trans_num, row_number() OVER (ORDER BY {T}, trans_num) AS i FROM txn),
+    b AS (SELECT fraud_probability, decision,
+      row_number() OVER (ORDER BY fraud_probability, trans_num) AS i FROM pred)
+    SELECT trans_num, {R('fraud_probability')} AS fraud_probability, decision
+    FROM a JOIN b USING (i)""",
+)
+def join_positional_blocks(spark, sf):
+    out = joins.attach_by_position(
+        txn(spark, sf).select("trans_num", T),
+        predictions(spark, sf),
+        [T, "trans_num"],
+        ["fraud_probability", "trans_num"],
+        limit=BLOCK_LIMIT,
+    )
+    return tidy(out.drop(T))
+
+
+@query(
+    "agg_decile_blocks",
+    f"""WITH e AS (SELECT {EDGES_SQL}), d AS (SELECT *, {DECILE_SQL} AS decile FROM txn, e)
+    SELECT {B('decile')} AS decile, {R('avg(fraud_probability)')} AS avg_prob FROM d
+    GROUP BY decile""",
+)
+def agg_decile_blocks(spark, sf):
+    return tidy(reports.decile_mean(txn(spark, sf), limit=BLOCK_LIMIT).select("decile", "avg_prob"))
+
+
+@query(
+    "split_stratified_blocks",
+    f"""SELECT trans_num, {B('is_fraud')} AS is_fraud,
+      row_number() OVER (PARTITION BY is_fraud ORDER BY {KEY_SQL}, trans_num)
+        <= ceil(0.2e0 * count(*) OVER (PARTITION BY is_fraud)) AS is_test FROM txn""",
+)
+def split_stratified_blocks(spark, sf):
+    out = sampling.stratified_split(txn(spark, sf), key=sample_key(), limit=BLOCK_LIMIT)
+    return tidy(out.select("trans_num", "is_fraud", "is_test"))

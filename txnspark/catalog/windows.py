@@ -10,6 +10,7 @@ from txnspark.functions.geo import home_merchant_distance
 from txnspark.operators import cards
 from txnspark.operators.history import (
     DAY,
+    HOT_ROWS,
     PrevTime,
     Prior,
     Rolling,
@@ -24,9 +25,9 @@ from txnspark.sources.testdata import table, txn, txn_ties
 T = "trans_date_trans_time"
 
 
-def _history(want, source=txn, digits=6):
+def _history(want, source=txn, digits=6, hot_rows=HOT_ROWS):
     def run(spark, sf):
-        out = add_history(source(spark, sf), want)
+        out = add_history(source(spark, sf), want, hot_rows=hot_rows)
         return tidy(out.select("trans_num", *want), digits)
 
     return run
@@ -72,6 +73,20 @@ put(
 # The same windows where many rows share card and time.
 _ties = velocity_features("closed")
 put("win_velocity_ties", _history(_ties, txn_ties, 4), pairs_sql(_ties, "closed", source="ties"))
+# Few cards with many rows each; all of them take the way of the largest ones.
+SPREAD_ROWS = 150
+_FEW_SQL = "few AS (SELECT * REPLACE (cc_num % 5 AS cc_num) FROM txn)"
+
+
+def txn_few(spark, sf):
+    return txn(spark, sf).withColumn("cc_num", F.col("cc_num") % 5)
+
+
+put(
+    "win_velocity_hot",
+    _history(_ties, txn_few, 4, SPREAD_ROWS),
+    f"WITH {_FEW_SQL} " + pairs_sql(_ties, "closed", source="few"),
+)
 _wide = {
     "txn_count_last_30d": Velocity(30 * DAY),
     "total_amt_last_30d": Velocity(30 * DAY, "sum"),
@@ -222,6 +237,15 @@ for _stat in _STAT_SQL:
     )
 
 
+put(
+    "win_prior_hot",
+    _history({f"{s}_amt": Prior(s) for s in _STAT_SQL}, txn_few, STAT_DIGITS, SPREAD_ROWS),
+    f"WITH {_FEW_SQL} SELECT trans_num, "
+    + ", ".join(f"{prior_sql(s)} AS {s}_amt" for s in _STAT_SQL)
+    + " FROM few",
+)
+
+
 @query(
     "win_rolling50_distance",
     f"""WITH d AS (SELECT trans_num, cc_num, {T}, {DISTANCE_SQL} AS km FROM txn)
