@@ -9,7 +9,7 @@ from txnspark.catalog.registry import B, R, predictions, put, query, tidy
 from txnspark.catalog.scalars import DECILE_SQL, EDGES_SQL
 from txnspark.catalog.summaries import BLOCK_LIMIT, HEADER_SQL, KEY_SQL, RUN_SQL, sample_key
 from txnspark.operators import curves, metrics, model, reports, sampling, thresholds
-from txnspark.plans import features, jobs
+from txnspark.plans import features, fitted, jobs
 from txnspark.sources import sinks
 from txnspark.sources.scratch import scratch_path, written
 from txnspark.sources.testdata import txn
@@ -323,9 +323,9 @@ def ml_score(spark, sf):
 def ml_calibrate_isotonic(spark, sf):
     """The isotonic map of the given score, at every score that occurs."""
     rows = txn(spark, sf)
-    fitted = model.fit_isotonic(rows, "fraud_probability", "is_fraud")
+    isotonic = model.fit_isotonic(rows, "fraud_probability", "is_fraud")
     scores = rows.select(F.col("fraud_probability").alias("_p")).distinct()
-    out = fitted.setPredictionCol("fitted").transform(scores)
+    out = isotonic.setPredictionCol("fitted").transform(scores)
     return tidy(out.select(F.col("_p").alias("score"), "fitted"), score=9)
 
 
@@ -337,8 +337,8 @@ def ml_calibrate_isotonic(spark, sf):
 def ml_calibrated_folds(spark, sf):
     """Facts about the fold-wise calibrated model on the held-out part."""
     rows, names = _training_table(spark, sf)
-    fitted = model.calibrate_isotonic(rows.where(~F.col("is_test")), names, settings=_SMALL)
-    scored = written(fitted.transform(rows.where("is_test")), "calibrated")
+    calibrated = model.calibrate_isotonic(rows.where(~F.col("is_test")), names, settings=_SMALL)
+    scored = written(calibrated.transform(rows.where("is_test")), "calibrated")
     areas = curves.curve_points(scored).agg(curves.roc_auc().alias("auc"))
     p = F.col("fraud_probability")
     return scored.agg(
@@ -566,3 +566,26 @@ def snk_threshold_suggestion(spark, sf):
     suggestion = thresholds.suggest_policy(_points(spark, sf))
     path = sinks.write_threshold_suggestion(suggestion, scratch_path(spark, "suggestion"), "2024-01")
     return tidy(spark.read.schema(suggestion.schema).json(path), 9)
+
+
+@query(
+    "pipe_fitted_score",
+    f"""WITH {_SPLIT_SQL} SELECT {B('count(*)')} AS rows, {B('count(DISTINCT trans_num)')} AS ids,
+      true AS in_range, true AS same_after_loading FROM split WHERE is_test""",
+)
+def pipe_fitted_score(spark, sf):
+    """Fit from raw rows, save, load, and score the held-out rows with both."""
+    raw = written(sampling.stratified_split(txn(spark, sf), key=sample_key()), "raw")
+    trained = fitted.fit(raw.where(~F.col("is_test")).drop("is_test"), settings=_SMALL)
+    path = scratch_path(spark, "fitted")
+    fitted.save(trained, path)
+    held = raw.where("is_test").drop("is_test", "fraud_probability")
+    one = fitted.score(held, trained).select("trans_num", "fraud_probability")
+    two = fitted.score(held, fitted.load(path)).select("trans_num", F.col("fraud_probability").alias("again"))
+    p = F.col("fraud_probability")
+    return one.join(two, "trans_num").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("trans_num").alias("ids"),
+        F.every(p.between(0, 1)).alias("in_range"),
+        F.every(p == F.col("again")).alias("same_after_loading"),
+    )

@@ -73,7 +73,7 @@ def _hot_stats(hot: DataFrame, stats: Sequence[str], k: Columns, limit: int) ->
         medians = ordered.exact_median(hot, k.amount, [k.card], "median_amt", limit)
         medians = medians.withColumnRenamed(k.card, "_card")
         out = out.join(
-            F.broadcast(medians), F.col(k.card).eqNullSafe(F.col("_card")), "left"
+            ordered.broadcast_small(medians), F.col(k.card).eqNullSafe(F.col("_card")), "left"
         ).drop("_card")
     return out.drop("_rows")
 
@@ -119,6 +119,6 @@ def _attach(
     if hot is None:
         return out
     table = _hot_stats(hot.select(k.card, *_inputs(k, stats)), stats, k, hot_rows)
-    table = F.broadcast(table.withColumnRenamed(k.card, "_card"))
+    table = ordered.broadcast_small(table.withColumnRenamed(k.card, "_card"))
     spread = hot.join(table, F.col(k.card).eqNullSafe(F.col("_card")), "left").drop("_card")
     return out.unionByName(spread.select(out.columns))

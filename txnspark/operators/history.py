@@ -348,7 +348,7 @@ def _spread_sequence(
     if prior:
         # Sums around the card's mean keep the digits of the variance.
         means = df.groupBy(k.card).agg(F.avg(k.amount).alias("_mid"))
-        df = df.join(F.broadcast(means), k.card)
+        df = df.join(ordered.broadcast_small(means), k.card)
         off = F.col(k.amount) - F.col("_mid")
         measures |= {
             "_n": (F.when(F.col(k.amount).isNotNull(), 1).otherwise(0).cast("long"), "sum", False),
@@ -465,7 +465,7 @@ def _spread_velocity(
         whole = rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_all_n"), F.sum(money).alias("_all_s")
         )
-        swept = swept.join(F.broadcast(whole), by)
+        swept = swept.join(ordered.broadcast_small(whole), by)
     else:
         swept = swept.withColumns({"_all_n": zero, "_all_s": none})
     add = {}

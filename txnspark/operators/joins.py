@@ -11,7 +11,7 @@ from txnspark.operators import ordered
 from txnspark.operators.ordered import HOT_ROWS
 
 # Lookup tables up to this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = ordered.SMALL_ROWS
 
 
 def join_predictions(
@@ -116,6 +116,6 @@ def lookup(
     if hot is None:
         return out
     needed = entries.join(
-        F.broadcast(hot.select(key).distinct()), F.col(key).eqNullSafe(F.col("_key")), "left_semi"
+        ordered.broadcast_small(hot.select(key).distinct()), F.col(key).eqNullSafe(F.col("_key")), "left_semi"
     )
-    return out.unionByName(joined(hot, F.broadcast(needed)))
+    return out.unionByName(joined(hot, ordered.broadcast_small(needed)))

@@ -22,6 +22,9 @@ from txnspark.sources.scratch import written
 # Rows one task may hold. A larger key, or a larger ordered table, is cut into blocks.
 HOT_ROWS = 1_000_000
 
+# Rows of a table that may be broadcast or collected.
+SMALL_ROWS = 200_000
+
 # Sampled rows per block when looking for block bounds.
 SAMPLE_PER_BLOCK = 500
 
@@ -33,29 +36,34 @@ def block_count(rows: int, limit: int) -> int:
     return max(2, math.ceil(rows / limit))
 
 
+def broadcast_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def split_hot(
     df: DataFrame, by: Sequence[str], limit: int = HOT_ROWS, nulls: bool = False
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of keys past ``limit`` or None).
 
     Costs one map-side combined count. At most rows/limit keys can be past the
-    limit, so their list is safe to collect and to broadcast. Rows with a NULL
-    key count as ordinary unless ``nulls`` makes them a key.
+    limit; up to SMALL_ROWS of them are a literal table that is broadcast, more are a
+    written one that is joined. Rows with a NULL key count as ordinary unless
+    ``nulls`` makes them a key.
     """
     keys = df.select(*by)
     if not nulls:
         keys = keys.dropna(subset=list(by))
-    rows = (
-        keys.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .drop("_n")
-        .collect()
-    )
+    many = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    many = many.select(*[F.col(c).alias(f"_h_{c}") for c in by])
+    rows = many.limit(SMALL_ROWS + 1).collect()
     if not rows:
         return df, None
-    schema = StructType([StructField(f"_h_{c}", df.schema[c].dataType) for c in by])
-    hot = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    if len(rows) > SMALL_ROWS:
+        hot = written(many, "hot-keys")
+    else:
+        schema = StructType([StructField(f"_h_{c}", df.schema[c].dataType) for c in by])
+        hot = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
     same = _same(by, "_h_")
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
