@@ -7,12 +7,16 @@ share enough signature tokens, which the matrix tells by counting; only pairs of
 that reach this bound are opened and their members compared by exact set overlap.
 
 * Signature: a total order on tokens, rare ones first by counts over all documents. Of
-  a set of n tokens the first n - ceil(t n) + l are kept, l = 1 + n // 20. Two sets with
-  similarity t or more share at least l (the smaller l) of them.
-* Groups: classes that share two of four min-hashes with the least class of such a
-  min-hash are verified against it; connected components of these links are the groups.
-  A cluster of thousands of near copies thus enters the matrix about once, and is never
-  expanded into pairs.
+  a set of n tokens the first n - ceil(t n) + 1 are kept. Sets of n and m tokens with
+  similarity t or more overlap in a = ceil(t (n + m) / (1 + t)) tokens at least, so they
+  share a token that is among the first n - a + 1 of the one and m - a + 1 of the other.
+* Groups: classes that share two of four min-hashes with the most typical class of such a
+  min-hash (the one with the most frequent tokens) are verified against it; connected
+  components of these links are the groups. A cluster of thousands of near copies thus
+  enters the matrix about once, and is never expanded into pairs.
+* Matrix: an entry (token, group) keeps the best place any member has the token at, as
+  (1 + t) place - n, and the least n. Entries of two groups meet only if both places are
+  early enough for the other's size, which bounds the overlap of every pair of members.
 * Opening: of a pair of groups the smaller one's members are the queries, and the larger
   one's are compared in blocks of ``BLOCK`` members. Pairs inside a group are already
   connected and need no comparison.
@@ -42,7 +46,7 @@ from txnspark.llm.common import Batches, as_array, column, filled, flat_words, l
 from txnspark.llm.components import components
 from txnspark.sources.scratch import written
 
-CELL_BITS, CELL_BLOCK = 19, 1 << 14
+CELL_BITS, CELL_BLOCK = 22, 1 << 16
 MINHASHES = 4
 BLOCK = 64
 BROADCAST_IDS = 1_000_000
@@ -76,15 +80,16 @@ def shingles(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 of how often the tokens of each cell occur, over all documents."""
+    """How often the tokens of each cell occur, over all documents, up to 65,535."""
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
     cells = 1 << CELL_BITS
 
     def partial(batches: Batches) -> Batches:
-        counts = np.zeros(cells, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for batch in batches:
             tokens, _ = shingles(column(batch, "text"), k)
-            counts += np.bincount((tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
+            cell, n = np.unique((tokens >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
+            counts[cell] += n.astype(np.uint32)
         for i in range(cells // CELL_BLOCK):
             part = counts[i * CELL_BLOCK : (i + 1) * CELL_BLOCK]
             if part.any():
@@ -97,26 +102,20 @@ def token_counts(docs: DataFrame, k: int) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
                 sums[i] = sums[i] + part if i in sums else part
         for i, part in sums.items():
-            yield record(schema, [i], [np.log2(part + 1).astype(np.uint8).tobytes()])
+            yield record(schema, [i], [np.minimum(part, 65_535).astype("<u2").tobytes()])
 
     shape, blocks = "block int, counts binary", cells // CELL_BLOCK
     summed = map_batches(map_batches(docs.select("text"), partial, shape).repartition(blocks, "block"), total, shape)
-    out = np.zeros((blocks, CELL_BLOCK), np.uint8)
-    for row in summed.collect():  # one byte per cell
-        out[row["block"]] = np.frombuffer(row["counts"], np.uint8)
+    out = np.zeros((blocks, CELL_BLOCK), np.uint16)
+    for row in summed.collect():  # two bytes per cell
+        out[row["block"]] = np.frombuffer(row["counts"], "<u2")
     return out.ravel()
 
 
-def kept_tokens(n: int, percent: int) -> tuple[int, int]:
-    """(signature length, least tokens shared) of a set of n tokens."""
-    least = 1 + n // 20
-    return min(n, n - (-(-n * percent // 100)) + least), least
-
-
 def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, least, minhashes, tokens) of every document; n is the set's size."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # one byte per cell
-    shape = "doc_id long, n long, f1 long, f2 long, least int, minhashes array<long>, tokens array<long>"
+    """(doc_id, n, f1, f2, typical, minhashes, tokens) of every document; n is the set's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # two bytes per cell
+    shape = "doc_id long, n long, f1 long, f2 long, typical double, minhashes array<long>, tokens array<long>"
     names = [f.split()[0] for f in shape.split(", ")]
 
     def sign(batches: Batches) -> Batches:
@@ -124,16 +123,18 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
         for batch in batches:
             tokens, sizes = shingles(column(batch, "text"), k)
             ends = np.cumsum(sizes)
-            n, least, lengths = (np.zeros(len(sizes), np.int64) for _ in range(3))
+            n, lengths = (np.zeros(len(sizes), np.int64) for _ in range(2))
+            typical = np.zeros(len(sizes))
             prints = np.zeros((2, len(sizes)), np.uint64)
             low, chosen = np.zeros((len(sizes), MINHASHES), np.uint64), []
             for i in np.flatnonzero(sizes):
                 own = np.unique(tokens[ends[i] - sizes[i] : ends[i]])
                 n[i] = len(own)
-                length, least[i] = kept_tokens(len(own), percent)
-                rank = np.argsort(weight[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-                chosen.append(own[rank[:length]])
-                lengths[i] = length
+                seen = weight[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                rank = np.argsort(seen, kind="stable")
+                lengths[i] = len(own) - (-(-len(own) * percent // 100)) + 1
+                chosen.append(own[rank[: lengths[i]]])
+                typical[i] = np.log1p(seen).mean()
                 prints[0, i] = mixed(own + _ODD[1]).sum(dtype=np.uint64)
                 prints[1, i] = np.bitwise_xor.reduce(mixed(own + _ODD[2]))
                 low[i] = [(own * m).min() for m in _ODD[:MINHASHES]]
@@ -141,7 +142,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id"), as_array(n), as_array(prints[0].view(np.int64)),
-                    as_array(prints[1].view(np.int64)), as_array(least.astype(np.int32)),
+                    as_array(prints[1].view(np.int64)), as_array(typical),
                     lists_of(pa.array(low.ravel().view(np.int64)), np.full(len(sizes), MINHASHES)),
                     lists_of(pa.array(flat), lengths),
                 ],
@@ -176,9 +177,10 @@ def similar(a: str, b: str, percent: int) -> F.Column:
 
 def pivot_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) of classes to the least class of shared min-hashes."""
-    keys = classes.select("id", "n", F.posexplode("minhashes").alias("j", "key"))
-    least = keys.groupBy("j", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    pairs = keys.join(least, ["j", "key"]).where("id <> pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("_shared"))
+    keys = classes.select("id", "n", "typical", F.posexplode("minhashes").alias("j", "key"))
+    first = F.min(F.struct((-F.col("typical")).alias("t"), "id"))["id"]
+    pivots = keys.groupBy("j", "key").agg(first.alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = keys.join(pivots, ["j", "key"]).where("id <> pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("_shared"))
     other = classes.select(F.col("id").alias("pivot"), F.col("n").alias("_n2"))
     fits = (100 * F.least("n", "_n2") >= percent * F.greatest("n", "_n2")) & (F.col("_shared") > 1)
     pairs = written(pairs.join(other, "pivot").where(fits).select("id", "pivot"), "pairs")
@@ -190,20 +192,17 @@ def pivot_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
 
 
 def group_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g, h) that share enough signature tokens to hold a link."""
-    facts = members.groupBy("g").agg(
-        F.min("least").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size")
-    )
-    matrix = members.select("g", F.explode("tokens").alias("token")).groupBy("token", "g").agg(F.count(F.lit(1)).alias("_m"))
-    left, right = matrix.select("token", "g"), matrix.select("token", F.col("g").alias("h"))
-    met = left.join(right, "token").where("g < h").groupBy("g", "h").agg(F.count(F.lit(1)).alias("shared"))
-    names = ("least", "low", "high", "size")
-    ours = facts.select("g", *[F.col(n).alias(f"g_{n}") for n in names])
-    theirs = facts.select(F.col("g").alias("h"), *[F.col(n).alias(f"h_{n}") for n in names])
-    both = met.where("shared >= 1").join(ours, "g").join(theirs, "h")
-    bound = F.col("shared") >= F.least("g_least", "h_least")
-    sizes = (100 * F.col("g_high") >= percent * F.col("h_low")) & (100 * F.col("h_high") >= percent * F.col("g_low"))
-    return both.where(bound & sizes).select("g", "h", "g_size", "h_size")
+    """Pairs of groups (g, h) whose matrix entries leave room for a link, with their sizes."""
+    entries = members.select("g", "n", F.posexplode("tokens").alias("place", "token"))
+    spent = (100 + percent) * F.col("place") - 100 * F.col("n")
+    matrix = entries.groupBy("token", "g").agg(F.min(spent).alias("spent"), F.min("n").alias("low"))
+    theirs = matrix.select("token", *[F.col(c).alias(f"_{c}") for c in ("g", "spent", "low")])
+    room = (F.col("spent") <= -percent * F.col("_low")) & (F.col("_spent") <= -percent * F.col("low"))
+    met = matrix.join(theirs, "token").where((F.col("g") < F.col("_g")) & room)
+    pairs = met.select("g", F.col("_g").alias("h")).distinct()
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    ours = sizes.select("g", F.col("size").alias("g_size"))
+    return pairs.join(ours, "g").join(sizes.select(F.col("g").alias("h"), F.col("size").alias("h_size")), "h")
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -245,7 +244,7 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     key = ["f1", "f2", "n"]
     classes = some.groupBy(*key).agg(
-        F.min("doc_id").alias("id"), F.any_value("least").alias("least"),
+        F.min("doc_id").alias("id"), F.any_value("typical").alias("typical"),
         F.any_value("minhashes").alias("minhashes"), F.any_value("tokens").alias("tokens"),
     )
     classes = written(classes, "classes")
@@ -255,7 +254,7 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     pivots = pivot_links(classes, known, k, percent)
     first = components(pivots)
     members = classes.join(first, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
-    members = written(members.select("id", "g", "n", "least", "tokens"), "members")
+    members = written(members.select("id", "g", "n", "tokens"), "members")
     opened = open_groups(group_pairs(members, percent), members, known, k, percent)
     links = written(opened, "opened-links")
     final = components(pivots.unionByName(links).unionByName(same))
