@@ -50,7 +50,7 @@ def test_a_damaged_record_is_found():
     from txnspark.llm.binary_records import frame, frames_of
 
     data = bytearray(frame(7, np.arange(70_000, 70_010, dtype="<u4").tobytes()) + frame(None, b""))
-    assert [(d, len(i) // 4) for _, _, d, i in frames_of(memoryview(bytes(data)))] == [(7, 10), (None, 0)]
+    assert [(d, n, len(i) // 4) for _, _, d, n, i in frames_of(memoryview(bytes(data)))] == [(7, 10, 10), (None, 0, 0)]
     data[30] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         frames_of(memoryview(bytes(data)))

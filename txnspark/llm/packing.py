@@ -134,20 +134,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int, grain
         enc, part, row = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         seen = np.zeros(classes, np.int64)
         for batch in batches:
-            texts, numbers = filled(column(batch, "text")).to_pylist(), column(batch, "doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                out = []
-                for number, ids in zip(numbers[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, length):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        n = len(piece) // 4
-                        c = (n - 1) // grain
-                        out.append((part, row, c, int(seen[c]), number, start, n, total, piece))
-                        seen[c] += 1
-                        row += 1
-                yield record(schema, *map(list, zip(*out, strict=True)))
+            numbers, out = column(batch, "doc_id").to_pylist(), []
+            for number, ids in zip(numbers, enc.encode(filled(column(batch, "text"))), strict=True):
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, length):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    n = len(piece) // 4
+                    c = (n - 1) // grain
+                    out.append((part, row, c, int(seen[c]), number, start, n, total, piece))
+                    seen[c] += 1
+                    row += 1
+            yield record(schema, *map(list, zip(*out, strict=True)))
 
     return map_batches(rows, cut, PIECES)
 

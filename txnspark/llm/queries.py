@@ -46,7 +46,7 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 runs of the curve through language, source and length."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", F.coalesce("n_chars", F.length(text)).alias("n_chars"),
+        "doc_id", "lang", "source", "n_chars",
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     out = hilbert_shards.shards(docs, ["lang", "source", "n_chars"], ["text_crc32", "size", "doc_id"])
@@ -70,6 +70,22 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+# Every pair that shares a shingle, then everything reachable.
+ORACLES["op4_ngram_join"] = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT id AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id"""
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from two thirds of the labels."""
