@@ -11,8 +11,10 @@ A conversation may hold a third of all rows, so none is gathered. Rows are range
 partitioned by (conversation, turn) and checkpointed. A step over one turn is a
 (min, +) product of 5 x 5 matrices, which is associative: the first and last run of
 every partition are summed up as such a matrix, at most two per partition; the driver
-joins those that continue each other and hands each run its entry and exit state.
-A task then repairs its own partition and holds no more than that.
+joins those that continue each other and hands each run the costs it starts from. The
+runs answer where each exit state comes from, which gives every run its exit state. A
+task then repairs its own partition and holds no more than that; the result does not
+depend on how the rows are cut.
 
 Defined results: an unknown or null role is one the automaton does not know and is
 relabelled at ``Costs.unknown``; a null text is empty; null conversation numbers form
@@ -117,9 +119,10 @@ class Automaton:
             self.memo[vector, role] = (tuple(value), low, tuple(back))
         return self.memo[vector, role]
 
-    def run(self, roles: list[str | None], entry: int) -> tuple[list[int], list[tuple[int, ...]]]:
-        """Cost of every exit state after ``roles`` from ``entry``, and the back pointers."""
-        vector, total, back = tuple(0 if s == entry else FAR for s in range(STATES)), 0, []
+    def run(self, roles: list[str | None], start: list[int]) -> tuple[list[int], list[tuple[int, ...]]]:
+        """Cost of every state after ``roles`` from the costs ``start``, and the back pointers."""
+        total, back = min(start), []
+        vector = tuple(min(FAR, v - total) if v < FAR else FAR for v in start)
         for role in roles:
             vector, low, pointers = self.step(vector, role)
             total += low
@@ -189,10 +192,15 @@ def automaton(costs: Costs) -> Automaton:
     return Automaton(costs)
 
 
-def connect(edges: list[dict], machine: Automaton) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
-    """(part, run) to (entry, exit, output turns before, ends) of runs that cross partitions.
+def at(state: int) -> list[int]:
+    """Costs of being in one state and no other."""
+    return [0 if s == state else FAR for s in range(STATES)]
 
-    ``edges`` are the first and last runs in order, with cost and turn matrices.
+
+def chains_of(edges: list[dict]) -> list[list[dict]]:
+    """Runs of conversations that cross partitions, in order, each with the costs it starts from.
+
+    ``edges`` are the first and last runs of all partitions with their cost matrices.
     """
     chains: list[list[dict]] = []
     for e in sorted(edges, key=lambda e: (e["part"], e["run"])):
@@ -200,21 +208,34 @@ def connect(edges: list[dict], machine: Automaton) -> dict[tuple[int, int], tupl
             chains[-1].append(e)
         else:
             chains.append([e])
-    out = {}
-    for chain in (c for c in chains if len(c) > 1):
-        before = [[0 if s == START else FAR for s in range(STATES)]]
+    chains = [c for c in chains if len(c) > 1]
+    for chain in chains:
+        now = at(START)
         for e in chain:
-            before.append([
-                min(min(FAR, before[-1][s] + e["cost"][s * STATES + t]) for s in range(STATES)) for t in range(STATES)
-            ])
-        states = [machine.last(before[-1])]
-        for e, reached in zip(reversed(chain), reversed(before[:-1]), strict=True):
-            t = states[-1]
-            states.append(min(range(STATES), key=lambda s: min(FAR, reached[s] + e["cost"][s * STATES + t])))
-        states, turns = states[::-1], 0
+            e["start"] = now
+            now = [min(min(FAR, now[s] + e["cost"][s * STATES + t]) for s in range(STATES)) for t in range(STATES)]
+            e["end"] = now
+    return chains
+
+
+def resolve(
+    chains: list[list[dict]], traced: dict[tuple[int, int], tuple[list[int], list[int]]], machine: Automaton
+) -> dict[tuple[int, int], tuple[list[int], int, int, bool]]:
+    """(part, run) to (costs at the start, exit state, output turns before, whether it ends).
+
+    ``traced`` has, for each run and exit state, the entry state it comes from and the
+    output turns on the way.
+    """
+    out = {}
+    for chain in chains:
+        exits = [machine.last(chain[-1]["end"])]
+        for e in reversed(chain):
+            exits.append(traced[e["part"], e["run"]][0][exits[-1]])
+        exits, turns = exits[::-1][1:], 0
         for i, e in enumerate(chain):
-            out[e["part"], e["run"]] = (states[i], states[i + 1], turns, i == len(chain) - 1)
-            turns += e["turns"][states[i] * STATES + states[i + 1]]
+            key = e["part"], e["run"]
+            out[key] = (e["start"], exits[i], turns, i == len(chain) - 1)
+            turns += traced[key][1][exits[i]]
     return out
 
 
@@ -233,29 +254,40 @@ def repair(turns: DataFrame, costs: Costs | None = None, partitions: int | None
     cut = ["conv_id", "turn", "role", F.xxhash64("text"), "_tie"]
     dealt = keyed.repartitionByRange(partitions, *cut) if partitions else keyed.repartitionByRange(*cut)
     dealt = dealt.sortWithinPartitions(*cut).select(*order).checkpoint()
-    schema = pa.schema(
-        [("part", pa.int32()), ("run", pa.int32()), ("conv_id", pa.int64())]
-        + [("cost", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64()))]
-    )
+    roles_only = dealt.select("conv_id", "turn", "role", F.lit(None).cast("string").alias("text"))
+    fields = [("part", pa.int32()), ("run", pa.int32()), ("conv_id", pa.int64())]
+    matrix = pa.schema([*fields, ("cost", pa.list_(pa.int64()))])
 
     def summarise(batches: Batches) -> Batches:
         machine, runs = automaton(costs), _runs(batches)
         for i in sorted({0, len(runs) - 1}) if runs else ():
-            roles, cost, count = [r[2] for r in runs[i]], [], []
-            for entry in range(STATES):
-                reached, back = machine.run(roles, entry)
-                cost += reached
-                for t in range(STATES):
-                    count.append(opened(machine, roles, path_of(back, t)) if reached[t] < FAR else 0)
-            yield record(schema, [TaskContext.get().partitionId()], [i], [runs[i][0][0]], [cost], [count])
-
-    shape = "part int, run int, conv_id long, cost array<long>, turns array<long>"
-    edges = [r.asDict() for r in map_batches(dealt.drop("text").withColumn("text", F.lit(None).cast("string")), summarise, shape).collect()]
-    crossing = connect(edges, automaton(costs))
+            roles = [r[2] for r in runs[i]]
+            cost = [c for entry in range(STATES) for c in machine.run(roles, at(entry))[0]]
+            yield record(matrix, [TaskContext.get().partitionId()], [i], [runs[i][0][0]], [cost])
+
+    shape = "part int, run int, conv_id long, cost array<long>"
+    edges = [r.asDict() for r in map_batches(roles_only, summarise, shape).collect()]
+    chains = chains_of(edges)
+    starts = spark.sparkContext.broadcast({(e["part"], e["run"]): e["start"] for c in chains for e in c})
+    origin = pa.schema([*fields, ("entry", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64()))])
+
+    def trace(batches: Batches) -> Batches:
+        machine, part = automaton(costs), TaskContext.get().partitionId()
+        for i, run in enumerate(_runs(batches)):
+            if (part, i) in starts.value:
+                roles = [r[2] for r in run]
+                _, back = machine.run(roles, starts.value[part, i])
+                paths = [path_of(back, t) for t in range(STATES)]
+                turns = [opened(machine, roles, p) for p in paths]
+                yield record(origin, [part], [i], [run[0][0]], [[p[0] for p in paths]], [turns])
+
+    shape = "part int, run int, conv_id long, entry array<long>, turns array<long>"
+    found = map_batches(roles_only, trace, shape).collect() if chains else []
+    traced = {(r["part"], r["run"]): (r["entry"], r["turns"]) for r in found}
+    crossing = resolve(chains, traced, automaton(costs))
     shared = spark.sparkContext.broadcast(crossing)  # at most two entries per partition
     kinds = {"long": pa.int64(), "string": pa.string()}
-    fields = [f.split(" ") for f in OUT.split(", ")]
-    result = pa.schema([(n, kinds[k]) for n, k in fields])
+    result = pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in OUT.split(", "))])
 
     def rewrite(batches: Batches) -> Batches:
         machine, part = automaton(costs), TaskContext.get().partitionId()
@@ -263,11 +295,11 @@ def repair(turns: DataFrame, costs: Costs | None = None, partitions: int | None
         for i, run in enumerate(_runs(batches)):
             roles = [r[2] for r in run]
             if (part, i) in shared.value:
-                entry, exit_state, before, ends = shared.value[part, i]
-                _, back = machine.run(roles, entry)
+                start, exit_state, before, ends = shared.value[part, i]
+                _, back = machine.run(roles, start)
             else:
                 before, ends = 0, True
-                cost, back = machine.run(roles, START)
+                cost, back = machine.run(roles, at(START))
                 exit_state = machine.last(cost)
             held += render(machine, run, path_of(back, exit_state), before, ends)
             while len(held) >= 4096:
