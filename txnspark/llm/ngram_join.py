@@ -180,6 +180,8 @@ def pivot_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     keys = classes.select("id", "n", "typical", F.posexplode("minhashes").alias("j", "key"))
     first = F.min(F.struct((-F.col("typical")).alias("t"), "id"))["id"]
     pivots = keys.groupBy("j", "key").agg(first.alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # As a table of its own it leaves Spark free to split a key that many classes share.
+    pivots = written(pivots.drop("_n"), "pivots")
     pairs = keys.join(pivots, ["j", "key"]).where("id <> pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("_shared"))
     other = classes.select(F.col("id").alias("pivot"), F.col("n").alias("_n2"))
     fits = (100 * F.least("n", "_n2") >= percent * F.greatest("n", "_n2")) & (F.col("_shared") > 1)
