@@ -62,8 +62,8 @@ def frame(doc_id: int | None, ids: bytes) -> bytes:
     return b"".join((*parts, struct.pack("<I", masked_crc(payload)), END))
 
 
-def frames_of(data: memoryview) -> list[tuple[int, int, int | None, bytes]]:
-    """(offset, bytes, doc_id, ids as unsigned 32-bit) of each record, checksums verified."""
+def frames_of(data: memoryview, with_ids: bool = True) -> list[tuple[int, int, int | None, int, bytes]]:
+    """(offset, bytes, doc_id, ids held, ids as unsigned 32-bit) of each record, checksums verified."""
     at, out = 0, []
     while at < len(data):
         length, check = _HEAD.unpack_from(data, at)
@@ -75,8 +75,11 @@ def frames_of(data: memoryview) -> list[tuple[int, int, int | None, bytes]]:
         if len(payload) != length or masked_crc(payload) != check or data[tail + 4] != END[0]:
             raise ValueError(f"payload checksum differs at byte {at}")
         missing, doc_id, width = _META.unpack_from(payload)
-        ids = np.frombuffer(payload, f"<u{width}", offset=_META.size).astype("<u4")
-        out.append((at, tail + 5 - at, None if missing else doc_id, ids.tobytes()))
+        held = (length - _META.size) // width
+        ids = b""
+        if with_ids:
+            ids = np.frombuffer(payload, f"<u{width}", offset=_META.size).astype("<u4").tobytes()
+        out.append((at, tail + 5 - at, None if missing else doc_id, held, ids))
         at = tail + 5
     return out
 
@@ -98,12 +101,9 @@ def write_records(
     def encode(batches: Batches) -> Batches:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts = filled(column(batch, "text")).to_pylist()
+            ids = enc.encode(filled(column(batch, "text")))
             numbers = column(batch, "doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = enc.encode(texts[at : at + 256])
-                made = [frame(n, i + end) for n, i in zip(numbers[at : at + 256], ids, strict=True)]
-                yield record(schema, made)
+            yield record(schema, [frame(n, i + end) for n, i in zip(numbers, ids, strict=True)])
 
     framed = map_batches(rows.sortWithinPartitions(*order), encode, "frame binary")
     # A frame's last byte is the line end that the text writer puts after each row.
@@ -111,7 +111,7 @@ def write_records(
     framed.select(body.alias("value")).write.option("compression", "none").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Records of all files with their places; ``before`` counts the ids before, in the file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     schema = pa.schema(
@@ -122,13 +122,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Batches) -> Batches:
         for batch in batches:
             for name, data in zip(column(batch, "file").to_pylist(), column(batch, "content"), strict=True):
-                places = frames_of(memoryview(data.as_buffer()))
+                places = frames_of(memoryview(data.as_buffer()), with_ids)
                 before = 0
                 for at in range(0, len(places), 512):
                     part = places[at : at + 512]
-                    n = np.array([len(p[3]) // 4 for p in part], np.int64)
+                    offset, size, doc_id, held, ids = map(list, zip(*part, strict=True))
+                    n = np.array(held, np.int64)
                     ends = before + np.cumsum(n)
-                    offset, size, doc_id, ids = map(list, zip(*part, strict=True))
                     yield record(schema, [name] * len(part), offset, size, doc_id, n, ends - n, ids)
                     before = int(ends[-1])
 
@@ -145,7 +145,7 @@ def file_starts(records: DataFrame) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     """The offset index beside the records, one Parquet row per record."""
-    places = read_records(spark, path).drop("ids")
+    places = read_records(spark, path, with_ids=False).drop("ids")
     places.write.parquet(index_path)
 
 

@@ -1,6 +1,7 @@
 """Token ids of whole texts with a public tokenizer file.
 
-Words are encoded once per worker and looked up afterwards. A text is cut at single
+A batch of texts is cut into words by Arrow, each distinct word is encoded once and
+looked up afterwards, and numpy puts the ids together. A text is only cut at single
 blanks and line feeds between visible characters, where the patterns of the supported
 files always begin a new word, so the ids equal those of the whole text. Texts with
 other white space, and texts that hold the beginning of a special token, are encoded
@@ -10,68 +11,48 @@ as they are. The tests compare both ways with the library.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SEEN = r"!-~À-ɏ"
-#: Characters beside which white space may be no cut, and other white space.
-_RARE = re.compile(rf"[^{_SEEN} \n]")
-_BESIDE = re.compile(rf"[^{_SEEN} \n][ \n]|[ \n][^{_SEEN} \n]|[\t\x0b-\r]")
-#: White space that is no single blank or line feed, and special tokens.
-_NEVER = ("  ", "\n\n", " \n", "\n ", "<|")
+#: White space that may be no cut: at an end, doubled, of another kind, or beside a
+#: character that is not plainly visible; special tokens; no text at all.
+_ODD = rf"^$|^[ \n]|[ \n]$|[ \n][ \n]|<\||[^{_SEEN} \n][ \n]|[ \n][^{_SEEN} \n]|[\t\x0b-\r]"
+#: Stands before the first word of a text, which has no blank before it.
+_FIRST = "\r"
 #: Words in one call of the library, put apart by a special token that ends any word.
 _GROUP = 256
 
 
-def odd(text: str) -> bool:
-    """Whether ``text`` has white space that may be no cut, or no text at all."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NEVER):
-        return True
-    return bool(_RARE.search(text) and _BESIDE.search(text))
-
-
-class Words:
-    """Ids by word, of at most ``most`` words.
+class Encoder:
+    """``encode`` gives little-endian unsigned 32-bit ids of texts as bytes.
 
-    A full table keeps its oldest three fifths: frequent words come in first.
+    Holds at most ``most`` words of up to ``longest`` characters. A full table keeps its
+    oldest three fifths: frequent words come in first.
     """
 
-    def __init__(self, lead: str, most: int, longest: int):
-        self.lead, self.most, self.longest = lead, most, longest
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], encode) -> list[str]:
-        """Make sure of all ``words``; the result is what to forget after use."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > self.most:
-            self.known = dict(islice(self.known.items(), self.most * 3 // 5))
-            fresh = [w for w in words if w not in self.known]
-        self.known.update(zip(fresh, encode([self.lead + w for w in fresh]), strict=True))
-        return [w for w in fresh if len(w) > self.longest]
-
-
-class Encoder:
-    """``encode`` gives little-endian unsigned 32-bit ids of texts as bytes."""
-
-    def __init__(self, path: str, most: int = 450_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 350_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most, self.longest = most, longest
+        self.known: dict[str, bytes] = {}
         special = sorted(self.tokenizer.get_added_tokens_decoder().items(), reverse=True)
         self.apart_id, self.apart = (special[0][0], special[0][1].content) if special else (None, None)
-        ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" b", "b", "AB", "ab", "\n")]
+        ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" b", "b", "AB", "ab")]
         self.drops, self.folds = ids[0] == ids[1], ids[2] == ids[3]
-        self.line = np.asarray(ids[4], "<u4").tobytes()
-        self.first, self.after = Words("", most // 7, longest), Words("" if self.drops else " ", most, longest)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
+        if not self.drops:
+            words = [w[1:] if w[0] == _FIRST else w if w[0] == "\n" else " " + w for w in words]
         if not self.apart:
             return self._plain(words)
         out: list[bytes] = []
@@ -85,37 +66,50 @@ class Encoder:
             out.append(raw[start:])
         return out
 
-    def _lines(self, text: str) -> list[list[str]]:
-        """Words by line; one line of all words where white space is dropped."""
+    def _ids_of(self, names: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, names))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        made = self._words([names[i] for i in missing])
+        if len(self.known) + len(made) > self.most:
+            self.known = dict(islice(self.known.items(), self.most * 3 // 5))
+        for i, ids in zip(missing, made, strict=True):
+            found[i] = ids
+            if len(names[i]) <= self.longest:
+                self.known[names[i]] = ids
+        return found
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut into words."""
         if self.folds:
-            text = text.encode().lower().decode()
+            texts = pc.ascii_lower(texts)
         if self.drops:
-            return [["", *text.replace("\n", " ").split(" ")]]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            whole = [i for i, t in enumerate(part) if odd(t)]
-            rest = set(range(len(part))).difference(whole)
-            split = {i: self._lines(part[i]) for i in sorted(rest)}
-            first = {line[0] for lines in split.values() for line in lines}
-            after: set[str] = set()
-            for lines in split.values():
-                for line in lines:
-                    after.update(line[1:])
-            drop_first, drop_after = self.first.learn(first, self._words), self.after.learn(after, self._words)
-            one, more = self.first.known, self.after.known.__getitem__
-            ids: list[bytes] = [b""] * len(part)
-            for i, lines in split.items():
-                ids[i] = self.line.join([one[line[0]] + b"".join(map(more, line[1:])) for line in lines])
-            for i, made in zip(whole, self._plain([part[i] for i in whole]), strict=True):
-                ids[i] = made
-            for table, words in ((self.first, drop_first), (self.after, drop_after)):
-                for w in words:
-                    del table.known[w]
-            out += ids
+            texts = pc.replace_substring(texts, "\n", " ")
+        else:
+            # A line feed begins a word of its own line, which has no blank before it.
+            texts = pc.replace_substring(texts, "\n", " \n")
+            texts = pc.binary_join_element_wise(pa.scalar(_FIRST), texts, "")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        index = words.indices.to_numpy()
+        length = size[index]
+        ends = np.cumsum(length)
+        values = np.frombuffer(b"".join(ids), "<u4")
+        flat = values[np.arange(ends[-1]) + np.repeat(start[index] - ends + length, length)].tobytes()
+        last = 4 * ends[pc.list_value_length(split).to_numpy().cumsum() - 1]
+        return [flat[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain, whole = np.flatnonzero(~odd), np.flatnonzero(odd)
+        out: list[bytes] = [b""] * len(texts)
+        for places, fn in ((plain, self._cut), (whole, lambda t: self._plain(t.to_pylist()))):
+            if len(places):
+                for i, ids in zip(places.tolist(), fn(texts.take(pa.array(places))), strict=True):
+                    out[i] = ids
         return out
 
 
