@@ -38,6 +38,8 @@ MEDIAN_6 = 5.348
 CUTOFF = 30.0
 #: Name and least standard deviation of each transformed statistic.
 FLOORS = {"x_length": 0.3, "x_word": 0.12, "x_symbol": 0.045, "x_line": 0.2, "x_repeat": 0.2, "x_upper": 0.08}
+#: Tables of one row per group are broadcast up to this many groups, else shuffled.
+BROADCAST_GROUPS = 200_000
 #: Columns of the result; input columns of these names are replaced.
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper",
@@ -153,26 +155,30 @@ def estimate(rows: DataFrame, names: list[str]) -> DataFrame:
     return with_columns(table, factor).drop(*[f"c_{i}_{j}" for i in p for j in range(i + 1)])
 
 
-def fit(rows: DataFrame, names: list[str], share: float, steps: int) -> DataFrame:
-    """Centre, factor and scale of every group of ``rows`` (_group and the statistics)."""
+def fit(rows: DataFrame, names: list[str], share: float, steps: int, few: bool) -> DataFrame:
+    """Centre, factor and scale of every group of ``rows`` (_group and the statistics).
+
+    With ``few`` groups their tables go to the rows, so a hot group is not moved.
+    """
+    side = F.broadcast if few else lambda table: table
     grid = 256.0
     medians = at_share(rows, {n: F.floor(F.col(n) * grid) for n in names}, 0.5)
     medians = written(medians.select("_group", *[(F.col(n) / grid).alias(f"_med_{n}") for n in names]), "medians")
-    away = rows.join(medians, "_group")
+    away = rows.join(side(medians), "_group")
     spread = at_share(away, {n: F.floor(F.abs(F.col(n) - F.col(f"_med_{n}")) * grid) for n in names}, 0.5)
     spread = spread.select("_group", *[(F.col(n) / grid).alias(f"_mad_{n}") for n in names])
     near = [
         F.pow((F.col(n) - F.col(f"_med_{n}")) / F.greatest(F.col(f"_mad_{n}") * 1.4826, F.lit(FLOORS[n])), 2)
         for n in names
     ]
-    scored = away.join(spread, "_group").select("_group", *names, reduce(lambda a, b: a + b, near).alias("_d2"))
+    scored = away.join(side(spread), "_group").select("_group", *names, reduce(lambda a, b: a + b, near).alias("_d2"))
     level = F.floor(F.log2(F.col("_d2") + 1e-6) * 32)
     keep = 0.5
     for step in range(steps + 1):
         cut = at_share(scored, {"_cut": level}, keep)
-        chosen = scored.join(cut, "_group").where(level <= F.col("_cut"))
+        chosen = scored.join(side(cut), "_group").where(level <= F.col("_cut"))
         model = written(estimate(chosen, names), "estimate")
-        scored = with_columns(rows.join(model, "_group"), distance(names)).select("_group", *names, "_d2")
+        scored = with_columns(rows.join(side(model), "_group"), distance(names)).select("_group", *names, "_d2")
         keep = share
     middle = at_share(scored, {"_mid": level}, 0.5)
     scale = middle.select("_group", (F.pow(F.lit(2.0), F.col("_mid") / 32) / MEDIAN_6).alias("_scale"))
@@ -201,16 +207,18 @@ def judge(
     vectors = rows.where(~F.col("base_failed")).select(F.explode(F.array(*keys.values())).alias("_group"), *names)
     sizes = vectors.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_rows)
     sizes = written(sizes, "groups")
-    model = fit(vectors.join(sizes.select("_group"), "_group"), names, share, steps)
+    few = sizes.count() <= BROADCAST_GROUPS
+    side = F.broadcast if few else lambda table: table
+    model = fit(vectors.join(side(sizes.select("_group")), "_group"), names, share, steps, few)
     pick = written(sizes.join(model, "_group"), "models")
     finest = rows
     for level in _LEVELS:
         finest = finest.withColumn(f"_key_{level}", keys[level])
         known = pick.select(F.col("_group").alias(f"_key_{level}"), F.lit(True).alias(f"_has_{level}"))
-        finest = finest.join(known, f"_key_{level}", "left")
+        finest = finest.join(side(known), f"_key_{level}", "left")
     group = F.coalesce(*[F.when(F.col(f"_has_{v}"), F.col(f"_key_{v}")) for v in _LEVELS])
     finest = finest.withColumn("_group", group).drop(*[f"_{k}_{v}" for v in _LEVELS for k in ("key", "has")])
-    scored = with_columns(finest.join(pick, "_group", "left"), distance(names))
+    scored = with_columns(finest.join(side(pick), "_group", "left"), distance(names))
     d2 = F.col("_d2") / F.greatest("_scale", F.lit(1.0))
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)
     return scored.select(*[F.col(f"`{c}`") for c in counted.columns], d2.alias("distance2"), kept.alias("kept"))
