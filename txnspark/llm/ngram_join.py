@@ -255,8 +255,10 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     same = some.join(classes.select(*key, "id"), key).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     pivots = pivot_links(classes, known, k, percent)
     first = components(pivots)
-    members = classes.join(first, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
-    members = written(members.select("id", "g", "n", "tokens"), "members")
+    # Only linked classes have a label: few enough, they are looked up where the tokens lie.
+    few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    members = classes.join(F.broadcast(first) if few else first, "id", "left")
+    members = members.select("id", F.coalesce("label", "id").alias("g"), "n", "tokens")
     opened = open_groups(group_pairs(members, percent), members, known, k, percent)
     links = written(opened, "opened-links")
     final = components(pivots.unionByName(links).unionByName(same))
