@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Parts of a bit in the fixed-point lengths.
 UNIT = 1 << 16
 #: Bytes scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def grams(raw: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:

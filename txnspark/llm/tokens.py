@@ -35,7 +35,7 @@ class Encoder:
     oldest three fifths: frequent words come in first.
     """
 
-    def __init__(self, path: str, most: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
