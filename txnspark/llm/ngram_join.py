@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnspark.llm.common import Batches, as_array, column, filled, flat_words, lists_of, map_batches, record, without
+from txnspark.llm.common import Batches, as_array, column, filled, flat_words, lists_of, map_batches, record, row_key, without
 from txnspark.llm.components import components
 from txnspark.sources.scratch import written
 
@@ -269,8 +269,39 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     )
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """One row of those that repeat doc_id and text; rows without words stay as they are.
+
+    Of repeated rows that differ in other columns the one with the least hash stays.
+    """
+    key = F.when(F.col("text").cast("string").rlike(r"\S"), row_key())
+    keyed = docs.withColumn("__key", key)
+    repeated = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("__key")
+    repeated = written(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    several = keyed.join(F.broadcast(repeated) if few else repeated, "__key", "left_semi")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # Map columns cannot be hashed; the others order the rows.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # Two texts that only share a hash are two rows.
+    same = ["__key", F.col("doc_id").alias("__id"), F.md5(F.col("text").cast("binary")).alias("__text")]
+    one = several.groupBy(*same).agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias("__row")).select("__row.*")
+    return without(docs, repeated, key).unionByName(written(one, "first-rows"))
+
+
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that a smaller doc_id of their component stands for."""
-    classes = written(similarity_classes(docs, k, percent), "similarity-classes")
-    rest = classes.where("doc_id <> component_id").select("doc_id")
-    return without(docs, rest, F.col("doc_id").cast("long"))
+    """The first row of each component of ``docs``; every row is linked by its own text.
+
+    First is the smallest doc_id, null ids last, ties by a hash of the row. Rows that repeat
+    doc_id and text are one; rows that share only doc_id, or have none, are told apart by text.
+    """
+    docs = without_repeats(docs)
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    classes = written(similarity_classes(keyed, k, percent), "similarity-classes")
+    named = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("doc_id").alias("key"))
+    first = classes.join(named, "doc_id").groupBy("component_id").agg(F.min(order)["key"].alias("doc_id"))
+    rest = classes.join(first, "doc_id", "left_anti").select("doc_id")
+    return without(docs, written(rest, "rest"), row_key())
