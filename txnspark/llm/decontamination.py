@@ -7,8 +7,9 @@ e + 1 neighbouring diagonals (text position minus item position). So shared q-gr
 counted in diagonal bands of width 2 * (e + 1) that overlap by half, which puts any
 e + 1 neighbouring diagonals whole into one band. Bands that reach the bound are
 regions; a banded alignment of the item against the region's bytes decides, with at
-most ``edit_rate`` edits per byte of the item. Items of fewer than 2 * q bytes are
-compared as they are.
+most ``edit_rate`` edits per byte of the item. Every item has the largest q, up to 8,
+that leaves a bound of one gram at least, so no passage within its edits is lost; there is
+a gram table per q. Items of fewer than 16 bytes that allow no edit are found as whole words.
 
 The item table is measured first. If it holds at most ``BROADCAST_BYTES``, its gram
 table goes to every executor; otherwise it is cut into parts of that size and every
@@ -67,40 +68,53 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Items:
-    """Folded items with the sorted gram table, its filter, and what each item allows."""
+class Grams:
+    """The sorted q-grams of the items that have this q, and their filter."""
 
-    ids: np.ndarray
-    texts: list[bytes]
+    q: int
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+
+
+@dataclass
+class Items:
+    """Folded items with a gram table for each q, and what each item allows."""
+
+    ids: np.ndarray
+    texts: list[bytes]
+    tables: list[Grams]
     short: list[int]
-    q: int
     size: np.ndarray
     budget: np.ndarray  # edits
     need: np.ndarray  # shared q-grams that a passage within the budget has at least
     longest: int
 
 
-def index_items(rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> Items:
-    folded = [(i, t) for i, t in ((i, fold(t)) for i, t in rows if t) if t]
-    found = [qgrams(t, q) if len(t) >= 2 * q else np.zeros(0, np.uint64) for _, t in folded]
-    number = np.array([len(g) for g in found], np.int64)
-    grams = np.concatenate([*found, np.zeros(0, np.uint64)])
-    item = np.repeat(np.arange(len(folded)), number)
-    place = np.concatenate([*(np.arange(n) for n in number), np.zeros(0, np.int64)]).astype(np.int64)
+def index_grams(texts: list[bytes], numbers: np.ndarray, q: int) -> Grams:
+    found = [qgrams(texts[i], q) for i in numbers]
+    grams = np.concatenate(found)
+    item = np.repeat(numbers, [len(g) for g in found])
+    place = np.concatenate([np.arange(len(g)) for g in found])
     order = np.argsort(grams, kind="stable")
     sieve = np.zeros(1 << FILTER_BITS, bool)
     sieve[_slot(grams)] = True
-    size = np.array([len(t) for _, t in folded], np.int64)
+    return Grams(q, grams[order], item[order], place[order], sieve)
+
+
+def index_items(rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> Items:
+    """``q`` is the largest one; an item's own is at most its bytes by its edits plus one."""
+    folded = [(i, t) for i, t in ((i, fold(t)) for i, t in rows if t) if t]
+    texts = [t for _, t in folded]
+    size = np.array([len(t) for t in texts], np.int64)
     budget = (size * edit_rate).astype(np.int64)
-    need = np.maximum(size + 1 - q * (budget + 1), 1)
-    return Items(
-        np.array([i for i, _ in folded], np.int64), [t for _, t in folded], grams[order], item[order], place[order],
-        sieve, np.flatnonzero(number == 0).tolist(), q, size, budget, need, int((size + 2 * budget).max(initial=0)) + q,
-    )
+    whole = (budget == 0) & (size < 2 * q)
+    own = np.where(whole, 0, np.clip(size // (budget + 1), 1, q))
+    need = np.maximum(size + 1 - own * (budget + 1), 1)
+    tables = [index_grams(texts, np.flatnonzero(own == n), n) for n in np.unique(own[~whole]).tolist()]
+    longest = int((size + 2 * budget).max(initial=0)) + q
+    return Items(np.array([i for i, _ in folded], np.int64), texts, tables, np.flatnonzero(whole).tolist(), size, budget, need, longest)
 
 
 def edits_in(item: bytes, region: bytes, most: int) -> tuple[int, int, int]:
@@ -136,15 +150,20 @@ def edits_in(item: bytes, region: bytes, most: int) -> tuple[int, int, int]:
 
 def regions(data: bytes, items: Items) -> list[tuple[int, int, int]]:
     """(item, first byte, last byte + 1) of bands with enough shared q-grams."""
-    grams = qgrams(data, items.q)
-    at = np.flatnonzero(items.filter[_slot(grams)])
-    low = np.searchsorted(items.grams, grams[at], "left")
-    many = np.searchsorted(items.grams, grams[at], "right") - low
+    return [found for table in items.tables for found in regions_of(data, items, table)]
+
+
+def regions_of(data: bytes, items: Items, table: Grams) -> list[tuple[int, int, int]]:
+    """``regions`` of the items in one gram table."""
+    grams = qgrams(data, table.q)
+    at = np.flatnonzero(table.filter[_slot(grams)])
+    low = np.searchsorted(table.grams, grams[at], "left")
+    many = np.searchsorted(table.grams, grams[at], "right") - low
     if not many.any():
         return []
     position = np.repeat(at, many)
     entry = np.arange(len(position)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-    item, place = items.item[entry], items.place[entry]
+    item, place = table.item[entry], table.place[entry]
     # One number per (item, band). A diagonal lies in the band that begins in its half
     # and in the one that began a half before.
     width = (len(data) + items.longest) * 2
