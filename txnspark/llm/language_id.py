@@ -236,11 +236,12 @@ def keep(docs: DataFrame) -> DataFrame:
     """``docs`` that are not rejected, with the predicted language in ``lang``.
 
     Learns from the languages that the rows state. If none does, there is nothing to
-    tell languages apart by and every row stays as it is.
+    tell languages apart by; texts without a letter go all the same, and the other rows
+    stay as they are.
     """
     model = train(docs.select("doc_id", "text", "lang"))
     if not model.langs:
-        return docs
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     rows = docs.withColumnsRenamed({c: f"__in_{c}" for c in docs.columns if c != "text"})
     found = identify(rows, model)
     found = found.where(~reject(found))
