@@ -98,7 +98,8 @@ def test_ngrams(docs, none):
     assert ngram_join.similarity_classes(none).count() == 0
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id > 3").collect()) == [4, 4, 6, 7, 8, 9]
+    # Rows that repeat number and text are exact copies: one of them stays.
+    assert sorted(r["doc_id"] for r in kept.where("doc_id > 3").collect()) == [4, 6, 7, 8, 9]
 
 
 def out_size(out, doc):
