@@ -15,6 +15,7 @@ from txnspark.llm import (
     hilbert_shards,
     language_id,
     license_scan,
+    merkle_manifest,
     ngram_join,
     packing,
     quality_classifier,
@@ -134,3 +135,55 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").drop("n_chars"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance2")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and the root that its leaf, tampered with or not, leads to."""
+    changed = {"n_chars": F.col("n_chars") + 1}
+    leaves = merkle_manifest.leaves(table(spark, sf_dir, "documents"), tampered=changed, where=doc_crc() % 7 == 0)
+    tree = merkle_manifest.build(leaves)
+    text = {c: F.lower(F.hex(c)) for c in ("digest", "subroot", "proof", "folded")}
+    return merkle_manifest.fold(tree, leaves).select(
+        F.col("key").alias("doc_id"), text["digest"].alias("leaf"), text["subroot"].alias("subroot"),
+        F.lit(tree.root).alias("root"), text["proof"].alias("proof_sha256"), text["folded"].alias("folded_root"),
+        (text["folded"] == F.lit(tree.root)).alias("verified"),
+    )
+
+
+# The checksum of a short text, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''),
+    lambda ch: CAST(ord(ch) AS BIGINT))), lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    parts = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLES["op13_merkle_manifest"] = f"""WITH RECURSIVE d AS (SELECT doc_id, lang,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN {CRC_SQL.format('doc_id')} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS given
+  FROM documents),
+n AS (SELECT lang, 0 AS lvl, idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS c FROM d
+  UNION ALL SELECT lang, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(c) + 1) // 2
+  FROM n WHERE c > 1 GROUP BY lang, lvl, idx // 2),
+s AS (SELECT lang, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM n WHERE c = 1),
+m AS (SELECT 0 AS lvl, place AS idx, subroot AS h, count(*) OVER () AS c FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(c) + 1) // 2
+  FROM m WHERE c > 1 GROUP BY lvl, idx // 2),
+t AS (SELECT h AS root, lvl AS depth FROM m WHERE c = 1),
+up AS (SELECT doc_id, lang, leaf, 0 AS lvl, idx, given AS h, '' AS passed FROM d
+  UNION ALL SELECT up.doc_id, up.lang, up.leaf, up.lvl + 1, up.idx // 2,
+    sha256(CASE WHEN n.h IS NULL THEN up.h WHEN up.idx % 2 = 0 THEN up.h || n.h ELSE n.h || up.h END), passed || coalesce(n.h, '')
+  FROM up JOIN s ON s.lang IS NOT DISTINCT FROM up.lang AND up.lvl < s.depth
+  LEFT JOIN n ON n.lang IS NOT DISTINCT FROM up.lang AND n.lvl = up.lvl AND n.idx = xor(up.idx, 1)),
+a AS (SELECT up.doc_id, leaf, subroot, 0 AS lvl, place AS idx, h, passed
+    FROM up JOIN s ON s.lang IS NOT DISTINCT FROM up.lang AND up.lvl = s.depth
+  UNION ALL SELECT a.doc_id, a.leaf, a.subroot, a.lvl + 1, a.idx // 2,
+    sha256(CASE WHEN m.h IS NULL THEN a.h WHEN a.idx % 2 = 0 THEN a.h || m.h ELSE m.h || a.h END), passed || coalesce(m.h, '')
+  FROM a JOIN t ON a.lvl < t.depth LEFT JOIN m ON m.lvl = a.lvl AND m.idx = xor(a.idx, 1))
+SELECT doc_id, leaf, subroot, root, sha256(passed) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM a JOIN t ON a.lvl = t.depth"""
