@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txnspark.llm import (
     binary_records,
     chat_repair,
+    conversation_trie,
     decontamination,
     hilbert_shards,
     language_id,
@@ -20,9 +21,11 @@ from txnspark.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    warc_transactions,
 )
 from txnspark.llm.common import doc_crc
-from txnspark.sources.scratch import scratch_path
+from txnspark.operators import joins
+from txnspark.sources.scratch import scratch_path, written
 from txnspark.sources.testdata import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +140,72 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance2")
 
 
+
+
+@query
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, read back from the archives and put together from their records."""
+    path = scratch_path(spark, "archives")
+    warc_transactions.write_archives(table(spark, sf_dir, "pages"), path, least=0)
+    fields = F.map_from_entries(F.get("metadata", 0)["fields"])
+    page_id = fields["page-id"].cast("long").alias("page_id")
+    taken = ["payload_bytes", "payload_digest", F.col("primary.type").alias("record_type")]
+    rows = warc_transactions.captures(spark, path).where("part = 0").select(
+        page_id, "capture_id", *[F.col(f"primary.{c}") if isinstance(c, str) else c for c in taken],
+        F.col("primary.refers_to").alias("_first"),
+    )
+    rows = written(rows, "captures")
+    # A revisit names the response's record; its page is that of the response's capture.
+    named = rows.where("record_type = 'response'").select(F.col("capture_id").alias("_first"), F.col("page_id").alias("refers_to"))
+    again, first = rows.where("_first IS NOT NULL"), rows.where("_first IS NULL")
+    none = F.lit(None).cast("long")
+    out = joins.lookup(again, named, "_first", "refers_to", none).unionByName(first.withColumn("refers_to", none))
+    return out.drop("_first", "capture_id")
+
+
+# SHA-1 in groups of five bits.
+ORACLES["op11_warc_transactions"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+s AS (SELECT *, sha1(body) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
+  FROM s),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, body, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST('0b' || substr(bits, 5 * i + 1, 5) AS BIGINT) + 1, 1)), '') AS payload_digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, their first turns taken from every 20th one."""
+    turns = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    rebuilt = conversation_trie.with_shared_heads(turns, 20, (doc_crc("conv_id") % 4).cast("int"), 3)
+    return conversation_trie.trie(rebuilt).drop("turn_id", "words")
+
+
+# The checksum of a short text, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''),
+    lambda ch: CAST(ord(ch) AS BIGINT))), lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+# Prefixes as lists of turns; what a subtree holds by comparing every node with every other.
+ORACLES["op12_conversation_trie"] = rf"""WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations),
+c AS (SELECT DISTINCT conv_id, {CRC_SQL.format('conv_id')} % 4 AS h FROM conversations),
+r AS (SELECT c.conv_id, 0 AS part, i, {{{{'role': role, 'text': text}}}} AS t FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, {{{{'role': role, 'text': text}}}} FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+w AS (SELECT c.conv_id, coalesce(list(t ORDER BY part, i) FILTER (t IS NOT NULL), []) AS ts FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+x AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM w),
+n AS (SELECT d, ts[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(ts)), '') AS ends FROM x GROUP BY d, ts[1:d]),
+k AS (SELECT n.*, u.conv_id AS up, (SELECT count(*) FROM n v WHERE v.d = n.d + 1 AND v.p[1:n.d] = n.p) AS kids,
+    (n.n - 1) * CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(n.p[n.d].text, '[^ 	-
+]+')) END AS own
+  FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1])
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, k.up AS parent_conv_id, k.n AS n_convs, k.kids AS n_children,
+  count(*) FILTER (b.kids = 0) AS n_leaves, CAST(sum(b.own) AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN k b ON b.d >= k.d AND b.p[1:k.d] = k.p GROUP BY ALL""".replace("{{", "{").replace("}}", "}")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof, and the root that its leaf, tampered with or not, leads to."""
@@ -151,12 +220,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The checksum of a short text, bit by bit.
-CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''),
-    lambda ch: CAST(ord(ch) AS BIGINT))), lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
-
-
 def _leaf_sql(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")
     parts = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
