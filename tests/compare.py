@@ -5,6 +5,12 @@ import math
 import pandas as pd
 
 
+def plain(frame):
+    """``frame`` with whole numbers that may be missing as pandas has them without an extension type."""
+    extended = [c for c in frame.columns if isinstance(frame[c].dtype, pd.Int64Dtype)]
+    return frame.astype({c: "float64" if frame[c].isna().any() else "int64" for c in extended})
+
+
 def canon(frame):
     frame = frame[sorted(frame.columns)]
     rows = []

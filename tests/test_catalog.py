@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from tests.compare import canon
+from tests.compare import canon, plain
 from tests.conftest import SF
 
 TABLES = (
@@ -32,7 +32,7 @@ def test_query(name, spark, duck):
     if name not in oracle_sql():
         assert len(got) > 0
         return
-    want = duck.execute(oracle_sql()[name]).df()
+    want = plain(duck.execute(oracle_sql()[name]).df())
     assert sorted(got.columns) == sorted(want.columns)
     assert {c: str(t) for c, t in got.dtypes.items()} == {
         c: str(t) for c, t in want.dtypes.items()
