@@ -10,7 +10,7 @@ digest that occurs twice or more.
 ``captures`` reads archives back, from here or elsewhere, and joins records through
 their identifiers: a record that names a primary record (or is named by one) is part of
 its capture, one that names such a record too, and so on; records that lead to no
-primary record form captures without one. One nested row is emitted per capture. A
+primary record form captures without one, by the identifiers they hold or name. One nested row is emitted per capture. A
 capture of more than ``members`` records goes on in rows with a higher ``part``, so no
 row grows without bound. Only identifiers and places are joined; blocks come along at
 the end, and only if they are asked for.
@@ -315,7 +315,7 @@ def assign(records: DataFrame) -> DataFrame:
     if found is None:
         found = placed.where(F.lit(False))
     rest = open_links.select(F.col("record_id").alias("a"), F.col("other").alias("b"))
-    # What leads to no primary record: the smallest identifier among those that name each other.
+    # What leads to no primary record: the smallest identifier among those they hold or name.
     alone = records.where(~primary & F.col("type").isin("request", "metadata")).join(found, "record_id", "left_anti").select("record_id")
     if alone.isEmpty():
         return found
