@@ -12,6 +12,7 @@ and have no velocity.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -23,6 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from txnspark.functions.time import epoch_micros, epoch_seconds
 from txnspark.operators import ordered
+from txnspark.operators.limbs import Limbs
 from txnspark.operators.ordered import HOT_ROWS
 
 HOUR = 3600
@@ -30,13 +32,9 @@ DAY = 86400
 ROLLING_ROWS = 50
 
 # A window sum is the difference of two running sums, which would lose digits in
-# floating point. Amounts are therefore summed exactly, to ten digits after the
-# point: as decimals, or where at most HOT_ROWS rows add up, as two integers.
-# An amount that is NaN, infinite or beyond AMOUNT_LIMIT counts as missing, whatever
-# the size of the card: it adds nothing to a sum and enters no statistic.
-AMOUNT_LIMIT = 1e12
-MONEY = "decimal(28,10)"
-FRACTION = 10_000_000_000
+# floating point. Amounts are therefore summed exactly, as integer limbs.
+# An amount that is NaN or infinite counts as missing, whatever the size of the card:
+# it adds nothing to a sum and enters no statistic.
 
 
 @dataclass(frozen=True)
@@ -126,7 +124,7 @@ def _prepared(df: DataFrame, k: Columns) -> DataFrame:
     if k.amount not in df.columns:
         return out
     amount = F.col(k.amount).cast("double")
-    usable = ~F.isnan(amount) & (F.abs(amount) <= AMOUNT_LIMIT)
+    usable = ~F.isnan(amount) & (F.abs(amount) < F.lit(math.inf))
     return out.withColumn(_AMOUNT, F.when(usable, amount))
 
 
@@ -160,7 +158,7 @@ def add_history(
     if _AMOUNT in ready.columns:
         k = replace(k, amount=_AMOUNT)
     usual, hot = ordered.split_hot(ready, [k.card], hot_rows)
-    out = _plain(usual, want, k)
+    out = _plain(usual, want, k, hot_rows)
     if hot is not None:
         out = out.unionByName(_spread(hot, want, k, hot_rows), allowMissingColumns=True)
     return out.select(*df.columns, *want)
@@ -169,9 +167,16 @@ def add_history(
 # ---------------------------------------------------------------- plain cards
 
 
-def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns) -> DataFrame:
+def _is_sum(f: Feature) -> bool:
+    return isinstance(f, Velocity) and f.what != "count"
+
+
+def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns, hot_rows: int) -> DataFrame:
     """Windows partitioned by card. Rows without a card are groups of their own."""
     out = df
+    sums = {n: f for n, f in want.items() if _is_sum(f)}
+    limbs = Limbs.of(df, k.amount, hot_rows) if sums else None
+    parts = {n: [f"_{n}_{i}" for i in range(limbs.count)] for n in sums}
     for name, f in want.items():
         if _is_prior_median(f):
             out = _prior_median(out, name, k)
@@ -185,16 +190,18 @@ def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns) -> DataFrame:
     # Card windows come first: their exchange on the card also serves the
     # narrower (card, category) groups.
     card = Window.partitionBy(k.card, ALONE)
-    missing = {n: F.lit(0.0) if isinstance(f, SinceLast) else F.lit(None) for n, f in by_card}
-    out = out.withColumns(
-        {n: F.when(has_card, _plain_expr(f, card, k)).otherwise(missing[n]) for n, f in by_card}
-    )
-    if by_category:
-        narrow = Window.partitionBy(k.card, ALONE, k.category)
-        known = has_card & F.col(k.category).isNotNull()
-        out = out.withColumns(
-            {name: F.when(known, _plain_expr(f, narrow, k)) for name, f in by_category}
-        )
+    known = has_card & F.col(k.category).isNotNull() if by_category else has_card
+    narrow = Window.partitionBy(k.card, ALONE, k.category)
+    for group, condition, features in ((card, has_card, by_card), (narrow, known, by_category)):
+        add = {}
+        for n, f in features:
+            if n in sums:
+                add |= dict(zip(parts[n], _plain_velocity(f, group, k, limbs.split(_amount(k))), strict=True))
+            else:
+                missing = F.lit(0.0) if isinstance(f, SinceLast) else F.lit(None)
+                add[n] = F.when(condition, _plain_expr(f, group, k)).otherwise(missing)
+        joined = {n: F.when(condition, limbs.join([F.col(c) for c in parts[n]])) for n, _ in features if n in sums}
+        out = out.withColumns(add).withColumns(joined).drop(*[c for n in joined for c in parts[n]])
     return out
 
 
@@ -216,7 +223,7 @@ def _plain_expr(f: Feature, group, k: Columns) -> Column:
             frame = ordered_rows.rowsBetween(Window.unboundedPreceding, -1)
             return F.coalesce(_over(f.stat, F.col(k.amount), frame), F.lit(0.0))
         case Velocity():
-            return _plain_velocity(f, group, ordered_rows, k)
+            return _plain_velocity(f, group, k, [F.lit(1)])[0]
     raise TypeError(f"unknown feature {f!r}")
 
 
@@ -271,8 +278,8 @@ def running_median_of(card: str, amount: str, name: str):
     return batches
 
 
-def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
-    """Rows so far minus rows that have left the window: two running totals.
+def _plain_velocity(f: Velocity, group, k: Columns, units: list[Column]) -> list[Column]:
+    """Sums of the units so far minus those that have left the window: two running totals.
 
     Cost per row does not grow with the number of rows in the window.
     """
@@ -286,19 +293,15 @@ def _plain_velocity(f: Velocity, group, ordered_rows, k: Columns) -> Column:
             Window.unboundedPreceding, -f.seconds - 1
         )
     known = F.col(_U).isNotNull()
-    entered = group if f.mode == "app" else ordered_rows.rowsBetween(Window.unboundedPreceding, 0)
+    rows = group.orderBy(*_row_order(k)).rowsBetween(Window.unboundedPreceding, 0)
+    entered = group if f.mode == "app" else rows
 
     def inside(unit: Column) -> Column:
         # The condition keeps rows without a time out of both totals.
         counted = F.when(known, unit)
         return F.sum(counted).over(entered) - F.coalesce(F.sum(counted).over(left), F.lit(0))
 
-    if f.what == "count":
-        return F.when(known, inside(F.lit(1)))
-    amount = _amount(k)
-    whole = F.floor(amount).cast("long")
-    part = F.rint((amount - whole) * FRACTION).cast("long")
-    return F.when(known, inside(whole) + inside(part) / FRACTION)
+    return [F.when(known, inside(unit)) for unit in units]
 
 
 # ------------------------------------------------------------------ hot cards
@@ -346,16 +349,7 @@ def _spread_sequence(
         "_timeless": (F.col(k.time).isNull().cast("long"), "sum", False),
     }
     if prior:
-        # Sums around the card's mean keep the digits of the variance.
-        means = df.groupBy(k.card).agg(F.avg(k.amount).alias("_mid"))
-        df = df.join(ordered.broadcast_small(means), k.card)
-        off = F.col(k.amount) - F.col("_mid")
-        measures |= {
-            "_n": (F.when(F.col(k.amount).isNotNull(), 1).otherwise(0).cast("long"), "sum", False),
-            "_s1": (F.coalesce(off, F.lit(0.0)), "sum", False),
-            "_s2": (F.coalesce(off * off, F.lit(0.0)), "sum", False),
-            "_top": (F.col(k.amount), "max", False),
-        }
+        measures |= {"_seen": (F.col(k.amount), "moments", False), "_top": (F.col(k.amount), "max", False)}
     out = ordered.running(df, [k.card], _row_order(k), measures, limit=limit)
     add = {}
     for name, f in sequence.items():
@@ -367,19 +361,16 @@ def _spread_sequence(
                 add[name] = F.when(F.col("_timeless") == 0, F.col("_prev_t"))
             case SinceLast():
                 add[name] = _since(F.col("_prev_u" if f.whole_seconds else "_prev_m"), f)
-    n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
-    spread = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
+    n = F.col("_seen.n")
     values = {
-        "mean": F.when(n > 0, F.col("_mid") + s1 / n),
-        "std": F.when(n > 1, F.sqrt(spread / (n - 1))),
+        "mean": F.when(n > 0, F.col("_seen.mean")),
+        "std": F.when(n > 1, F.sqrt(F.col("_seen.m2") / (n - 1))),
         "max": F.col("_top"),
     }
     for name, f in prior.items():
         if f.stat != "median":
             add[name] = F.coalesce(values[f.stat], F.lit(0.0))
-    return out.withColumns(add).drop(
-        "_prev_u", "_prev_m", "_prev_t", "_timeless", "_mid", "_n", "_s1", "_s2", "_top"
-    )
+    return out.withColumns(add).drop("_prev_u", "_prev_m", "_prev_t", "_timeless", "_seen", "_top")
 
 
 def _spread_rolling(
@@ -419,8 +410,9 @@ def _spread_velocity(
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, clock]])
     windows = sorted({f.seconds for f in want.values()})
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    none = F.lit(0).cast(MONEY)
-    money = _amount(k).cast(MONEY) if k.amount in df.columns else none
+    # A hot card may have any number of rows.
+    limbs = Limbs.of(df, k.amount) if any(_is_sum(f) for f in want.values()) else None
+    money = limbs.split(_amount(k)) if limbs else []
     enters = 0.0 if mode == "app" else 1.0
     # At equal times: half_open lets rows leave before others enter, the others after.
     entry_rank, exit_rank = (1, 0) if mode == "half_open" else (0, 1)
@@ -436,7 +428,7 @@ def _spread_velocity(
             F.col(k.id).alias("_id"),
             row.alias("_payload"),
             *[c.alias(f"_n{w}") for w, c in zip(windows, counts, strict=True)],
-            *[s.alias(f"_s{w}") for w, s in zip(windows, sums, strict=True)],
+            *[s.alias(f"_s{w}_{i}") for w, limb in zip(windows, sums, strict=True) for i, s in enumerate(limb)],
         )
 
     events = event(
@@ -444,7 +436,7 @@ def _spread_velocity(
         entry_rank,
         payload,
         [one if enters else zero for _ in windows],
-        [money if enters else none for _ in windows],
+        [money if enters else [zero] * len(money) for _ in windows],
     )
     for width in windows:
         events = events.unionByName(
@@ -453,27 +445,27 @@ def _spread_velocity(
                 exit_rank,
                 F.when(F.lit(False), payload),
                 [-one if w == width else zero for w in windows],
-                [-money if w == width else none for w in windows],
+                [[-m if w == width else zero for m in money] for w in windows],
             )
         )
-    wide = "decimal(38,10)"
+    places = range(len(money))
     measures = {f"_run_n{w}": (F.col(f"_n{w}"), "sum", True) for w in windows}
-    measures |= {f"_run_s{w}": (F.col(f"_s{w}").cast(wide), "sum", True) for w in windows}
+    measures |= {f"_run_s{w}_{i}": (F.col(f"_s{w}_{i}"), "sum", True) for w in windows for i in places}
     order = [F.col("_at"), F.col("_rank"), F.col("_tie"), F.col("_id")]
     swept = ordered.running(events, by, order, measures, limit=limit).where(F.col("_payload").isNotNull())
     if mode == "app":
         whole = rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_all_n"), F.sum(money).alias("_all_s")
+            F.count(F.lit(1)).alias("_all_n"), *[F.sum(m).alias(f"_all_s{i}") for i, m in enumerate(money)]
         )
         swept = swept.join(ordered.broadcast_small(whole), by)
     else:
-        swept = swept.withColumns({"_all_n": zero, "_all_s": none})
+        swept = swept.withColumns({"_all_n": zero, **{f"_all_s{i}": zero for i in places}})
     add = {}
     for name, f in want.items():
         if f.what == "count":
             add[name] = F.col("_all_n") + F.col(f"_run_n{f.seconds}")
         else:
-            add[name] = (F.col("_all_s") + F.col(f"_run_s{f.seconds}")).cast("double")
+            add[name] = limbs.join([F.col(f"_all_s{i}") + F.col(f"_run_s{f.seconds}_{i}") for i in places])
     done = swept.withColumns(add).select("_payload.*", *want)
     rest = df.where(~known).withColumns(
         {n: F.lit(None).cast("long" if f.what == "count" else "double") for n, f in want.items()}

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -122,6 +122,48 @@ def _same(by: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
 
 
+_FOLD = {"sum": F.sum, "max": F.max}
+
+
+def _moments(value: Column, frame: WindowSpec | None = None) -> Column:
+    """Count, mean and summed squared deviation of a frame, or of an aggregate's rows."""
+    count, mean, spread = F.count(value), F.avg(value), F.var_pop(value)
+    if frame is not None:
+        count, mean, spread = count.over(frame), mean.over(frame), spread.over(frame)
+    n = count.cast("double")
+    zero = F.lit(0.0)
+    return F.struct(n.alias("n"), F.coalesce(mean, zero).alias("mean"), F.coalesce(spread * n, zero).alias("m2"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two sets of rows together."""
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + gap * share)
+    between = F.when((a["n"] > 0) & (b["n"] > 0), gap * gap * a["n"] * share).otherwise(0.0)
+    return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + b["m2"] + between).alias("m2"))
+
+
+def _no_rows() -> Column:
+    return F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")])
+
+
+def _fold(how: str, value: Column) -> Column:
+    return _moments(value) if how == "moments" else _FOLD[how](value)
+
+
+def _fold_over(how: str, value: Column, frame: WindowSpec) -> Column:
+    return _moments(value, frame) if how == "moments" else _FOLD[how](value).over(frame)
+
+
+def _fold_parts(how: str, part: Column, frame: WindowSpec) -> Column:
+    """What the blocks of a frame make together; a group has few blocks."""
+    if how == "moments":
+        return F.aggregate(F.collect_list(part).over(frame), _no_rows(), _merged)
+    return _FOLD[how](part).over(frame)
+
+
 def _in_blocks(
     blocks: DataFrame,
     by: Sequence[str],
@@ -135,11 +177,10 @@ def _in_blocks(
     from the block before. Only groups seen in several blocks need a carry: at
     most two rows per block, which bounds what is broadcast.
     """
-    fold = {"sum": F.sum, "max": F.max}
     key = [F.col(c) for c in by]
     src = blocks.withColumns({f"_in_{n}": e for n, (e, _, _) in measures.items()})
     parts = src.groupBy(*by, BLOCK).agg(
-        *[fold[how](f"_in_{n}").alias(f"_p_{n}") for n, (_, how, _) in measures.items()]
+        *[_fold(how, F.col(f"_in_{n}")).alias(f"_p_{n}") for n, (_, how, _) in measures.items()]
     )
     whole = Window.partitionBy(*key)
     earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -148,9 +189,9 @@ def _in_blocks(
         .select(
             "_pieces",
             *[F.col(c).alias(f"_k_{c}") for c in [*by, BLOCK]],
-            *[fold[how](f"_p_{n}").over(earlier).alias(f"_c_{n}") for n, (_, how, _) in measures.items()],
+            *[_fold_parts(how, F.col(f"_p_{n}"), earlier).alias(f"_c_{n}") for n, (_, how, _) in measures.items()],
             *[
-                fold[how](f"_p_{n}").over(whole).alias(f"_t_{n}")
+                _fold_parts(how, F.col(f"_p_{n}"), whole).alias(f"_t_{n}")
                 for n, (_, how, _) in measures.items()
                 if totals
             ],
@@ -164,14 +205,16 @@ def _in_blocks(
         upto = block.orderBy(*order).rowsBetween(
             Window.unboundedPreceding, 0 if inclusive else -1
         )
-        local, carried = fold[how](f"_in_{n}").over(upto), F.col(f"_c_{n}")
-        if how == "sum":
+        local, carried = _fold_over(how, F.col(f"_in_{n}"), upto), F.col(f"_c_{n}")
+        if how == "moments":
+            result[n] = _merged(F.coalesce(carried, _no_rows()), local)
+        elif how == "sum":
             zero = F.lit(0).cast(src.schema[f"_in_{n}"].dataType)
             result[n] = F.coalesce(local, zero) + F.coalesce(carried, zero)
         else:
             result[n] = F.greatest(local, carried)
         if totals:
-            own = fold[how](f"_in_{n}").over(block)
+            own = _fold_over(how, F.col(f"_in_{n}"), block)
             result[f"total_{n}"] = F.coalesce(F.col(f"_t_{n}"), own)
     return out.withColumns(result).drop(
         BLOCK,
@@ -189,20 +232,19 @@ def _in_one_task(
     totals: bool,
 ) -> DataFrame:
     """The same for a table known to be small: plain windows."""
-    fold = {"sum": F.sum, "max": F.max}
     group = Window.partitionBy(*[F.col(c) for c in by])
     result = {}
     for n, (expr, how, inclusive) in measures.items():
         upto = group.orderBy(*order).rowsBetween(
             Window.unboundedPreceding, 0 if inclusive else -1
         )
-        value = fold[how](expr).over(upto)
+        value = _fold_over(how, expr, upto)
         if how == "sum":
             # Typed as the measure: a decimal or a long stays one.
             value = F.coalesce(value, F.lit(0).cast(df.select(expr).schema[0].dataType))
         result[n] = value
         if totals:
-            result[f"total_{n}"] = fold[how](expr).over(group)
+            result[f"total_{n}"] = _fold_over(how, expr, group)
     return df.withColumns(result)
 
 
@@ -216,7 +258,8 @@ def running(
 ) -> DataFrame:
     """Running measures per group over any order, however large the group.
 
-    ``measures`` maps an output name to (expression, "sum" or "max", inclusive).
+    ``measures`` maps an output name to (expression, "sum", "max" or "moments", inclusive);
+    moments are a struct of count, mean and summed squared deviation.
     With ``totals`` the whole-group value comes along as ``total_<name>``.
     """
     rows = df.count()
