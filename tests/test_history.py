@@ -157,11 +157,11 @@ WANT = {
 }
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 30])
-def test_against_brute_force(spark, hot_rows):
+@pytest.mark.parametrize(("hot_rows", "short_rows"), [(1_000_000, 1000), (1_000_000, 0), (30, 1000)])
+def test_against_brute_force(spark, hot_rows, short_rows):
     rows = random_rows(7)
     want = brute(rows)
-    got = by_id(add_history(table(spark, rows), WANT, hot_rows=hot_rows), *WANT)
+    got = by_id(add_history(table(spark, rows), WANT, hot_rows=hot_rows, short_rows=short_rows), *WANT)
     assert len(got) == len(rows)
     for i, values in got.items():
         for name, value in zip(WANT, values):

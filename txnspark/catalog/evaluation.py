@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from txnspark.catalog.registry import B, R, predictions, put, query, tidy
 from txnspark.catalog.scalars import DECILE_SQL, EDGES_SQL
 from txnspark.catalog.summaries import BLOCK_LIMIT, HEADER_SQL, KEY_SQL, RUN_SQL, sample_key
-from txnspark.operators import curves, metrics, model, reports, sampling, thresholds
-from txnspark.plans import features, fitted, jobs
+from txnspark.operators import curves, metrics, model, reports, sampling, thresholds, trees
+from txnspark.plans import features, fitted, jobs, resolve
 from txnspark.sources import sinks
 from txnspark.sources.scratch import scratch_path, written
 from txnspark.sources.testdata import txn
@@ -303,13 +303,66 @@ def ml_train_gbt(spark, sf):
     )
 
 
-@query("ml_score", f"SELECT trans_num, {B('is_fraud')} AS is_fraud, true AS in_range FROM txn")
+#: Inputs with few values each: all midpoints between them are candidates for a split.
+GROWN = ["hour", "dayofweek", "gender_bin"]
+_ONE_TREE = model.TreeSettings(trees=1, depth=2, subsample=1.0)
+
+
+def _best_sql(level, rows):
+    """Views c (all candidate splits of the nodes of ``rows``) and b (each node's best one)."""
+    gain = "(sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) - st * st / wt)"
+    return f"""c{level} AS (SELECT node, feat, thr, sum(w) FILTER (x <= thr) AS wl, sum(w * y) FILTER (x <= thr) AS sl,
+      sum(w) AS wt, sum(w * y) AS st FROM {rows} JOIN thr USING (feat) GROUP BY node, feat, thr),
+    b{level} AS (SELECT node, feat, thr, {gain} AS gain, row_number() OVER (PARTITION BY node
+      ORDER BY round({gain}, 9) DESC, feat, thr) AS best FROM c{level} WHERE wl IS NOT NULL AND wl < wt)"""
+
+
+# A tree of two levels, grown from the definition: weighted squares of labels -1 and 1.
+_GROWN_SQL = f"""wt AS (SELECT count(*) / (2e0 * sum(is_fraud)) AS w1, count(*) / (2e0 * (count(*) - sum(is_fraud))) AS w0 FROM txn),
+  f AS (SELECT trans_num, 2e0 * is_fraud - 1 AS y, CASE WHEN is_fraud = 1 THEN w1 ELSE w0 END AS w,
+    CAST(hour({T}) AS DOUBLE) AS f0, CAST(isodow({T}) - 1 AS DOUBLE) AS f1,
+    CASE WHEN gender = 'M' THEN 1e0 ELSE 0e0 END AS f2 FROM txn, wt),
+  long AS (SELECT trans_num, y, w, unnest([0, 1, 2]) AS feat, unnest([f0, f1, f2]) AS x FROM f),
+  vals AS (SELECT DISTINCT feat, x FROM long),
+  thr AS (SELECT feat, (x + next) / 2 AS thr FROM (SELECT feat, x, lead(x) OVER (PARTITION BY feat ORDER BY x) AS next FROM vals)
+    WHERE next IS NOT NULL),
+  r0 AS (SELECT *, 1 AS node FROM long), {_best_sql(0, 'r0')},
+  r1 AS (SELECT l.*, 2 + CAST(k.x > b.thr AS INTEGER) AS node FROM long l, b0 b, long k
+    WHERE b.best = 1 AND k.trans_num = l.trans_num AND k.feat = b.feat), {_best_sql(1, 'r1')},
+  inner_nodes AS (SELECT node, feat, thr, gain FROM b0 WHERE best = 1 UNION ALL SELECT node, feat, thr, gain FROM b1 WHERE best = 1),
+  leaf_of AS (SELECT l.trans_num, l.y, l.w, 2 * l.node + CAST(k.x > b.thr AS INTEGER) AS node FROM r1 l JOIN b1 b USING (node)
+    JOIN long k ON k.trans_num = l.trans_num AND k.feat = b.feat WHERE l.feat = 0 AND b.best = 1),
+  leaves AS (SELECT node, sum(w * y) / sum(w) AS prediction FROM leaf_of GROUP BY node)"""
+_NAMES_SQL = "['" + "', '".join(GROWN) + "'][feat + 1]"
+
+
+def _one_tree(spark, sf):
+    built = features.build(txn(spark, sf), GROWN, "eval").select("trans_num", "is_fraud", *GROWN)
+    table = written(built, "grown")
+    return table, model.train_gbt(table, GROWN, settings=_ONE_TREE)
+
+
+@query(
+    "ml_tree_splits",
+    f"""WITH {_GROWN_SQL} SELECT {B('node')} AS node, {_NAMES_SQL} AS feature, {R('thr')} AS threshold, CAST(NULL AS DOUBLE) AS prediction
+    FROM inner_nodes UNION ALL SELECT {B('node')}, NULL, NULL, {R('prediction')} FROM leaves""",
+)
+def ml_tree_splits(spark, sf):
+    """The splits and leaves of a trained tree, against one grown in SQL."""
+    _, trained = _one_tree(spark, sf)
+    return tidy(trees.compiled(trained).splits(spark).drop("tree"))
+
+
+@query(
+    "ml_score",
+    f"""WITH {_GROWN_SQL} SELECT trans_num, {R('1e0 / (1e0 + exp(-2e0 * prediction))')} AS fraud_probability
+    FROM leaf_of JOIN leaves USING (node)""",
+)
 def ml_score(spark, sf):
-    """Every row keeps its key and label and gets a probability."""
-    rows, names = _training_table(spark, sf)
-    trained = model.train_gbt(rows.where(~F.col("is_test")), names, settings=_SMALL)
-    in_range = F.col("fraud_probability").between(0, 1).alias("in_range")
-    return tidy(model.score(rows, trained).select("trans_num", "is_fraud", in_range))
+    """Every row's probability from the trained model, its splits compiled to an expression."""
+    table, trained = _one_tree(spark, sf)
+    scored = trees.score_compiled(table, trees.compiled(trained))
+    return tidy(scored.select("trans_num", "fraud_probability"))
 
 
 @query(
@@ -353,19 +406,14 @@ def ml_calibrated_folds(spark, sf):
 
 @query(
     "ml_importance",
-    "SELECT n AS feature, true AS valid, true AS sums_to_one FROM (VALUES "
-    + ", ".join(f"('{n}')" for n in [*FEATURES, "hint"])
-    + ") v(n)",
+    f"""WITH {_GROWN_SQL}, g AS (SELECT feat, sum(gain) AS gain FROM inner_nodes GROUP BY feat)
+    SELECT {_NAMES_SQL} AS feature, {R('coalesce(gain, 0) / (SELECT sum(gain) FROM g)')} AS importance
+    FROM (SELECT DISTINCT feat FROM long) LEFT JOIN g USING (feat)""",
 )
 def ml_importance(spark, sf):
-    rows, names = _training_table(spark, sf)
-    table = model.importance(model.train_gbt(rows, names, settings=_SMALL))
-    total = F.sum("importance").over(Window.partitionBy())
-    return table.select(
-        "feature",
-        F.col("importance").between(0, 1).alias("valid"),
-        (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
-    )
+    """Share of the gain that each feature's splits brought."""
+    _, trained = _one_tree(spark, sf)
+    return tidy(model.importance(trained))
 
 
 @query(
@@ -417,6 +465,26 @@ def pipe_batch_score(spark, sf):
     return tidy(jobs.batch_score(rows, stand_in, _INPUTS))
 
 
+@query(
+    "pipe_batch_fallback",
+    f"""WITH {_GROWN_SQL}, p AS (SELECT trans_num, 1e0 / (1e0 + exp(-2e0 * prediction)) AS p FROM leaf_of JOIN leaves USING (node))
+    SELECT way, trans_num, {R('p')} AS fraud_probability,
+      CASE WHEN p >= 0.9e0 THEN 'block' WHEN p >= 0.6e0 THEN 'review' ELSE 'allow' END AS decision
+    FROM p, (VALUES ('pipeline'), ('pipeline(features)'), ('base')) v(way)""",
+)
+def pipe_batch_fallback(spark, sf):
+    """The same scores three ways: input that a pipeline takes as it is, raw input for it, and a model alone."""
+    table, trained = _one_tree(spark, sf)
+    raw = txn(spark, sf).drop("fraud_probability")
+    ways = [
+        resolve.batch_score(table, resolve.Scorers(pipeline=trained)),
+        resolve.batch_score(raw, resolve.Scorers(pipeline=trained)),
+        resolve.batch_score(raw, resolve.Scorers(base=trained)),
+    ]
+    parts = [scored.select(F.lit(way).alias("way"), "trans_num", "fraud_probability", "decision") for way, scored in ways]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 def _quality_sql(view):
     return f"""{R(AUC_SQL.format(view))} AS roc_auc, {R(AP_SQL.format(view))} AS pr_auc,
       (SELECT {R('block', 9)} FROM s) AS block, (SELECT {R('review', 9)} FROM s) AS review"""

@@ -9,7 +9,8 @@ from txnspark.catalog.scalars import DECILE_SQL, DISTANCE_SQL, EDGES_SQL
 from txnspark.functions.geo import home_merchant_distance
 from txnspark.operators import cards, encode, joins, reports, sampling
 from txnspark.operators.history import TxnIndex, add_history
-from txnspark.sources.testdata import txn, txn_ties
+from txnspark.sources.scratch import scratch_path
+from txnspark.sources.testdata import table, txn, txn_ties
 
 T = "trans_date_trans_time"
 _JOINED = "j AS (SELECT t.*, p.decision FROM txn t LEFT JOIN pred p USING (trans_num))"
@@ -87,6 +88,20 @@ def join_positional_trunc(spark, sf):
     return tidy(out)
 
 
+@query(
+    "join_positional_files",
+    f"""SELECT trans_num, {R('fraud_probability')} AS fraud_probability, decision FROM pred""",
+)
+def join_positional_files(spark, sf):
+    """Predictions without an id, written in the order of the transactions and paired in file order."""
+    scores = predictions(spark, sf).drop("trans_num")
+    path = scratch_path(spark, "scores")
+    scores.write.option("maxRecordsPerFile", 700).parquet(path)
+    raw = joins.with_file_position(table(spark, sf, "events")).withColumnRenamed("event_id", "trans_num")
+    back = joins.with_file_position(spark.read.parquet(path))
+    return tidy(joins.attach_by_position(raw.select("trans_num", joins.POSITION), back, [], []))
+
+
 _CARD_STATS = f"""{R('avg(amt)')} AS mean_amt, {R('stddev_samp(amt)')} AS std_amt,
   {R('quantile_cont(amt, 0.5)')} AS median_amt, {R('max(amt)')} AS max_amt,
   {R(f'avg({DISTANCE_SQL})', 5)} AS mean_distance, {B('count(amt)')} AS transaction_count"""

@@ -46,6 +46,20 @@ def src_latin1(spark, sf):
     return tables.read_table(spark, path, rows.schema, encoding="ISO-8859-1")
 
 
+@query(
+    "src_mixed_encodings",
+    "SELECT trans_num, concat('café ', category) AS place FROM txn",
+)
+def src_mixed_encodings(spark, sf):
+    """Files of both encodings in one folder, told apart by their bytes."""
+    path = scratch_path(spark, "mixed")
+    rows = txn(spark, sf).select("trans_num", F.concat(F.lit("café "), "category").alias("place"))
+    for odd, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        part = rows.where(F.col("trans_num") % 2 == odd)
+        part.write.mode("append").option("header", True).option("encoding", encoding).csv(path)
+    return tables.read_table(spark, path, rows.schema, encoding="auto")
+
+
 @query("src_drop_index_col", f"SELECT trans_num, cc_num, {R('amt')} AS amt FROM txn")
 def src_drop_index_col(spark, sf):
     rows = txn(spark, sf).select("trans_num", "cc_num", "amt")

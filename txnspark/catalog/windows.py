@@ -14,6 +14,7 @@ from txnspark.operators.history import (
     PrevTime,
     Prior,
     Rolling,
+    SHORT_ROWS,
     SinceLast,
     TxnIndex,
     Velocity,
@@ -25,9 +26,9 @@ from txnspark.sources.testdata import table, txn, txn_ties
 T = "trans_date_trans_time"
 
 
-def _history(want, source=txn, digits=6, hot_rows=HOT_ROWS):
+def _history(want, source=txn, digits=6, hot_rows=HOT_ROWS, short_rows=SHORT_ROWS):
     def run(spark, sf):
-        out = add_history(source(spark, sf), want, hot_rows=hot_rows)
+        out = add_history(source(spark, sf), want, hot_rows=hot_rows, short_rows=short_rows)
         return tidy(out.select("trans_num", *want), digits)
 
     return run
@@ -237,6 +238,12 @@ for _stat in _STAT_SQL:
     )
 
 
+# Cards of any length: ranks narrowed digit by digit, here over the few long cards.
+put(
+    "win_prior_median_ranks",
+    _history({"median_amt": Prior("median")}, txn_few, STAT_DIGITS, short_rows=0),
+    f"WITH {_FEW_SQL} SELECT trans_num, {prior_sql('median')} AS median_amt FROM few",
+)
 put(
     "win_prior_hot",
     _history({f"{s}_amt": Prior(s) for s in _STAT_SQL}, txn_few, STAT_DIGITS, SPREAD_ROWS),

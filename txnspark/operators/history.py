@@ -11,16 +11,13 @@ and have no velocity.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from txnspark.functions.time import epoch_micros, epoch_seconds
 from txnspark.operators import ordered
@@ -30,6 +27,8 @@ from txnspark.operators.ordered import HOT_ROWS
 HOUR = 3600
 DAY = 86400
 ROLLING_ROWS = 50
+#: Longest card whose prior medians are taken from a growing frame.
+SHORT_ROWS = 128
 
 # A window sum is the difference of two running sums, which would lose digits in
 # floating point. Amounts are therefore summed exactly, as integer limbs.
@@ -152,13 +151,14 @@ def add_history(
     want: Mapping[str, Feature],
     k: Columns = Columns(),
     hot_rows: int = HOT_ROWS,
+    short_rows: int = SHORT_ROWS,
 ) -> DataFrame:
     """``df`` with one column per wanted feature; rows and keys are untouched."""
     ready = _prepared(df, k)
     if _AMOUNT in ready.columns:
         k = replace(k, amount=_AMOUNT)
     usual, hot = ordered.split_hot(ready, [k.card], hot_rows)
-    out = _plain(usual, want, k, hot_rows)
+    out = _plain(usual, want, k, hot_rows, short_rows)
     if hot is not None:
         out = out.unionByName(_spread(hot, want, k, hot_rows), allowMissingColumns=True)
     return out.select(*df.columns, *want)
@@ -171,15 +171,13 @@ def _is_sum(f: Feature) -> bool:
     return isinstance(f, Velocity) and f.what != "count"
 
 
-def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns, hot_rows: int) -> DataFrame:
+def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns, hot_rows: int, short_rows: int) -> DataFrame:
     """Windows partitioned by card. Rows without a card are groups of their own."""
     out = df
+    medians = [n for n, f in want.items() if _is_prior_median(f)]
     sums = {n: f for n, f in want.items() if _is_sum(f)}
     limbs = Limbs.of(df, k.amount, hot_rows) if sums else None
     parts = {n: [f"_{n}_{i}" for i in range(limbs.count)] for n in sums}
-    for name, f in want.items():
-        if _is_prior_median(f):
-            out = _prior_median(out, name, k)
     # A caller that has grouped by card before hands its column through: one exchange.
     if ALONE not in out.columns:
         out = out.withColumn(ALONE, alone(k))
@@ -202,7 +200,7 @@ def _plain(df: DataFrame, want: Mapping[str, Feature], k: Columns, hot_rows: int
                 add[n] = F.when(condition, _plain_expr(f, group, k)).otherwise(missing)
         joined = {n: F.when(condition, limbs.join([F.col(c) for c in parts[n]])) for n, _ in features if n in sums}
         out = out.withColumns(add).withColumns(joined).drop(*[c for n in joined for c in parts[n]])
-    return out
+    return _prior_median(out, medians, k, short_rows) if medians else out
 
 
 def _plain_expr(f: Feature, group, k: Columns) -> Column:
@@ -231,51 +229,78 @@ def _is_prior_median(f: Feature) -> bool:
     return isinstance(f, Prior) and f.stat == "median"
 
 
-def _prior_median(df: DataFrame, name: str, k: Columns) -> DataFrame:
-    """Median of all earlier amounts, card after card along sorted partitions.
+#: Values told apart in one round of the search for a median.
+DIGITS = 16
 
-    A growing window frame would sort its whole content again for every row; two
-    heaps need a logarithmic step instead, which no built-in offers. Sorting is
-    Spark's; Python sees Arrow batches and keeps one card's amounts.
-    """
-    known = F.col(k.card).isNotNull()
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-    rows = df.where(known).repartition(k.card).sortWithinPartitions(k.card, *_row_order(k))
-    done = rows.mapInArrow(running_median_of(k.card, k.amount, name), schema)
-    return done.unionByName(df.where(~known).withColumn(name, F.lit(None).cast("double")))
 
+def _prior_median(df: DataFrame, names: Sequence[str], k: Columns, short_rows: int) -> DataFrame:
+    """Median of all earlier amounts of the card, by narrowing ranks, in windows alone.
 
-def running_median_of(card: str, amount: str, name: str):
-    """Adds to sorted batches the median of the card's amounts before each row.
-
-    Built as a closure, so that executors need no copy of this package.
+    A growing frame sorts its whole content again for every row, which is the quickest
+    way only if no card has more than ``short_rows`` rows. Otherwise amounts
+    get their rank in the card, and each row asks for the rank in the middle of its
+    predecessors. Rows and questions stand side by side in the card's partition. A round
+    counts, along time, how many predecessors fall under each digit of the rank, which
+    picks the next digit of the answer; a question then goes on among the ranks that
+    begin like it. All windows begin with the card, so its one exchange serves them.
     """
-
-    def batches(stream):
-        current = None
-        low: list[float] = []  # lower half, negated
-        high: list[float] = []
-        for batch in stream:
-            medians = []
-            pairs = zip(batch.column(card).to_pylist(), batch.column(amount).to_pylist())
-            for owner, x in pairs:
-                if owner != current:
-                    current, low, high = owner, [], []
-                if not low:
-                    medians.append(0.0)
-                elif len(low) > len(high):
-                    medians.append(-low[0])
-                else:
-                    medians.append((high[0] - low[0]) / 2)
-                if x is None or x != x:
-                    continue
-                heapq.heappush(high, -heapq.heappushpop(low, -float(x)))
-                if len(high) > len(low):
-                    heapq.heappush(low, -heapq.heappop(high))
-            columns = [*batch.columns, pa.array(medians, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name])
-
-    return batches
+    group, valued = [F.col(k.card), F.col(ALONE)], F.col(k.amount).isNotNull()
+    largest = df.where(F.col(k.card).isNotNull() & valued).groupBy(*group).count().agg(F.max("count")).first()[0] or 1
+    if largest <= short_rows:
+        frame = Window.partitionBy(*group).orderBy(*_row_order(k)).rowsBetween(Window.unboundedPreceding, -1)
+        median = F.when(F.col(k.card).isNotNull(), F.coalesce(_over("median", F.col(k.amount), frame), F.lit(0.0)))
+        return df.withColumns({n: median for n in names})
+    rounds = 1
+    while DIGITS**rounds < largest:
+        rounds += 1
+    in_time = Window.partitionBy(*group).orderBy(*_row_order(k))
+    by_value = Window.partitionBy(*group).orderBy(F.col(k.amount).asc_nulls_last(), F.col(_ROW))
+    before = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    kept = [F.col(c) for c in df.columns if c not in (k.card, ALONE)]
+    rows = df.withColumns({_ROW: F.row_number().over(in_time), "_before": F.count(k.amount).over(before)})
+    rows = rows.withColumn("_place", F.when(valued, F.row_number().over(by_value) - 1))
+    rows = rows.select(*group, _ROW, "_before", "_place", F.col(k.amount).alias("_value"), F.struct(*kept).alias("_kept"))
+    half = F.expr("_before div 2")
+    low = F.when(F.col("_before") > 0, F.expr("(_before + 1) div 2"))
+    high = F.when((F.col("_before") > 0) & (F.col("_before") % 2 == 0), half + 1)
+    # Side -1 is the row itself; 0 and 1 ask for the lower and, if it is another one, the upper middle.
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), a.cast("long").alias("k")) for i, a in ((-1, F.lit(None)), (0, low), (1, high))])
+    asked = F.filter(sides, lambda s: (s["side"] < 0) | s["k"].isNotNull())
+    both = rows.withColumn("_ask", F.explode(asked))
+    item = F.col("_ask.side") < 0
+    both = both.select(
+        *group, _ROW, F.col("_ask.side").alias("_side"), F.col("_ask.k").alias("_k"), F.lit(0).cast("long").alias("_node"),
+        *[F.when(item, F.col(c)).alias(c) for c in ("_place", "_value", "_kept")],
+    )
+    # Counts of one card fit ``bits``; several share a long, and one sum counts them all.
+    bits = int(largest).bit_length()
+    each, mask = 62 // bits, (1 << bits) - 1
+    packed = {
+        f"_d{i // each}": [sum(1 << (bits * (d - i)) for d in range(i, min(i + each, DIGITS - 1)) if d >= v) for v in range(DIGITS)]
+        for i in range(0, DIGITS - 1, each)
+    }
+    for step in range(rounds - 1, -1, -1):
+        size = DIGITS**step
+        # A question at a row comes before the row's own amount: predecessors only.
+        along = Window.partitionBy(*group, "_node").orderBy(_ROW, F.col("_side").desc())
+        upto = along.rowsBetween(Window.unboundedPreceding, 0)
+        digit = F.expr(f"(_place div {size}) % {DIGITS}")
+        both = both.withColumns({c: F.sum(F.get(F.array(*map(F.lit, units)), digit.cast("int"))).over(upto) for c, units in packed.items()})
+        under = [F.coalesce(F.shiftright(f"_d{d // each}", bits * (d % each)), F.lit(0)).bitwiseAND(mask) for d in range(DIGITS - 1)]
+        chosen = reduce(lambda a, b: a + b, [(c < F.col("_k")).cast("int") for c in under])
+        both = both.withColumn("_next", chosen)
+        below = F.array(F.lit(0).cast("long"), *under)
+        both = both.withColumns({
+            "_k": F.col("_k") - F.get(below, F.col("_next")),
+            "_node": F.when(F.col("_side") < 0, F.expr(f"_place div {size}")).otherwise(F.col("_node") * DIGITS + F.col("_next")),
+        }).drop("_next", *packed)
+    found = F.max("_value").over(Window.partitionBy(*group, "_node"))
+    both = both.withColumn("_found", F.when(F.col("_side") >= 0, found))
+    # The questions' answers go back to the row that asked.
+    middle = F.avg("_found").over(Window.partitionBy(*group, _ROW))
+    done = both.withColumn("_middle", middle).where("_side < 0")
+    median = F.when(F.col(k.card).isNotNull(), F.coalesce("_middle", F.lit(0.0)))
+    return done.select(*group, "_kept.*", *[median.alias(n) for n in names])
 
 
 def _plain_velocity(f: Velocity, group, k: Columns, units: list[Column]) -> list[Column]:
@@ -348,8 +373,11 @@ def _spread_sequence(
         "_prev_t": (F.col(k.time), "max", False),
         "_timeless": (F.col(k.time).isNull().cast("long"), "sum", False),
     }
+    limbs = Limbs.of(df, k.amount) if any(f.stat == "mean" for f in prior.values()) else None
+    sums = {f"_sum{i}": part for i, part in enumerate(limbs.split(_amount(k)))} if limbs else {}
     if prior:
         measures |= {"_seen": (F.col(k.amount), "moments", False), "_top": (F.col(k.amount), "max", False)}
+        measures |= {c: (part, "sum", False) for c, part in sums.items()}
     out = ordered.running(df, [k.card], _row_order(k), measures, limit=limit)
     add = {}
     for name, f in sequence.items():
@@ -363,14 +391,14 @@ def _spread_sequence(
                 add[name] = _since(F.col("_prev_u" if f.whole_seconds else "_prev_m"), f)
     n = F.col("_seen.n")
     values = {
-        "mean": F.when(n > 0, F.col("_seen.mean")),
+        "mean": F.when(n > 0, limbs.join([F.col(c) for c in sums]) / n) if limbs else None,
         "std": F.when(n > 1, F.sqrt(F.col("_seen.m2") / (n - 1))),
         "max": F.col("_top"),
     }
     for name, f in prior.items():
         if f.stat != "median":
             add[name] = F.coalesce(values[f.stat], F.lit(0.0))
-    return out.withColumns(add).drop("_prev_u", "_prev_m", "_prev_t", "_timeless", "_seen", "_top")
+    return out.withColumns(add).drop("_prev_u", "_prev_m", "_prev_t", "_timeless", "_seen", "_top", *sums)
 
 
 def _spread_rolling(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnspark.operators import ordered
@@ -31,6 +31,36 @@ def join_predictions(
     return joined.unionByName(raw.where(~known).withColumns(none))
 
 
+#: A row's place in the order of its files.
+POSITION = "_position"
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """``df``, straight from a reader, with every row's place in file order as ``_position``.
+
+    Files follow each other by path, and rows as they stand in them. Nothing is sorted
+    or exchanged: a scan without columns counts the rows of every piece of a file that a
+    task reads, a running total over these counts gives each piece its start, and a row
+    adds its place in the piece. There is one row per piece, as the driver lists them.
+    """
+    piece = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at")]
+    marked = df.select("*", *piece, F.monotonically_increasing_id().alias("_mark"))
+    counts = marked.groupBy("_path", "_at").agg(F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_path", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("_path").alias("_p"), F.col("_at").alias("_a"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    same = (F.col("_path") == F.col("_p")) & (F.col("_at") == F.col("_a"))
+    placed = marked.join(ordered.broadcast_small(starts), same)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_mark") - F.col("_first") + 1).alias(POSITION))
+
+
+def _positioned(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    if POSITION in df.columns:
+        return df
+    return ordered.numbered(df, [F.col(c) for c in order], POSITION, limit=limit)
+
+
 def scored_rows(
     raw: DataFrame,
     predictions: DataFrame,
@@ -38,11 +68,15 @@ def scored_rows(
     raw_order: Sequence[str] = (),
     prediction_order: Sequence[str] = (),
 ) -> DataFrame:
-    """By id where the predictions carry one, else by position along declared orders."""
+    """By id where the predictions carry one, else by position.
+
+    Positions follow declared orders, or the files of tables that went through
+    ``with_file_position``.
+    """
     if id_column in predictions.columns:
         return join_predictions(raw, predictions, id_column)
-    if not (raw_order and prediction_order):
-        raise ValueError(f"predictions without {id_column} need raw_order and prediction_order")
+    if not all(order or POSITION in df.columns for df, order in ((raw, raw_order), (predictions, prediction_order))):
+        raise ValueError(f"predictions without {id_column} need raw_order and prediction_order, or file positions")
     return attach_by_position(raw, predictions, raw_order, prediction_order)
 
 
@@ -66,7 +100,7 @@ def attach_by_position(
     strict: bool = True,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Pair the n-th transaction with the n-th prediction along declared orders.
+    """Pair the n-th transaction with the n-th prediction along declared orders or file positions.
 
     ``strict`` demands equal lengths; otherwise the longer side is cut.
     """
@@ -76,15 +110,11 @@ def attach_by_position(
             raise ValueError(f"{left} transactions but {right} predictions")
     scores = predictions.select(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(prediction_order)],
-        "fraud_probability",
-        "decision",
-    )
-    order = [F.col(f"_o{i}") for i in range(len(prediction_order))]
-    a = ordered.numbered(raw, [F.col(c) for c in raw_order], "_position", limit=limit)
-    b = ordered.numbered(scores, order, "_position", limit=limit).select(
-        "_position", "fraud_probability", "decision"
+        *[c for c in ("fraud_probability", "decision", POSITION) if c in predictions.columns],
     )
-    return a.join(b, "_position").drop("_position")
+    a = _positioned(raw, raw_order, limit)
+    b = _positioned(scores, [f"_o{i}" for i in range(len(prediction_order))], limit)
+    return a.join(b.select(POSITION, "fraud_probability", "decision"), POSITION).drop(POSITION)
 
 
 def lookup(

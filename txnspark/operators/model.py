@@ -10,12 +10,13 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnspark.operators import ordered
 from txnspark.operators.columns import numeric_or_zero
 from txnspark.operators.sampling import SEED, id_hash
+from txnspark.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -156,46 +157,87 @@ class CalibratedModel:
         )
 
 
-def isotonic_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Few weighted points (_p, _y, _w) with the same isotonic fit as the rows.
+#: Blocks whose hulls one task merges.
+MERGED_BLOCKS = 64
+_HULL = "_block long, _low double, _p double, _w double, _s double"
 
-    Rows with one score act as one point. Neighbouring points with the same label
-    share their fitted value, so a run of them is replaced by its two ends. The fit
-    ends on the driver; what reaches it then follows the rarer class.
-    """
-    rows = df.select(F.col(score).alias("_p"), F.col(label).cast("double").alias("_y"))
-    points = rows.groupBy("_p").agg(
-        F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    y = F.col("_y")
-    counted = ordered.running_by_value(
-        points,
-        "_p",
-        ordered.value_bounds(rows, "_p"),
-        {
-            "_not_0": ((y != 0).cast("long"), "sum", True),
-            "_not_1": ((y != 1).cast("long"), "sum", True),
-        },
-    )
-    # Inside a run of one label the count of other points stands still.
-    run = F.when(y == 0, F.col("_not_0")).when(y == 1, F.col("_not_1"))
-    mixed = F.when((y > 0) & (y < 1), F.col("_p"))
-    runs = counted.groupBy("_y", run.alias("_run"), mixed.alias("_mixed")).agg(
-        F.min("_p").alias("_low"), F.max("_p").alias("_high"), F.sum("_w").alias("_w")
-    )
-    whole = F.array(F.struct(F.col("_low").alias("_p"), F.col("_w")))
-    ends = F.array(
-        F.struct(F.col("_low").alias("_p"), (F.col("_w") / 2).alias("_w")),
-        F.struct(F.col("_high").alias("_p"), (F.col("_w") / 2).alias("_w")),
-    )
-    places = F.when(F.col("_low") == F.col("_high"), whole).otherwise(ends)
-    return runs.select("_y", F.inline(places))
 
+def _lower_hull():
+    """A function of a block's points; a closure, so that executors need no copy of this package.
 
-def fit_isotonic(df: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
-    """Isotonic map from ``score`` (as column ``_p``) to the label's mean."""
+    Points stay if they are on the lower convex hull of (weight so far, label sum so far).
+    ``_low`` is the least score since the point before; a point that stays takes over that
+    of the points left out before it.
+    """
+
+    def hull(points):
+        points = points.sort_values("_w", kind="stable")
+        w, s, low = (points[c].to_numpy() for c in ("_w", "_s", "_low"))
+        kept: list[int] = []
+        for i in range(len(points)):
+            while len(kept) > 1:
+                a, b = kept[-2], kept[-1]
+                # Leave out b unless the mean label rises behind it.
+                if (s[b] - s[a]) * (w[i] - w[b]) < (s[i] - s[b]) * (w[b] - w[a]):
+                    break
+                kept.pop()
+            kept.append(i)
+        out = points.iloc[kept].copy()
+        out["_low"] = low[[0, *(i + 1 for i in kept[:-1])]]
+        return out[["_block", "_low", "_p", "_w", "_s"]]
+
+    return hull
+
+
+def isotonic_segments(df: DataFrame, score: str, label: str, limit: int = ordered.HOT_ROWS) -> DataFrame:
+    """The isotonic fit: scores from ``_low`` to ``_high`` have the value ``_fit``, of weight ``_w``.
+
+    The fit is the slope of the lower convex hull of the running label sum over the
+    running weight. Every block of scores keeps the hull of its own points, and hulls of
+    neighbouring blocks merge in a tree; what is left is the fit's own size. The first
+    segment starts at the origin, which every block's hull may need to be seen from.
+    """
+    rows = df.select(F.col(score).cast("double").alias("_p"), F.col(label).cast("double").alias("_y"))
+    rows = rows.where(ordered.is_number(F.col("_p")) & ordered.is_number(F.col("_y")))
+    points = rows.groupBy("_p").agg(F.sum("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_n"))
+    bounds = ordered.value_bounds(rows, "_p", limit)
+    totals = {"_w": (F.col("_n"), "sum", True), "_s": (F.col("_y"), "sum", True)}
+    placed = ordered.value_blocks(ordered.running_by_value(points, "_p", bounds, totals), "_p", bounds)
+    block = placed.select(F.col(ordered.BLOCK).cast("long").alias("_block"), F.col("_p").alias("_low"), "_p", "_w", "_s")
+    # The origin comes before all points, in the first block.
+    origin = df.sparkSession.createDataFrame([(0, float("-inf"), float("-inf"), 0.0, 0.0)], _HULL)
+    block, blocks = block.unionByName(origin), len(bounds) + 1
+    while True:
+        hull = block.groupBy("_block").applyInPandas(_lower_hull(), _HULL)
+        hull = written(hull, "hulls")
+        if blocks == 1:
+            break
+        blocks = -(-blocks // MERGED_BLOCKS)
+        block = hull.withColumn("_block", F.expr(f"_block div {MERGED_BLOCKS}"))
+    before = Window.partitionBy("_block").orderBy("_w")
+    w, s = F.col("_w") - F.lag("_w").over(before), F.col("_s") - F.lag("_s").over(before)
+    out = hull.select("_low", F.col("_p").alias("_high"), (s / w).alias("_fit"), w.alias("_w"))
+    return out.where("_w is not null")
+
+
+def isotonic_points(df: DataFrame, score: str, label: str, limit: int = ordered.HOT_ROWS) -> DataFrame:
+    """The fit as few weighted points (_p, _y, _w): the ends of its segments."""
+    segments = isotonic_segments(df, score, label, limit)
+    one = F.array(F.struct(F.col("_low").alias("_p"), "_w"))
+    two = F.array(*[F.struct(F.col(c).alias("_p"), (F.col("_w") / 2).alias("_w")) for c in ("_low", "_high")])
+    ends = F.when(F.col("_low") == F.col("_high"), one).otherwise(two)
+    return segments.select(F.col("_fit").alias("_y"), F.inline(ends))
+
+
+def fit_isotonic(
+    df: DataFrame, score: str, label: str, limit: int = ordered.HOT_ROWS
+) -> IsotonicRegressionModel:
+    """Isotonic map from ``score`` (as column ``_p``) to the label's mean.
+
+    Spark's estimator sees the fit's own points, which it keeps as they are.
+    """
     fit = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_fit")
-    return fit.fit(isotonic_points(df, score, label))
+    return fit.fit(isotonic_points(df, score, label, limit))
 
 
 def calibrate_isotonic(

@@ -17,6 +17,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from txnspark.operators.columns import numeric_or_zero
 from txnspark.operators.model import TreeSettings
@@ -42,6 +43,11 @@ class FeatureBuilder(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         self._set(**{k: list(v) if k == "features" else v for k, v in self._input_kwargs.items()})
         self._setDefault(profile="transformer", features=list(FITTED_FEATURES))
 
+    def transform_schema(self, schema: StructType) -> StructType:
+        """Raw rows of any columns are accepted; what they lack is 0."""
+        made = [StructField(f"_f_{n}", DoubleType()) for n in self.getOrDefault(self.features)]
+        return StructType([*schema.fields, *made])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         built = build(df, None, self.getOrDefault(self.profile))
         wanted = self.getOrDefault(self.features)

@@ -120,12 +120,12 @@ def review_queues(
 
     Only flagged rows are written; the summary by hour, which counts all scored rows,
     reads id (or order), time and score. Predictions without an id are paired by
-    position along the declared orders.
+    position, along the declared orders or in file order (``joins.with_file_position``).
     """
     orders = (raw_order, prediction_order)
     if held is None:
         held = flagged_rows(raw, predictions, id_column, *orders)
-    narrow = [c for c in dict.fromkeys([id_column, time, *raw_order]) if c in raw.columns]
+    narrow = [c for c in dict.fromkeys([id_column, time, joins.POSITION, *raw_order]) if c in raw.columns]
     by_time = joins.scored_rows(raw.select(*narrow), predictions, id_column, *orders)
     return {
         "block": reports.queue(held, "block", id_column),
@@ -213,7 +213,7 @@ def monthly_eval(
     if id_column in predictions.columns:
         joined = joins.join_for_evaluation(df, predictions, id_column, label, time)
     else:
-        names = [c for c in dict.fromkeys([id_column, label, time, *raw_order]) if c in df.columns]
+        names = [c for c in dict.fromkeys([id_column, label, time, joins.POSITION, *raw_order]) if c in df.columns]
         joined = joins.scored_rows(df.select(*names), predictions, id_column, raw_order, prediction_order)
     table = written(joined, "evaluation")
     header = reports.monthly_header(table, policy, time)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DateType,
@@ -75,18 +78,39 @@ def read_table(
     """Read CSV (with header), JSON, Parquet or ORC.
 
     CSV columns are matched by header name, so a schema may name them in any
-    order and name only some of them. Latin-1 files need
-    ``encoding="ISO-8859-1"``: Spark replaces bad bytes instead of failing, so
-    there is nothing to retry on.
+    order and name only some of them. Spark replaces bytes that are no UTF-8 instead
+    of failing; with ``encoding="auto"`` files that hold such bytes are found first and
+    read as Latin-1, file by file.
     """
+    if fmt == "csv" and encoding == "auto":
+        return _read_mixed(spark, path, schema)
     if fmt == "csv":
         return _read_csv(spark, path, schema, encoding)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.format(fmt).load(path)
 
 
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, utf8): whether all lines of a file are UTF-8. One pass over the bytes, one row per file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy("file").agg(F.every("valid").alias("utf8"))
+
+
+def _read_mixed(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
+    """Every file by the encoding it is in. The driver holds the names of files, which it lists anyway."""
+    found = [(unquote(r["file"]), r["utf8"]) for r in encodings(spark, path).collect()]
+    latin = sorted(f for f, utf8 in found if not utf8)
+    if not latin:
+        return _read_csv(spark, path, schema, "UTF-8")
+    out = _read_csv(spark, latin, schema, "ISO-8859-1")
+    plain = sorted(f for f, utf8 in found if utf8)
+    if not plain:
+        return out
+    return _read_csv(spark, plain, schema, "UTF-8").unionByName(out, allowMissingColumns=True)
+
+
 def _read_csv(
-    spark: SparkSession, path: str, schema: StructType | None, encoding: str
+    spark: SparkSession, path: str | list[str], schema: StructType | None, encoding: str
 ) -> DataFrame:
     reader = spark.read.option("header", True).option("encoding", encoding)
     if schema is None:
