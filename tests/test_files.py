@@ -85,3 +85,25 @@ def test_hulls_merge_to_the_whole_fit(spark, kind):
         got = {r["_p"]: r["prediction"] for r in part.transform(points).collect()}
         assert all(close(got[p], want[p]) for p in want), kind
         assert model.isotonic_segments(df, "p", "y", limit).count() <= len(want)
+
+
+def test_corners_keep_the_area_and_its_ends(spark):
+    from txnspark.operators import curves
+
+    rng = random.Random(4)
+    rows = [(round(rng.random(), 2), int(rng.random() < 0.3)) for _ in range(260)]
+    df = spark.createDataFrame(rows, "fraud_probability double, is_fraud int")
+
+    def area(points):
+        at = sorted((r["fpr"], r["tpr"]) for r in curves.roc_curve(points).collect())
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(at[:-1], at[1:]))
+
+    for limit in (1_000_000, 10):
+        points = curves.curve_points(df, limit=limit)
+        few = curves.roc_corners(points, limit)
+        assert few.count() < points.count()
+        assert close(area(few), area(points)) and close(area(few), points.agg(curves.roc_auc()).first()[0])
+        per = {r["threshold"]: (r["pos"], r["neg"]) for r in points.collect()}
+        order = sorted(per, reverse=True)
+        kept = [t for i, t in enumerate(order) if i in (0, len(order) - 1) or per[order[i + 1]] != per[t]]
+        assert sorted((r["threshold"] for r in few.collect()), reverse=True) == kept

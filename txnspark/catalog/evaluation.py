@@ -9,6 +9,7 @@ from txnspark.catalog.registry import B, R, predictions, put, query, tidy
 from txnspark.catalog.scalars import DECILE_SQL, EDGES_SQL
 from txnspark.catalog.summaries import BLOCK_LIMIT, HEADER_SQL, KEY_SQL, RUN_SQL, sample_key
 from txnspark.operators import curves, metrics, model, reports, sampling, thresholds, trees
+from txnspark.operators.ordered import HOT_ROWS
 from txnspark.plans import features, fitted, jobs, resolve
 from txnspark.sources import sinks
 from txnspark.sources.scratch import scratch_path, written
@@ -85,6 +86,27 @@ def ev_roc_curve(spark, sf):
     return tidy(out.withColumn("threshold", F.least("threshold", F.lit(2.0))), threshold=9)
 
 
+# Points stay where the counts at the next threshold differ, and at both ends.
+_CORNERS_SQL = f"""WITH g AS (SELECT fraud_probability AS t, sum(is_fraud) AS pos, count(*) - sum(is_fraud) AS neg FROM txn GROUP BY 1),
+    w AS (SELECT *, lag(pos) OVER (ORDER BY t) AS pos_below, lag(neg) OVER (ORDER BY t) AS neg_below,
+      sum(pos) OVER (ORDER BY t DESC) AS tp, sum(neg) OVER (ORDER BY t DESC) AS fp, lead(t) OVER (ORDER BY t) AS above FROM g)
+    SELECT {R('t', 9)} AS threshold, {R('fp / (SELECT CAST(sum(neg) AS DOUBLE) FROM g)')} AS fpr,
+      {R('tp / (SELECT CAST(sum(pos) AS DOUBLE) FROM g)')} AS tpr FROM w
+    WHERE above IS NULL OR pos_below IS NULL OR pos_below <> pos OR neg_below <> neg UNION ALL SELECT 2e0, 0e0, 0e0"""
+
+
+def _corners(limit):
+    def run(spark, sf):
+        points = curves.curve_points(txn(spark, sf), limit=limit)
+        out = curves.roc_curve(curves.roc_corners(points, limit))
+        return tidy(out.withColumn("threshold", F.least("threshold", F.lit(2.0))), threshold=9)
+
+    return run
+
+
+put("ev_roc_corners", _corners(HOT_ROWS), _CORNERS_SQL)
+put("ev_roc_corners_blocks", _corners(BLOCK_LIMIT), _CORNERS_SQL)
+
 _LABELLED = "j AS (SELECT t.*, p.decision FROM txn t JOIN pred p USING (trans_num))"
 
 

@@ -89,6 +89,22 @@ def roc_curve(points: DataFrame) -> DataFrame:
     return curve.unionByName(start)
 
 
+def roc_corners(points: DataFrame, limit: int = ordered.HOT_ROWS) -> DataFrame:
+    """The curve's points without those that its neighbours make needless.
+
+    A point goes if the threshold below it adds the same positives and negatives as it
+    does itself: the curve runs straight on there. The first and the last point stay. Each
+    point meets the one below it as a running maximum in blocks of the score range.
+    """
+    own = F.struct("threshold", "pos", "neg")
+    below = ordered.running_by_value(
+        points, "threshold", ordered.value_bounds(points, "threshold", limit), {"_below": (own, "max", False)}
+    )
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    turns = (F.col("_below.pos") != F.col("pos")) | (F.col("_below.neg") != F.col("neg"))
+    return below.where(first | F.col("_below").isNull() | turns).drop("_below")
+
+
 def roc_auc() -> Column:
     """Aggregate over points: area under ROC, ties worth half. NaN for one class."""
     pairs = F.max("positives").cast("double") * F.max("negatives")
