@@ -17,7 +17,8 @@ write; a lost task leaves nothing behind. The index is a Parquet table of
 
 Defined results: a null text is an empty one; a null document number sorts first
 and is read back as null; equal numbers keep one record per row; an empty table
-gives no records; other columns are not read.
+gives no records; other columns are not read. A file holds about ``FILE_BYTES`` of text
+and must stay below 2 GB; a single longer text makes reading fail.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from txnspark.llm.common import Batches, column, filled, map_batches, record
 from txnspark.llm.tokens import encoder
 
 #: Files whose starts are broadcast; with more, records are joined by a shuffle.
 BROADCAST_FILES = 100_000
+#: Bytes of text in one file, about; Spark reads a file back as one row of at most 2 GB.
+FILE_BYTES = 256 << 20
 MASK_DELTA = 0xA282EAD8
 END = b"\n"
 _HEAD = struct.Struct("<QI")
@@ -90,11 +94,16 @@ def write_records(
     """Encode whole texts, append ``end_id``, write frames in ascending doc_id order.
 
     One range exchange of the texts orders the documents; each task then encodes and
-    frames its own range. Equal numbers are told apart by their text's hash.
+    frames its own range. Equal numbers are told apart by their text's hash. Unless it
+    is given, the number of files follows the bytes of text, so that files do not grow
+    with the table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    rows = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    if files is None:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
+    rows = rows.repartitionByRange(files, *order)
     schema = pa.schema([("frame", pa.binary())])
     end = struct.pack("<I", end_id)
 
@@ -136,10 +145,15 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
     return map_batches(found.select(name, "content"), parse, READ)
 
 
+def file_number() -> F.Column:
+    """The number in a file's name. Names have five digits and more beyond, so they do not sort as text."""
+    return F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+
+
 def file_starts(records: DataFrame) -> DataFrame:
     """Ids before each file. One row per file: that number bounds the window's only task."""
     sums = records.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(), "file").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("base"))
 
 
@@ -149,6 +163,31 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     places.write.parquet(index_path)
 
 
+def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """The records at ``places`` (file, offset, bytes, any others), read at their offsets alone.
+
+    Places of a file meet its bytes once; records that are not asked for are not parsed.
+    Returns the columns of ``places`` with the record's ids.
+    """
+    kept = [c for c in places.columns if c not in ("file", "ids")]
+    asked = places.groupBy("file").agg(F.collect_list(F.struct(*kept)).alias("_asked"))  # bounded by the file
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    fields = ", ".join(f"{places.schema[c].name} {places.schema[c].dataType.simpleString()}" for c in kept)
+    schema = pa.schema([("file", pa.string()), *((c, to_arrow_type(places.schema[c].dataType)) for c in kept), ("ids", pa.binary())])
+
+    def cut(batches: Batches) -> Batches:
+        for batch in batches:
+            for name, data, wanted in zip(column(batch, "file").to_pylist(), column(batch, "content"), column(batch, "_asked"), strict=True):
+                view, wanted = memoryview(data.as_buffer()), wanted.as_py()
+                for at in range(0, len(wanted), 512):
+                    part = wanted[at : at + 512]
+                    ids = [frames_of(view[p["offset"] : p["offset"] + p["bytes"]])[0][4] for p in part]
+                    yield record(schema, [name] * len(part), *[[p[c] for p in part] for c in kept], ids)
+
+    return map_batches(found.join(asked, "file"), cut, f"file string, {fields}, ids binary")
+
+
 def read_in_order(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): records joined to the global start of their file."""
     base = file_starts(spark.read.parquet(index_path))
@@ -163,4 +202,14 @@ def read_in_order(spark: SparkSession, path: str, index_path: str) -> DataFrame:
 def shuffled(spark: SparkSession, path: str, index_path: str, seed: int) -> DataFrame:
     """Index entries in a random order that a seed fixes: a reading plan for training."""
     places = spark.read.parquet(index_path).select("file", "offset", "bytes", "doc_id", "n_tokens")
-    return places.orderBy(F.xxhash64(F.lit(seed), "file", "offset"), "file", "offset")
+    return places.orderBy(*_shuffle(seed))
+
+
+def _shuffle(seed: int) -> list:
+    return [F.xxhash64(F.lit(seed), "file", "offset"), F.col("file"), F.col("offset")]
+
+
+def read_shuffled(spark: SparkSession, path: str, index_path: str, seed: int) -> DataFrame:
+    """Records (doc_id, n_tokens, ids) in the order of ``shuffled``, fetched through the index."""
+    places = spark.read.parquet(index_path).select("file", "offset", "bytes", "doc_id", "n_tokens")
+    return fetch(spark, path, places).orderBy(*_shuffle(seed)).select("doc_id", "n_tokens", "ids")
