@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -682,3 +683,26 @@ def pipe_fitted_score(spark, sf):
         F.every(p.between(0, 1)).alias("in_range"),
         F.every(p == F.col("again")).alias("same_after_loading"),
     )
+
+
+@query(
+    "enc_fitted_target",
+    f"""WITH {_SPLIT_SQL}, t AS (SELECT txn.*, is_test FROM txn JOIN split USING (trans_num)),
+    p AS (SELECT avg(is_fraud) AS prior FROM t WHERE NOT is_test),
+    m AS (SELECT merchant, avg(is_fraud) AS mean, count(*) AS n FROM t WHERE NOT is_test GROUP BY 1)
+    SELECT trans_num, {R('coalesce((mean * n + prior * 200) / (n + 200e0), prior)')} AS merchant_mean,
+      {B("CASE category WHEN '' THEN 0 ELSE 1 END")} AS category_hot
+    FROM t LEFT JOIN m USING (merchant), p WHERE is_test""",
+)
+def enc_fitted_target(spark, sf):
+    """Categories of the held-out rows as the fitted pipeline encodes them."""
+    raw = written(sampling.stratified_split(txn(spark, sf), key=sample_key()), "raw")
+    trained = fitted.fit(
+        raw.where(~F.col("is_test")).drop("is_test"), features=["amt", "hour"], settings=_ONE_TREE,
+        one_hot=["category"], target_mean=["merchant"],
+    )
+    path = scratch_path(spark, "fitted")
+    fitted.save(trained, path)
+    out = fitted.load(path).transform(raw.where("is_test").drop("is_test", "fraud_probability"))
+    hot = F.aggregate(vector_to_array("_h_category"), F.lit(0.0), lambda a, x: a + x)
+    return tidy(out.select("trans_num", F.col("_t_merchant").alias("merchant_mean"), hot.cast("long").alias("category_hot")))

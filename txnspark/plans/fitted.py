@@ -1,7 +1,9 @@
 """One fitted object from raw transactions to a score, with save and load.
 
 Stages: history features of the ``transformer`` profile, aligned to a fixed list of
-columns; scaling by the deviation; boosted trees.
+columns; categories as sparse indicator vectors or as smoothed means of the label, both
+learnt from the training rows; scaling by the deviation; boosted trees. A category of any
+number of levels stays one column.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -62,10 +64,15 @@ def fit(
     features: Sequence[str] = tuple(FITTED_FEATURES),
     profile: str = "transformer",
     settings: TreeSettings = TreeSettings(),
+    one_hot: Sequence[str] = (),
+    target_mean: Sequence[str] = (),
+    smoothing: float = 200.0,
 ) -> PipelineModel:
     """Fit all stages on raw transactions with a 0/1 label.
 
-    Features are written once, since the trees read their input every round.
+    ``one_hot`` and ``target_mean`` name categories. A level that training did not see,
+    and a missing one, has an indicator of its own, or the mean of all rows. Features are
+    written once, since the trees read their input every round.
     """
     trees = GBTClassifier(
         featuresCol="_scaled", labelCol="_label", predictionCol="_prediction",
@@ -75,14 +82,43 @@ def fit(
     )
     trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
     builder = FeatureBuilder(profile=profile, features=list(features))
+    categories = list(dict.fromkeys([*one_hot, *target_mean]))
+    names = _names_of(categories)
     labelled = builder.transform(train.withColumn("_label", F.col(label).cast("double")))
-    ready = written(labelled.select("_label", *[f"_f_{n}" for n in features]), "fitted-features")
-    stages = [
-        VectorAssembler(inputCols=[f"_f_{n}" for n in features], outputCol="_vector"),
+    labelled = names.transform(labelled) if names else labelled
+    columns = [f"_f_{n}" for n in features]
+    ready = written(labelled.select("_label", *columns, *[f"_c_{c}" for c in categories]), "fitted-features")
+    stages: list = []
+    if categories:
+        index = [f"_i_{c}" for c in categories]
+        stages.append(StringIndexer(inputCols=[f"_c_{c}" for c in categories], outputCols=index, handleInvalid="keep"))
+    if one_hot:
+        made = [f"_h_{c}" for c in one_hot]
+        # Unseen levels are the indexer's last index already.
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in one_hot], outputCols=made, dropLast=False))
+        columns += made
+    if target_mean:
+        made = [f"_t_{c}" for c in target_mean]
+        stages.append(TargetEncoder(
+            inputCols=[f"_i_{c}" for c in target_mean], outputCols=made, labelCol="_label",
+            handleInvalid="keep", targetType="binary", smoothing=smoothing,
+        ))
+        columns += made
+    stages += [
+        VectorAssembler(inputCols=columns, outputCol="_vector"),
         StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=False, withStd=True),
         trees,
     ]
-    return PipelineModel([builder, *Pipeline(stages=stages).fit(ready).stages])
+    before = [builder, names] if names else [builder]
+    return PipelineModel([*before, *Pipeline(stages=stages).fit(ready).stages])
+
+
+def _names_of(categories: Sequence[str]) -> SQLTransformer | None:
+    """A stage that adds every category as a text that is never missing."""
+    if not categories:
+        return None
+    texts = ", ".join(f"coalesce(CAST(`{c}` AS STRING), '(missing)') AS `_c_{c}`" for c in categories)
+    return SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__")
 
 
 def score(raw: DataFrame, fitted: PipelineModel, name: str = "fraud_probability") -> DataFrame:
