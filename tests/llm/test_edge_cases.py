@@ -124,6 +124,10 @@ def test_shards(docs, none):
         slots = sorted(r["slot"] for r in out if r["shard"] == s)
         assert slots == list(range(len(slots))) and len(slots) in (2, 3)
     assert hilbert_shards.shards(none, ["lang"], ["doc_id"]).count() == 0
+    named = docs.select("doc_id", "lang", *[F.lit(n).alias(n) for n in ("_b0", "_place", "_shard", "_row", "_d0", "hilbert")])
+    kept = hilbert_shards.shards(named, ["lang"], ["doc_id"], 5)
+    assert kept.columns == ["doc_id", "lang", "_b0", "_place", "_shard", "_row", "_d0", "hilbert", "shard", "slot"]
+    assert all(r["_b0"] == "_b0" and r["_shard"] == "_shard" and r["_place"] == "_place" for r in kept.collect())
 
 
 def test_classifier(docs, none, spark):

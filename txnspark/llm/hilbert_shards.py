@@ -94,7 +94,9 @@ def bin_of(value: Column, opens: Sequence) -> Column:
 
 def curve_index(df: DataFrame, dims: Sequence[str], bits: int = 6, name: str = "hilbert") -> DataFrame:
     """``df`` with the curve index of its bins; the bins alone go through Arrow."""
-    points = df.withColumns({f"_b{i}": bin_of(F.col(d), edges(df, d, bits)) for i, d in enumerate(dims)})
+    # The input's columns travel as one, so that none can clash with those made here.
+    bins = [bin_of(F.col(d), edges(df, d, bits)).alias(f"_b{i}") for i, d in enumerate(dims)]
+    points = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("_row"), *bins)
     at = [f"_b{i}" for i in range(len(dims))]
     grid = points.select(*at).distinct()  # at most 2**(bits * dimensions) points, usually far fewer
     schema = pa.schema([*((a, pa.int32()) for a in at), (name, pa.int64())])
@@ -105,7 +107,7 @@ def curve_index(df: DataFrame, dims: Sequence[str], bits: int = 6, name: str = "
             yield record(schema, *cells, hilbert_index(np.stack([c.to_numpy() for c in cells], 1), bits))
 
     indexed = map_batches(grid, index, ", ".join([*(f"{a} int" for a in at), f"{name} long"]))
-    return points.join(indexed, at).drop(*at)
+    return points.join(indexed, at).select("_row.*", name)
 
 
 def shards(
@@ -113,14 +115,18 @@ def shards(
 ) -> DataFrame:
     """``df`` with hilbert, shard (0 to count - 1) and slot (gapless from 0 in its shard)."""
     df = df.drop("hilbert", "shard", "slot")
-    rows = written(curve_index(df, dims, bits), "curve")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    keys = {f"_d{i}": d for i, d in enumerate(dims)} | {f"_t{i}": t for i, t in enumerate(ties)}
+    packed = df.select(row, *[F.col(c).alias(k) for k, c in keys.items()])
+    rows = written(curve_index(packed, list(keys)[: len(dims)], bits), "curve")
     total = rows.count()
-    numbered = ordered.numbered(rows, [F.col(c) for c in ("hilbert", *ties)], "_place", limit=BLOCK_ROWS)
+    order = [F.col(c) for c in ("hilbert", *list(keys)[len(dims) :])]
+    numbered = ordered.numbered(rows, order, "_place", limit=BLOCK_ROWS)
     place = F.col("_place") - 1
     shard = F.expr(f"((_place - 1) * {count}L) div {max(total, 1)}L")
     opens = F.expr(f"(_shard * {max(total, 1)}L + {count - 1}L) div {count}L")
     return numbered.withColumn("_shard", shard).select(
-        *[c for c in df.columns], "hilbert", F.col("_shard").cast("int").alias("shard"), (place - opens).alias("slot")
+        "_row.*", "hilbert", F.col("_shard").cast("int").alias("shard"), (place - opens).alias("slot")
     )
 
 

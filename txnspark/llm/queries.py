@@ -65,7 +65,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = doc_crc() % 5 == 0
     model = language_id.train(docs.select("doc_id", "text", "lang").where(~held_out))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 @query
@@ -97,7 +97,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = doc_crc() % 3 == 1
     scored = quality_classifier.classify(docs, labels.where(~held_out))
     predicted = (F.col("score") >= 0.5).cast("int")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 @query
