@@ -49,6 +49,8 @@ from txnspark.sources.scratch import written
 CELL_BITS, CELL_BLOCK = 22, 1 << 16
 MINHASHES = 4
 BLOCK = 64
+#: Meetings of a query and a block that one key of the join has, about.
+MEETINGS = 2048
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -193,9 +195,9 @@ def pivot_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     return written(found.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "pivot-links")
 
 
-def group_pairs(members: DataFrame, percent: int) -> DataFrame:
+def group_pairs(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (g, h) whose matrix entries leave room for a link, with their sizes."""
-    entries = members.select("g", "n", F.posexplode("tokens").alias("place", "token"))
+    entries = tokens.select("g", "n", F.posexplode("tokens").alias("place", "token"))
     spent = (100 + percent) * F.col("place") - 100 * F.col("n")
     matrix = entries.groupBy("token", "g").agg(F.min(spent).alias("spent"), F.min("n").alias("low"))
     theirs = matrix.select("token", *[F.col(c).alias(f"_{c}") for c in ("g", "spent", "low")])
@@ -213,19 +215,24 @@ def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
     asked = pairs.select(
         F.when(swap, F.col("h")).otherwise(F.col("g")).alias("small"),
         F.when(swap, F.col("g")).otherwise(F.col("h")).alias("large"),
-        F.greatest("g_size", "h_size").alias("size"),
+        F.greatest("g_size", "h_size").alias("size"), F.least("g_size", "h_size").alias("asking"),
     )
     asked = written(asked, "opened")
     of = members.select("g", "id")
     needed = of.join(asked.select(F.explode(F.array("small", "large")).alias("g")).distinct(), "g", "left_semi")
     sets = sets_of(docs, needed.select("id").distinct(), k)
     held = of.join(sets, "id")
-    wide = asked.groupBy("large").agg(F.max("size").alias("size"))
+    # A group that many others ask for is dealt out: each part of the queries meets all its blocks.
+    wide = asked.groupBy("large").agg(F.max("size").alias("size"), F.sum("asking").alias("asking"))
+    meetings = F.ceil(F.col("size") / BLOCK) * F.col("asking")
+    wide = wide.select("large", "size", F.least(F.col("asking"), F.ceil(meetings / MEETINGS)).cast("int").alias("parts"))
     number = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    blocks = held.join(wide, held["g"] == wide["large"]).select("large", number, F.struct("id", "tokens").alias("_m"))
-    blocks = blocks.groupBy("large", "block").agg(F.collect_list("_m").alias("block_members"))  # about BLOCK members
-    queries = asked.join(held, asked["small"] == held["g"]).select("large", F.col("id").alias("a"), F.col("tokens").alias("_q"))
-    met = queries.join(blocks, "large")
+    blocks = held.join(wide, held["g"] == wide["large"]).select("large", "parts", number, F.struct("id", "tokens").alias("_m"))
+    blocks = blocks.groupBy("large", "parts", "block").agg(F.collect_list("_m").alias("block_members"))  # about BLOCK members
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    queries = asked.select("small", "large").join(wide.select("large", "parts"), "large").join(held, F.col("small") == F.col("g"))
+    met = queries.select("large", part, F.col("id").alias("a"), F.col("tokens").alias("_q")).join(blocks, ["large", "part"])
     hit = F.filter("block_members", lambda m: similar_to(m["tokens"], F.col("_q"), percent))
     # One link of a query into a block's group is enough: its members are connected.
     return met.select("a", F.get(hit, F.lit(0))["id"].alias("b")).where("b IS NOT NULL")
@@ -247,7 +254,7 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     key = ["f1", "f2", "n"]
     classes = some.groupBy(*key).agg(
         F.min("doc_id").alias("id"), F.any_value("typical").alias("typical"),
-        F.any_value("minhashes").alias("minhashes"), F.any_value("tokens").alias("tokens"),
+        F.any_value("minhashes").alias("minhashes"),
     )
     classes = written(classes, "classes")
     known = rows.where("doc_id IS NOT NULL")
@@ -258,8 +265,10 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # Only linked classes have a label: few enough, they are looked up where the tokens lie.
     few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     members = classes.join(F.broadcast(first) if few else first, "id", "left")
-    members = members.select("id", F.coalesce("label", "id").alias("g"), "n", "tokens")
-    opened = open_groups(group_pairs(members, percent), members, known, k, percent)
+    members = written(members.select("id", *key, F.coalesce("label", "id").alias("g")), "members")
+    # Tokens move once, to the row that stands for their class; the matrix counts repeated rows once.
+    tokens = some.select(F.col("doc_id").alias("id"), *key, "tokens").join(members, ["id", *key])
+    opened = open_groups(group_pairs(tokens, members, percent), members, known, k, percent)
     links = written(opened, "opened-links")
     final = components(pivots.unionByName(links).unionByName(same))
     mine = final.select(F.col("id").alias("doc_id"), "label")
