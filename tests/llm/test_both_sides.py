@@ -28,7 +28,7 @@ def test_id_lists_of_the_ngram_join(docs, monkeypatch):
 
 def test_a_hot_group_is_dealt_out(docs, monkeypatch):
     results = []
-    for meetings, block in ((2048, 64), (1, 1)):
+    for meetings, block in ((1 << 16, 64), (1, 1)):
         monkeypatch.setattr(ngram_join, "MEETINGS", meetings)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         results.append(sorted(map(tuple, ngram_join.similarity_classes(docs, 2, 60).collect())))

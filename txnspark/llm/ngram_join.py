@@ -50,7 +50,7 @@ CELL_BITS, CELL_BLOCK = 22, 1 << 16
 MINHASHES = 4
 BLOCK = 64
 #: Meetings of a query and a block that one key of the join has, about.
-MEETINGS = 2048
+MEETINGS = 1 << 16
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
