@@ -6,8 +6,8 @@ e edits shares at least m + 1 - q * (e + 1) of the item's q-grams with it, all i
 e + 1 neighbouring diagonals (text position minus item position). So shared q-grams are
 counted in diagonal bands of width 2 * (e + 1) that overlap by half, which puts any
 e + 1 neighbouring diagonals whole into one band. Bands that reach the bound are
-regions; a banded alignment of the item against the region's bytes decides, with at
-most ``edit_rate`` edits per byte of the item. Every item has the largest q, up to 8,
+candidates, neighbouring ones as one strip; an alignment of the item on the strip's
+diagonals alone decides, with at most ``edit_rate`` edits per byte of the item. Every item has the largest q, up to 8,
 that leaves a bound of one gram at least, so no passage within its edits is lost; there is
 a gram table per q. Items of fewer than 16 bytes that allow no edit are found as whole words.
 
@@ -19,16 +19,20 @@ are read where they lie and never shuffled; only hits leave the tasks.
 Defined results: null and empty texts have no hits; null or empty items, and items
 that fold to nothing, match nothing; repeated documents are searched each for itself
 and repeated items each give a hit; a text that holds an item several times gives one
-row, with the best place (fewest edits, then the first).
+row, with the best place (fewest edits, then the earliest start, then the shortest).
+Texts of any length are read once, in chunks; one that repeats a phrase of an item over
+and over gives one long strip, aligned as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +42,14 @@ from txnspark.sources.scratch import written
 BROADCAST_BYTES = 8 << 20
 Q = 8
 EDIT_RATE = 0.1
-#: Bytes of a text looked at together, besides the overlap of one longest item.
-CHUNK = 1 << 14
+#: Bytes of a text looked at together, and hits held at a time.
+CHUNK = 1 << 16
+HITS = 1 << 21
 #: Bits of the filter that most grams of a text are checked against first.
 FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: One edit in a cell of the alignment, above the place where it began; a cell out of reach.
+_EDIT, _FAR = 1 << 32, 1 << 60
 
 _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _SPAN = "doc_id long, item_id long, start long, length long, edits long, item_length long"
@@ -117,89 +124,140 @@ def index_items(rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT
     return Items(np.array([i for i, _ in folded], np.int64), texts, tables, np.flatnonzero(whole).tolist(), size, budget, need, longest)
 
 
-def edits_in(item: bytes, region: bytes, most: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best place of ``item`` in ``region``; edits > most if none.
+def align(item: bytes, data: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best place of ``item`` on the diagonals low to high, if within ``most``.
 
-    Semi-global alignment, one numpy row per byte of the region. Bounds beyond the
-    band of ``most`` edits cannot win, so the region is at most len(item) + 2 * band.
+    One numpy row per byte of the item, one cell per diagonal that still holds at most so
+    many edits. No edit is tried first, then four times as many each round, so a close
+    passage keeps few cells alive. A cell is its edits and, below, where it began: the
+    least one has the fewest edits, then the earliest start. Bytes past the end of the
+    text differ from all others, which costs what leaving out the item's bytes costs.
     """
     pattern = np.frombuffer(item, np.uint8)
-    m = len(pattern)
-    steps = np.arange(m + 1)
-    row, begin = steps.copy(), np.zeros(m + 1, np.int64)
-    best = (m, 0, 0)
-    for j, byte in enumerate(region):
-        # Diagonal and horizontal moves first, then vertical ones as a running minimum.
-        diagonal = row[:-1] + (pattern != byte)
-        across = row[1:] + 1
-        low = np.empty(m + 1, np.int64)
-        low[0] = 0
-        low[1:] = np.minimum(diagonal, across)
-        origin = np.empty(m + 1, np.int64)
-        origin[0] = j + 1
-        origin[1:] = np.where(diagonal <= across, begin[:-1], begin[1:])
-        shifted = (low - steps) * (m + 1) + steps[::-1]
-        run = np.minimum.accumulate(shifted)
-        source = m - run % (m + 1)
-        row = low[source] + steps - source
-        begin = origin[source]
-        if row[m] < best[0]:
-            best = (int(row[m]), int(begin[m]), j + 1)
-    return best if best[0] <= most else (most + 1, 0, 0)
-
-
-def regions(data: bytes, items: Items) -> list[tuple[int, int, int]]:
-    """(item, first byte, last byte + 1) of bands with enough shared q-grams."""
-    return [found for table in items.tables for found in regions_of(data, items, table)]
-
-
-def regions_of(data: bytes, items: Items, table: Grams) -> list[tuple[int, int, int]]:
-    """``regions`` of the items in one gram table."""
-    grams = qgrams(data, table.q)
-    at = np.flatnonzero(table.filter[_slot(grams)])
-    low = np.searchsorted(table.grams, grams[at], "left")
-    many = np.searchsorted(table.grams, grams[at], "right") - low
-    if not many.any():
-        return []
-    position = np.repeat(at, many)
-    entry = np.arange(len(position)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-    item, place = table.item[entry], table.place[entry]
-    # One number per (item, band). A diagonal lies in the band that begins in its half
-    # and in the one that began a half before.
+    m, n = len(pattern), len(data)
+    low, high = max(low, -most), min(high, n - m + most)  # a passage begins and ends inside the text
+    if low > high:
+        return None
+    wide = np.full(m + high - low, -1, np.int16)
+    first, last = max(low, 0), min(m + high, n)
+    wide[first - low : last - low] = np.frombuffer(data, np.uint8, max(last - first, 0), first if last > first else 0)
+    start = np.arange(low, high + 1, dtype=np.int64)
+    start[start < 0] = _FAR
+    steps = np.arange(high - low + 1, dtype=np.int64) * _EDIT
+    allowed = 0
+    while True:
+        found = _within(pattern, wide, start, steps, min(allowed, most))
+        if found:
+            edits, begin, diagonal = found
+            return edits, begin, min(m + low + diagonal, n)
+        if allowed >= most:
+            return None
+        allowed = max(4, 4 * allowed)
+
+
+def _within(
+    pattern: np.ndarray, wide: np.ndarray, start: np.ndarray, steps: np.ndarray, most: int
+) -> tuple[int, int, int] | None:
+    """(edits, start, diagonal counted from the band's first) of ``align`` with at most ``most`` edits."""
+    live, at, width = start, 0, len(start)
+    for i, byte in enumerate(pattern):
+        left = max(at - 1, 0)
+        right = min(at + len(live) + most, width)
+        row = np.full(right - left, _FAR, np.int64)
+        inside = slice(at - left, at - left + len(live))
+        row[inside] = live + (wide[i + at : i + at + len(live)] != byte) * _EDIT
+        # A byte of the item left out: from the next diagonal.
+        from_next = live[1 - (at - left) :] + _EDIT
+        row[: len(from_next)] = np.minimum(row[: len(from_next)], from_next)
+        # Bytes of the text put in: from any diagonal before.
+        own = steps[: len(row)]
+        row = np.minimum.accumulate(row - own) + own
+        alive = np.flatnonzero(row < (most + 1) * _EDIT)
+        if not len(alive):
+            return None
+        live, at = row[alive[0] : alive[-1] + 1], left + int(alive[0])
+    best = int(np.argmin(live))
+    return int(live[best] // _EDIT), int(live[best] % _EDIT), at + best
+
+
+def strips(data: bytes, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, first diagonal, last diagonal) of bands with enough shared q-grams, neighbours as one."""
+    for table in items.tables:
+        yield from strips_of(data, items, table)
+
+
+def strips_of(data: bytes, items: Items, table: Grams) -> Iterator[tuple[int, int, int]]:
+    """``strips`` of the items in one gram table.
+
+    The text is read once, a chunk at a time. What a chunk leaves behind are the hits of
+    bands that later bytes can still add to, so no chunk depends on the longest item.
+    """
     width = (len(data) + items.longest) * 2
-    band = (position - place + items.size[item]) // (items.budget[item] + 1) + 1
-    own = item * width + band
-    keys, counts = np.unique(np.concatenate([own, own - 1]), return_counts=True)
-    keys = keys[counts >= items.need[keys // width]]
-    out = []
-    for key in keys.tolist():
-        i = key // width
-        inside = (own == key) | (own == key + 1)
-        # Places of the item count once: a text may repeat a gram.
-        if len(np.unique(place[inside])) < items.need[i]:
+    pending = np.zeros(0, np.int64)
+    for at in range(0, len(data), CHUNK):
+        pending = np.union1d(pending, _hits(data, at, items, table, width))
+        if not len(pending):
             continue
-        start = position[inside] - place[inside]
-        first, last = int(start.min() - items.budget[i]), int(start.max() + items.size[i] + items.budget[i])
-        out.append((i, max(0, first), min(len(data), last)))
-    return out
+        item, half = table.item[pending // width], pending % width
+        done = min(at + CHUNK, len(data))
+        yield from _qualified(item * width + half, items, width, at, done if done < len(data) else width)
+        pending = pending[(half + 1) * (items.budget[item] + 1) > done]
+
+
+def _hits(data: bytes, at: int, items: Items, table: Grams, width: int) -> np.ndarray:
+    """One number per entry of the gram table and half band that a gram of the chunk hits.
+
+    A text may repeat a gram; in one half band it counts once for a place of the item.
+    """
+    grams = qgrams(data[at : at + CHUNK + table.q - 1], table.q)
+    some = np.flatnonzero(table.filter[_slot(grams)])
+    low = np.searchsorted(table.grams, grams[some], "left")
+    many = np.searchsorted(table.grams, grams[some], "right") - low
+    out = [np.zeros(0, np.int64)]
+    # So many hits at a time that a text of one repeated phrase needs little memory.
+    part = np.cumsum(many) // HITS
+    for number in np.unique(part[many > 0]).tolist():
+        own = part == number
+        count, begin, place = many[own], low[own], some[own] + at
+        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+        item = table.item[entry]
+        diagonal = np.repeat(place, count) - table.place[entry]
+        half = (diagonal + items.size[item]) // (items.budget[item] + 1) + 1
+        out.append(np.unique(entry * width + half))
+    return np.unique(np.concatenate(out)) if len(out) > 2 else out[-1]
+
+
+def _qualified(own: np.ndarray, items: Items, width: int, before: int, done: int) -> Iterator[tuple[int, int, int]]:
+    """Strips of the bands (a half and the next one) whose places reach the bound of their item.
+
+    Only bands that end with the bytes after ``before`` and up to ``done``.
+    """
+    halves, counts = np.unique(own, return_counts=True)
+    bands = np.union1d(halves, halves - 1)
+    end = (bands % width + 1) * (items.budget[bands // width] + 1)
+    bands = bands[(end > before) & (end <= done)]
+    total = np.zeros(len(bands), np.int64)
+    for step in (0, 1):
+        where = np.minimum(np.searchsorted(halves, bands + step), len(halves) - 1)
+        total += np.where(halves[where] == bands + step, counts[where], 0)
+    bands = bands[total >= items.need[bands // width]]
+    for run in np.split(bands, np.flatnonzero(np.diff(bands) > 1) + 1) if len(bands) else []:
+        item, first, last = int(run[0] // width), int(run[0] % width), int(run[-1] % width)
+        reach, size = int(items.budget[item]) + 1, int(items.size[item])
+        yield item, (first - 1) * reach - size, (last + 1) * reach - size - 1
 
 
 def search(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     """(item, start, length, edits) in the folded text, the best place of each item found."""
     data = fold(text)
     best: dict[int, tuple[int, int, int]] = {}
-    for at in range(0, len(data), CHUNK):
-        for item, low, high in regions(data[at : at + CHUNK + items.longest], items):
-            low, high, pattern = low + at, high + at, items.texts[item]
-            exact = data.find(pattern, low, high)
-            if exact >= 0:
-                place = (0, exact, exact + len(pattern))
-            else:
-                edits, start, end = edits_in(pattern, data[low:high], int(items.budget[item]))
-                if edits > items.budget[item]:
-                    continue
-                place = (edits, start + low, end + low)
-            best[item] = min(best.get(item, place), place)
+    for item, low, high in strips(data, items):
+        most, known = int(items.budget[item]), best.get(item)
+        if known:
+            most = known[0] - (max(low, 0) >= known[1])  # a later place must have fewer edits
+        found = align(items.texts[item], data, low, high, most) if most >= 0 else None
+        if found:
+            best[item] = min(best.get(item, found), found)
     for item in items.short:
         whole = re.search(rb"(?:^| )(" + re.escape(items.texts[item]) + rb")(?: |$)", data)
         if whole:
@@ -207,8 +265,7 @@ def search(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     return [(i, start, end - start, edits) for i, (edits, start, end) in sorted(best.items())]
 
 
-def _search_part(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BROADCAST_BYTES of item text
+def _search_part(docs: DataFrame, shared: Broadcast[Items]) -> DataFrame:
     names = [n for n in _SPAN.replace(",", "").split()[::2]]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
@@ -240,10 +297,16 @@ def contaminated(
     )
     size = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts = -(-size // part_bytes) or 1
+    spark = docs.sparkSession
     out = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text")
-        found = _search_part(rows, index_items([(r["item_id"], r["text"]) for r in own.collect()], q, edit_rate))
+        index = index_items([(r["item_id"], r["text"]) for r in own.collect()], q, edit_rate)
+        shared = spark.sparkContext.broadcast(index)  # at most ``part_bytes`` of item text
+        found = _search_part(rows, shared)
+        if parts > 1:
+            found = written(found, "hits-of-a-part")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
