@@ -161,6 +161,10 @@ def _within(
     """(edits, start, diagonal counted from the band's first) of ``align`` with at most ``most`` edits."""
     live, at, width = start, 0, len(start)
     for i, byte in enumerate(pattern):
+        if len(live) == 1 and live[0] // _EDIT == most:
+            # No edit is left, so only equal bytes of this diagonal can follow.
+            same = np.array_equal(wide[i + at : len(pattern) + at], pattern[i:])
+            return (most, int(live[0] % _EDIT), at) if same else None
         left = max(at - 1, 0)
         right = min(at + len(live) + most, width)
         row = np.full(right - left, _FAR, np.int64)
@@ -195,7 +199,10 @@ def strips_of(data: bytes, items: Items, table: Grams) -> Iterator[tuple[int, in
     width = (len(data) + items.longest) * 2
     pending = np.zeros(0, np.int64)
     for at in range(0, len(data), CHUNK):
-        pending = np.union1d(pending, _hits(data, at, items, table, width))
+        hits = _hits(data, at, items, table, width)
+        if len(data) <= CHUNK and not _reached(hits, items, table, width):
+            return
+        pending = _distinct(np.concatenate([pending, hits]))
         if not len(pending):
             continue
         item, half = table.item[pending // width], pending % width
@@ -204,43 +211,62 @@ def strips_of(data: bytes, items: Items, table: Grams) -> Iterator[tuple[int, in
         pending = pending[(half + 1) * (items.budget[item] + 1) > done]
 
 
-def _hits(data: bytes, at: int, items: Items, table: Grams, width: int) -> np.ndarray:
-    """One number per entry of the gram table and half band that a gram of the chunk hits.
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([numbers[:1] == numbers[:1], numbers[1:] != numbers[:-1]])]
 
-    A text may repeat a gram; in one half band it counts once for a place of the item.
-    """
+
+def _hits(data: bytes, at: int, items: Items, table: Grams, width: int) -> np.ndarray:
+    """One number per entry of the gram table and half band that a gram of the chunk hits, with repeats."""
     grams = qgrams(data[at : at + CHUNK + table.q - 1], table.q)
     some = np.flatnonzero(table.filter[_slot(grams)])
     low = np.searchsorted(table.grams, grams[some], "left")
     many = np.searchsorted(table.grams, grams[some], "right") - low
-    out = [np.zeros(0, np.int64)]
-    # So many hits at a time that a text of one repeated phrase needs little memory.
-    part = np.cumsum(many) // HITS
-    for number in np.unique(part[many > 0]).tolist():
-        own = part == number
-        count, begin, place = many[own], low[own], some[own] + at
-        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+    def numbered(count: np.ndarray, begin: np.ndarray, position: np.ndarray) -> np.ndarray:
+        entry = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
         item = table.item[entry]
-        diagonal = np.repeat(place, count) - table.place[entry]
-        half = (diagonal + items.size[item]) // (items.budget[item] + 1) + 1
-        out.append(np.unique(entry * width + half))
-    return np.unique(np.concatenate(out)) if len(out) > 2 else out[-1]
+        diagonal = np.repeat(position, count) - table.place[entry]
+        return entry * width + (diagonal + items.size[item]) // (items.budget[item] + 1) + 1
+
+    upto = np.cumsum(many)
+    if not len(many) or upto[-1] <= HITS:
+        return numbered(many, low, some + at)
+    # So many hits at a time that a text of one repeated phrase needs little memory.
+    cuts = np.flatnonzero(np.diff(upto // HITS)) + 1
+    parts = zip(np.split(many, cuts), np.split(low, cuts), np.split(some + at, cuts), strict=True)
+    return np.concatenate([_distinct(numbered(*part)) for part in parts])
+
+
+def _halves(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Half bands in order, their hits, those with the next half's, and whether the half before is empty."""
+    own = np.sort(own)
+    first = np.flatnonzero(np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]]))
+    half, count = own[first], np.diff(first, append=len(own))
+    follows = half[1:] == half[:-1] + 1
+    total = count.copy()
+    total[:-1] += np.where(follows, count[1:], 0)
+    return half, count, total, np.concatenate([half[:1] == half[:1], ~follows])
+
+
+def _reached(hits: np.ndarray, items: Items, table: Grams, width: int) -> bool:
+    """Whether a band may reach its item's bound: repeats of a gram count here, so none is missed."""
+    item = table.item[hits // width]
+    half, _, total, _ = _halves(item * width + hits % width)
+    return bool((total >= items.need[half // width]).any())
 
 
 def _qualified(own: np.ndarray, items: Items, width: int, before: int, done: int) -> Iterator[tuple[int, int, int]]:
     """Strips of the bands (a half and the next one) whose places reach the bound of their item.
 
+    A place of the item counts once in a half band, however often the text repeats its gram.
     Only bands that end with the bytes after ``before`` and up to ``done``.
     """
-    halves, counts = np.unique(own, return_counts=True)
-    bands = np.union1d(halves, halves - 1)
+    half, count, total, alone = _halves(own)
+    bands, total = np.concatenate([half, half[alone] - 1]), np.concatenate([total, count[alone]])
+    bands = np.sort(bands[total >= items.need[bands // width]])
     end = (bands % width + 1) * (items.budget[bands // width] + 1)
     bands = bands[(end > before) & (end <= done)]
-    total = np.zeros(len(bands), np.int64)
-    for step in (0, 1):
-        where = np.minimum(np.searchsorted(halves, bands + step), len(halves) - 1)
-        total += np.where(halves[where] == bands + step, counts[where], 0)
-    bands = bands[total >= items.need[bands // width]]
     for run in np.split(bands, np.flatnonzero(np.diff(bands) > 1) + 1) if len(bands) else []:
         item, first, last = int(run[0] // width), int(run[0] % width), int(run[-1] % width)
         reach, size = int(items.budget[item]) + 1, int(items.size[item])
