@@ -7,16 +7,18 @@ share enough signature tokens, which the matrix tells by counting; only pairs of
 that reach this bound are opened and their members compared by exact set overlap.
 
 * Signature: a total order on tokens, rare ones first by counts over all documents. Of
-  a set of n tokens the first n - ceil(t n) + 1 are kept. Sets of n and m tokens with
-  similarity t or more overlap in a = ceil(t (n + m) / (1 + t)) tokens at least, so they
-  share a token that is among the first n - a + 1 of the one and m - a + 1 of the other.
+  a set of n tokens the first n - ceil(t n) + s are kept, s being ``SHARED``. Sets of n and
+  m tokens with similarity t or more overlap in a = ceil(t (n + m) / (1 + t)) tokens at
+  least, so the first s tokens of the overlap (all, if a is less) are among the first
+  n - a + s of the one and m - a + s of the other.
 * Groups: classes that share two of four min-hashes with the most typical class of such a
   min-hash (the one with the most frequent tokens) are verified against it; connected
   components of these links are the groups. A cluster of thousands of near copies thus
   enters the matrix about once, and is never expanded into pairs.
 * Matrix: an entry (token, group) keeps the best place any member has the token at, as
-  (1 + t) place - n, and the least n. Entries of two groups meet only if both places are
-  early enough for the other's size, which bounds the overlap of every pair of members.
+  (1 + t) (place - s + 1) - n, and the least n. Entries of two groups meet only if both
+  places are early enough for the other's size, which bounds the overlap of every pair of
+  members, and only groups that meet at min(s, a) tokens are opened: a chance token does not.
 * Opening: of a pair of groups the smaller one's members are the queries, and the larger
   one's are compared in blocks of ``BLOCK`` members. Pairs inside a group are already
   connected and need no comparison.
@@ -48,6 +50,8 @@ from txnspark.sources.scratch import written
 
 CELL_BITS, CELL_BLOCK = 22, 1 << 16
 MINHASHES = 4
+#: Tokens of their signatures that two linked sets share at least, if they overlap in as many.
+SHARED = 3
 BLOCK = 64
 #: Meetings of a query and a block that one key of the join has, about.
 MEETINGS = 1 << 16
@@ -134,7 +138,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
                 n[i] = len(own)
                 seen = weight[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 rank = np.argsort(seen, kind="stable")
-                lengths[i] = len(own) - (-(-len(own) * percent // 100)) + 1
+                lengths[i] = min(len(own), len(own) - (-(-len(own) * percent // 100)) + SHARED)
                 chosen.append(own[rank[: lengths[i]]])
                 typical[i] = np.log1p(seen).mean()
                 prints[0, i] = mixed(own + _ODD[1]).sum(dtype=np.uint64)
@@ -155,10 +159,11 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of the documents in ``ids``, which are filtered where the texts lie if few."""
+    """``ids`` (an id and other long columns) with the tokens, found where the texts lie if few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"])
+    names = ids.columns
+    schema = pa.schema([*[(c, pa.int64()) for c in names], ("tokens", pa.list_(pa.int64()))])
 
     def collect(batches: Batches) -> Batches:
         for batch in batches:
@@ -166,9 +171,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             ends = np.cumsum(sizes)
             own = [np.unique(tokens[e - s : e]) for e, s in zip(ends, sizes, strict=True)]
             flat = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
-            yield record(schema, column(batch, "doc_id"), lists_of(pa.array(flat), np.array([len(o) for o in own])))
+            yield record(schema, *[column(batch, c) for c in names], lists_of(pa.array(flat), np.array([len(o) for o in own])))
 
-    return written(map_batches(wanted, collect, "id long, tokens array<long>"), "sets")
+    shape = ", ".join(f"{c} long" for c in names)
+    return written(map_batches(wanted.select(*names, "text"), collect, f"{shape}, tokens array<long>"), "sets")
 
 
 def similar(a: str, b: str, percent: int) -> F.Column:
@@ -198,12 +204,15 @@ def pivot_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
 def group_pairs(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (g, h) whose matrix entries leave room for a link, with their sizes."""
     entries = tokens.select("g", "n", F.posexplode("tokens").alias("place", "token"))
-    spent = (100 + percent) * F.col("place") - 100 * F.col("n")
+    spent = (100 + percent) * (F.col("place") - (SHARED - 1)) - 100 * F.col("n")
     matrix = entries.groupBy("token", "g").agg(F.min(spent).alias("spent"), F.min("n").alias("low"))
     theirs = matrix.select("token", *[F.col(c).alias(f"_{c}") for c in ("g", "spent", "low")])
     room = (F.col("spent") <= -percent * F.col("_low")) & (F.col("_spent") <= -percent * F.col("low"))
     met = matrix.join(theirs, "token").where((F.col("g") < F.col("_g")) & room)
-    pairs = met.select("g", F.col("_g").alias("h")).distinct()
+    # Smaller sets overlap in fewer tokens, and then share all of these.
+    least = F.least(F.lit(SHARED), F.ceil(percent * (F.col("low") + F.col("_low")) / (100 + percent)))
+    shared = met.groupBy("g", F.col("_g").alias("h")).agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("least"))
+    pairs = shared.where("shared >= least").select("g", "h")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     ours = sizes.select("g", F.col("size").alias("g_size"))
     return pairs.join(ours, "g").join(sizes.select(F.col("g").alias("h"), F.col("size").alias("h_size")), "h")
@@ -220,8 +229,7 @@ def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
     asked = written(asked, "opened")
     of = members.select("g", "id")
     needed = of.join(asked.select(F.explode(F.array("small", "large")).alias("g")).distinct(), "g", "left_semi")
-    sets = sets_of(docs, needed.select("id").distinct(), k)
-    held = of.join(sets, "id")
+    held = sets_of(docs, needed.select("id", "g").distinct(), k)
     # A group that many others ask for is dealt out: each part of the queries meets all its blocks.
     wide = asked.groupBy("large").agg(F.max("size").alias("size"), F.sum("asking").alias("asking"))
     meetings = F.ceil(F.col("size") / BLOCK) * F.col("asking")
