@@ -1,6 +1,7 @@
-"""The token-group matrix: which groups it opens, short and repeated texts."""
+"""The token-group matrix: which groups it opens, how often its entries move, short and repeated texts."""
 
 import random
+import re
 
 import pytest
 
@@ -30,6 +31,12 @@ def test_one_chance_token_opens_no_groups(tokens):
     assert sorted((r["g"], r["h"]) for r in pairs(tokens).collect()) == [(1, 3), (4, 5), (6, 7)]
 
 
+def test_entries_are_exchanged_by_token_alone(tokens):
+    plan = pairs(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(token#\w+, \d+\), REPARTITION_BY_COL", plan)
+    assert not re.search(r"hashpartitioning\(_?token#[^)]*\), ENSURE_REQUIREMENTS", plan)
+
+
 def expected(rows, k, percent):
     """Smallest doc_id reachable, by comparing all pairs of sets."""
     sets = []

@@ -205,7 +205,9 @@ def group_pairs(tokens: DataFrame, members: DataFrame, percent: int) -> DataFram
     """Pairs of groups (g, h) whose matrix entries leave room for a link, with their sizes."""
     entries = tokens.select("g", "n", F.posexplode("tokens").alias("place", "token"))
     spent = (100 + percent) * (F.col("place") - (SHARED - 1)) - 100 * F.col("n")
-    matrix = entries.groupBy("token", "g").agg(F.min(spent).alias("spent"), F.min("n").alias("low"))
+    # Dealt out by token alone they are where both the grouping and the join want them: they move once.
+    entries = entries.select("token", "g", spent.alias("spent"), "n").repartition("token")
+    matrix = entries.groupBy("token", "g").agg(F.min("spent").alias("spent"), F.min("n").alias("low"))
     theirs = matrix.select("token", *[F.col(c).alias(f"_{c}") for c in ("g", "spent", "low")])
     room = (F.col("spent") <= -percent * F.col("_low")) & (F.col("_spent") <= -percent * F.col("low"))
     met = matrix.join(theirs, "token").where((F.col("g") < F.col("_g")) & room)
@@ -253,6 +255,24 @@ def similar_to(a: F.Column, b: F.Column, percent: int) -> F.Column:
     return F.when(fits, 100 * both >= percent * (F.size(a) + F.size(b) - both)).otherwise(False)
 
 
+def signed_row() -> F.Column:
+    """A hash of a document's number and its set's fingerprint."""
+    return F.xxhash64("doc_id", "f1", "f2", "n")
+
+
+def grouped_tokens(some: DataFrame, others: DataFrame, first: DataFrame, members: DataFrame) -> DataFrame:
+    """(g, n, tokens) of the rows of ``some`` that stand for their class; repeated rows stay.
+
+    The rows that stand for none (``others``) and the groups of linked classes (``first``) are
+    looked up where the tokens lie if few; else tokens move to the table of members.
+    """
+    if max(t.limit(BROADCAST_IDS + 1).count() for t in (others, first)) > BROADCAST_IDS:
+        return some.select(F.col("doc_id").alias("id"), "f1", "f2", "n", "tokens").join(members, ["id", "f1", "f2", "n"])
+    own = some.withColumn("row", signed_row()).join(F.broadcast(others), "row", "left_anti")
+    label = F.broadcast(first.select(F.col("id").alias("doc_id"), "label"))
+    return own.join(label, "doc_id", "left").select(F.coalesce("label", "doc_id").alias("g"), "n", "tokens")
+
+
 def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -266,19 +286,19 @@ def similarity_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     )
     classes = written(classes, "classes")
     known = rows.where("doc_id IS NOT NULL")
-    # Rows of one number are one document: their classes hang together.
-    same = some.join(classes.select(*key, "id"), key).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    # Rows that another one stands for. Rows of one number are one document: their classes hang together.
+    others = some.join(classes.select(*key, "id"), key).where("doc_id <> id")
+    others = written(others.select(F.col("doc_id").alias("a"), F.col("id").alias("b"), signed_row().alias("row")), "others")
     pivots = pivot_links(classes, known, k, percent)
     first = components(pivots)
     # Only linked classes have a label: few enough, they are looked up where the tokens lie.
     few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     members = classes.join(F.broadcast(first) if few else first, "id", "left")
     members = written(members.select("id", *key, F.coalesce("label", "id").alias("g")), "members")
-    # Tokens move once, to the row that stands for their class; the matrix counts repeated rows once.
-    tokens = some.select(F.col("doc_id").alias("id"), *key, "tokens").join(members, ["id", *key])
+    tokens = grouped_tokens(some, others.select("row").distinct(), first, members)
     opened = open_groups(group_pairs(tokens, members, percent), members, known, k, percent)
     links = written(opened, "opened-links")
-    final = components(pivots.unionByName(links).unionByName(same))
+    final = components(pivots.unionByName(links).unionByName(others.select("a", "b")))
     mine = final.select(F.col("id").alias("doc_id"), "label")
     own = signed.select("doc_id", F.col("n").alias("n_shingles"))
     return own.join(mine, "doc_id", "left").select(
