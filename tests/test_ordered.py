@@ -43,6 +43,19 @@ def test_numbered(spark, limit):
     assert {r["id"]: r["n"] for r in out} == {i: 300 - i for i in range(300)}
 
 
+def test_small_limit_does_not_cut_a_large_table_into_tiny_blocks(spark, monkeypatch):
+    asked, cut = [], ordered.range_blocks
+    monkeypatch.setattr(ordered, "range_blocks", lambda df, by, order, n: asked.append(n) or cut(df, by, order, n))
+    df = spark.range(20_000).withColumn("g", F.col("id") % 3)
+    out = ordered.numbered(df, [F.col("id").desc()], "n", by=["g"], limit=10)
+    assert asked == [65]
+    assert out.count() == 20_000
+    assert out.where("n != (19999 - id) div 3 + 1").count() == 0
+    # A limit that no small block follows from, and a table that makes few blocks, stay as they are.
+    assert ordered.block_rows(10**9, 1_000_000) == 1_000_000 and ordered.block_rows(300, 10) == 10
+    assert ordered.block_rows(10**9, 150) == ordered.TASK_ROWS
+
+
 @pytest.mark.parametrize("limit", [1000, 5])
 def test_quantiles(spark, limit):
     df = rows(spark)

@@ -28,6 +28,10 @@ SMALL_ROWS = 200_000
 # Sampled rows per block when looking for block bounds.
 SAMPLE_PER_BLOCK = 500
 
+# A task of fewer rows takes longer to start than to run. Smaller limits are kept to
+# until they would make more than MANY_BLOCKS blocks; these grow to TASK_ROWS first.
+TASK_ROWS, MANY_BLOCKS = 1 << 16, 64
+
 BLOCK = "_block"
 
 
@@ -36,6 +40,11 @@ def block_count(rows: int, limit: int) -> int:
     return max(2, math.ceil(rows / limit))
 
 
+def block_rows(rows: int, limit: int) -> int:
+    """Rows of a block: ``limit``, or more where that would cut many tiny ones."""
+    return max(limit, min(TASK_ROWS, rows // MANY_BLOCKS))
+
+
 def broadcast_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -259,13 +268,14 @@ def running(
     """Running measures per group over any order, however large the group.
 
     ``measures`` maps an output name to (expression, "sum", "max" or "moments", inclusive);
-    moments are a struct of count, mean and summed squared deviation.
+    moments are a struct of count, mean and summed squared deviation. A table past
+    ``limit`` rows is cut into blocks of ``block_rows``.
     With ``totals`` the whole-group value comes along as ``total_<name>``.
     """
     rows = df.count()
     if rows <= limit:
         return _in_one_task(df, by, order, measures, totals)
-    blocks = range_blocks(df, by, order, block_count(rows, limit))
+    blocks = range_blocks(df, by, order, block_count(rows, block_rows(rows, limit)))
     return _in_blocks(blocks, by, order, measures, totals)
 
 
