@@ -1,5 +1,7 @@
 """History features: hand-made cases, brute force, and hot cards against plain ones."""
 
+import bisect
+import math
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import close
+from txnspark.operators import ordered
 from txnspark.operators.cards import STATS, add_card_totals, card_stats, join_card_stats
 from txnspark.operators.history import (
     DAY,
@@ -189,3 +192,33 @@ def test_card_statistics_of_hot_card(spark):
     b = {r["cc_num"]: r for r in card_stats(df, hot_rows=25).collect()}
     assert a.keys() == b.keys() and None not in a
     assert all(close(a[c][s], b[c][s]) for c in a for s in STATS)
+
+
+def test_prior_median_of_hot_cards_in_pieces(spark, monkeypatch):
+    """Values that drift or jump move the middle as far as they can; the work stays a few blocks."""
+    blocks, cut = [], ordered.range_blocks
+    monkeypatch.setattr(ordered, "range_blocks", lambda df, by, order, n: blocks.append(n) or cut(df, by, order, n))
+    rng, n = random.Random(5), 600
+    shapes = {
+        1: [float(i) for i in range(n)],
+        2: [float(-i) for i in range(n)],
+        3: [1e6 - i if i % 2 else float(i) for i in range(n)],
+        4: [7.0] * n,
+        5: [rng.choice([None, float("nan"), 0.0, -1.5, rng.gauss(0, 50)]) for _ in range(n)],
+        6: [None] * n,
+        7: [rng.random() + (100 if i > n // 2 else 0) for i in range(n)],
+    }
+    rows = [(f"{card}-{i:04}", card, i, v) for card, values in shapes.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "trans_num string, cc_num long, at long, amt double")
+    df = df.withColumn("trans_date_trans_time", F.timestamp_seconds("at"))
+    out = add_history(df, {"m": Prior("median")}, hot_rows=20).select("trans_num", "m").collect()
+    got, expect = dict(map(tuple, out)), {}
+    for card, values in shapes.items():
+        seen = []
+        for i, v in enumerate(values):
+            expect[f"{card}-{i:04}"] = statistics.median(seen) if seen else 0.0
+            if v is not None and not math.isnan(v):
+                bisect.insort(seen, v)
+    assert len(out) == len(rows) and got == expect
+    # Positions in time, and places in value order: the card's rows are cut twice, however long it is.
+    assert len(blocks) == 2 and max(blocks) <= 65

@@ -18,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from txnspark.functions.time import epoch_micros, epoch_seconds
 from txnspark.operators import ordered
@@ -502,88 +503,86 @@ def _spread_velocity(
 
 
 def _spread_prior_median(df: DataFrame, name: str, k: Columns, limit: int) -> DataFrame:
-    """Median of all earlier amounts, by narrowing the value range digit by digit.
-
-    Amounts become positions 0..n-1 in value order. Each row asks for the
-    position in the middle of its predecessors. Per round, a running count along
-    time tells how many predecessors fall under each digit, which picks the next
-    digit of the answer. Rounds grow with the logarithm of the largest card.
+    """Median of all earlier amounts, piece by piece of the card's rows.
+
+    A piece of ``size`` rows moves the middle of the amounts before it by at most half as
+    many places either way. Of those amounts it takes the ones so near the middle, and the
+    number of those below; with its own rows that is all its medians depend on. Amounts
+    have their place in value order, and counts by ranges of places tell, for each piece,
+    where the middle of the amounts before it is. Every piece takes about as many of them
+    as it has rows, however long the card.
     """
-    base = 16
     card = [k.card]
-    valued = df.where(F.col(k.amount).isNotNull())
+    # Written, so that every branch below sees the same numbers on rows that tie.
+    rows = ordered.written(df, "rows")
+    size = ordered.block_rows(rows.count(), limit)
+    width = max(1, size // 4)
+    own = rows.select(k.card, F.expr(f"({_ROW} - 1) div {size}").alias("_piece"), _ROW, F.col(k.amount).alias("_v"))
     place = ordered.numbered(
-        valued.select(k.card, k.id, _ROW, F.col(k.amount).alias("_v")),
-        [F.col("_v"), F.col(_ROW)],
-        "_place",
-        by=card,
-        limit=limit,
-    ).withColumn("_place", F.col("_place") - 1)
-    place = ordered.written(place, "places")
-    largest = place.agg(F.max("_place")).first()[0] or 0
-    rounds = 1
-    while base**rounds <= largest:
-        rounds += 1
-    seen = ordered.running(
-        df.select(k.card, k.id, _ROW, F.col(k.amount).isNotNull().cast("long").alias("_one")),
-        card,
-        [F.col(_ROW)],
-        {"_before": (F.col("_one"), "sum", False)},
-        limit=limit,
+        own.where(F.col("_v").isNotNull()), [F.col("_v"), F.col(_ROW)], "_place", by=card, limit=limit
     )
-    # Two questions per row: the lower and the upper middle of its predecessors.
-    asks = seen.where(F.col("_before") > 0).select(
-        k.card,
-        F.col(_ROW),
-        F.lit(0).cast("long").alias("_node"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.expr("(_before + 1) div 2").alias("k")),
-                F.struct(F.lit(1).alias("side"), F.expr("_before div 2 + 1").alias("k")),
-            )
-        ).alias("_ask"),
+    place = ordered.written(place.withColumn("_range", F.expr(f"(_place - 1) div {width}")).drop("_place"), "places")
+    cells = place.groupBy(*card, "_range", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    last = own.groupBy(*card).agg(F.max("_piece").alias("_last")).where("_last > 0")
+    pieces = place.select(*card, "_range").distinct().join(last, k.card)
+    pieces = pieces.select(*card, "_range", F.explode(F.expr("sequence(1L, _last)")).alias("_piece"), F.lit(0).cast("long").alias("_n"))
+    # Along the pieces: what each range holds of the pieces before. A piece sorts before its own count.
+    in_time = Window.partitionBy(*card, "_range").orderBy("_piece", F.col("_is_cell"))
+    upto = F.sum("_n").over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+    held = pieces.withColumn("_is_cell", F.lit(False)).unionByName(cells.withColumn("_is_cell", F.lit(True)))
+    held = held.withColumn("_n", upto).where(~F.col("_is_cell") & (F.col("_n") > 0))
+    whole = Window.partitionBy(*card, "_piece")
+    below = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumns({"_below": F.coalesce(below, F.lit(0).cast("long")), "_before": F.sum("_n").over(whole)})
+    near = (F.col("_below") + F.col("_n") >= F.expr(f"_before div 2 - {size // 2 + 2}")) & (
+        F.col("_below") <= F.expr(f"_before div 2 + {size // 2 + 2}")
     )
-    asks = asks.select(k.card, _ROW, "_node", F.col("_ask.side").alias("_side"), F.col("_ask.k").alias("_k"))
-    for step in range(rounds - 1, -1, -1):
-        size = base**step
-        items = place.select(
-            k.card,
-            _ROW,
-            F.expr(f"_place div {size * base}").alias("_node"),
-            F.lit(-1).alias("_side"),
-            F.lit(None).cast("long").alias("_k"),
-            F.expr(f"(_place div {size}) % {base}").alias("_digit"),
-        )
-        questions = asks.withColumn("_digit", F.lit(None).cast("long"))
-        both = items.unionByName(questions)
-        # A question at row r sorts before the item of row r: predecessors only.
-        swept = ordered.running(
-            both,
-            [k.card, "_node"],
-            [F.col(_ROW), F.col("_side").desc()],
-            {
-                f"_d{d}": ((F.col("_digit") <= d).cast("long"), "sum", True)
-                for d in range(base)
-            },
-            limit=limit,
-        ).where(F.col("_side") >= 0)
-        digit = reduce(
-            lambda a, b: a + b, [(F.col(f"_d{d}") < F.col("_k")).cast("long") for d in range(base)]
-        )
-        below = F.array(F.lit(0).cast("long"), *[F.col(f"_d{d}") for d in range(base)])
-        asks = swept.withColumn("_next", digit).select(
-            k.card,
-            _ROW,
-            (F.col("_node") * base + F.col("_next")).alias("_node"),
-            "_side",
-            (F.col("_k") - below[F.col("_next")]).alias("_k"),
-        )
-    answers = (
-        asks.join(
-            place.select(k.card, F.col("_place").alias("_node"), "_v"), [k.card, "_node"]
-        )
-        .groupBy(k.card, _ROW)
-        .agg(F.avg("_v").alias(name))
-    )
-    joined = df.join(answers, [k.card, _ROW], "left")
+    near = held.where(near).select(*card, "_range", F.col("_piece").alias("_for"), "_below", "_before")
+    earlier = place.join(ordered.broadcast_small(near), [k.card, "_range"]).where(F.col("_piece") < F.col("_for"))
+    earlier = earlier.select(*card, F.col("_for").alias("_piece"), F.lit(None).cast("long").alias(_ROW), "_v", "_below", "_before")
+    none = F.lit(None).cast("long")
+    both = earlier.unionByName(own.withColumns({"_below": none, "_before": none}))
+    schema = StructType([StructField(k.card, df.schema[k.card].dataType), StructField(_ROW, LongType()), StructField(name, DoubleType())])
+    answers = both.groupBy(*card, "_piece").applyInArrow(_piece_medians(k.card, name), schema)
+    joined = rows.join(answers, [k.card, _ROW], "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+
+
+def _piece_medians(card: str, name: str):
+    """For ``applyInArrow``: the median of all amounts before each row of a piece, NULL if there is none."""
+
+    def medians(piece):
+        # Imported by name on the workers, which need nothing of this package.
+        import heapq
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        is_own = pc.is_valid(piece["_row"])
+        own = piece.filter(is_own).sort_by("_row")
+        earlier = piece.filter(pc.invert(is_own)).sort_by("_v")
+        n = pc.max(earlier["_before"]).as_py() or 0
+        under = pc.min(earlier["_below"]).as_py() or 0
+        values = earlier["_v"].to_pylist()
+        # Two heaps meet in the middle; the lower one holds negatives, and one more if n is odd.
+        # Amounts further off are in neither: this piece's rows do not bring them to the top.
+        half = (n + 1) // 2 - under
+        low, high = [-v for v in reversed(values[:half])], values[half:]
+        found = []
+        for v in own["_v"].to_pylist():
+            if n == 0:
+                found.append(None)
+            elif n % 2:
+                found.append(-low[0])
+            else:
+                found.append((high[0] - low[0]) / 2)
+            if v is None:
+                continue
+            if n % 2:
+                heapq.heappush(high, -heapq.heappushpop(low, -v))
+            else:
+                heapq.heappush(low, -heapq.heappushpop(high, v))
+            n += 1
+        return pa.table({card: own[card], "_row": own["_row"], name: pa.array(found, pa.float64())})
+
+    return medians
