@@ -552,7 +552,7 @@ def _piece_medians(card: str, name: str):
     """For ``applyInArrow``: the median of all amounts before each row of a piece, NULL if there is none."""
 
     def medians(piece):
-        # Imported by name on the workers, which need nothing of this package.
+        # Imported here: the function travels to the workers, which need nothing of this package.
         import heapq
 
         import pyarrow as pa
